@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_files
+from . import bpe, decontaminate, near_dedup, token_files
 from .shared import table
 from .substring_dedup import remove_repeats
 
@@ -17,6 +17,14 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digests(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_path("byte_bpe_50k.json")
     return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path), path)
@@ -31,7 +39,7 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op7_token_files, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_near_dedup, op3_decontamination, op4_bpe, op7_token_files, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
