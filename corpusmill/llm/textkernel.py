@@ -31,6 +31,9 @@ SPACED[[0x20, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, bool)
 ALNUM[0x30:0x3A] = ALNUM[0x41:0x5B] = ALNUM[0x61:0x7B] = True
 ALNUM[0x80:] = True
+#: Runs of ALNUM bytes, and runs of punctuation.
+TOKENS = np.where(ALNUM, 1, 2).astype(np.uint8)
+TOKENS[[0x20, 9, 10, 11, 12, 13]] = 0
 BYTE_LOWER, BYTE_AS_IS = _BYTE[_lower], _BYTE
 
 
@@ -136,13 +139,16 @@ class Chunk:
 
 
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = SPACED, values: np.ndarray = BYTE_AS_IS) -> Chunk:
-    """Words of rows given by bytes and offsets (from 0), with a 64-bit hash each."""
+    """Words of rows given by bytes and offsets (from 0), with a 64-bit hash each.
+
+    A word is a run of bytes of one class; class 0 (or False) is none.
+    """
     n = len(data)
-    inside = table[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    ends = inside.copy()
-    ends[:-1] &= ~inside[1:]
+    kind = table[data]
+    inside = kind != 0
+    begins, ends = inside.copy(), inside.copy()
+    begins[1:] &= kind[1:] != kind[:-1]
+    ends[:-1] &= kind[1:] != kind[:-1]
     edge = offsets[1:-1]
     edge = edge[(edge > 0) & (edge < n)]
     begins[edge] = inside[edge]
