@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat_format, decontaminate, knn, near_dedup, quality, token_files, url_filter
+from . import bpe, chat_format, decontaminate, knn, near_dedup, quality, token_files, toxicity, url_filter
 from .shared import table
 from .substring_dedup import remove_repeats
 
@@ -41,6 +41,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), url_filter.rule_table(spark, URL_RULES))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.write_and_read(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -58,7 +62,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_knn, op2_near_dedup, op3_decontamination, op4_bpe, op5_url_filter, op7_token_files, op8_chat_format, op9_substring_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_knn, op2_near_dedup, op3_decontamination, op4_bpe, op5_url_filter, op6_toxicity, op7_token_files, op8_chat_format, op9_substring_dedup, op10_quality)}
 
 
 SQL = {

@@ -47,3 +47,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns, whatever else the table has."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose doc_id is in gone(doc_id); up to BROADCAST_IDS of them, counted first, are broadcast."""
+    gone = cut(gone.select(F.col("doc_id").alias("__gone")).filter("__gone is not null").distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")

@@ -24,8 +24,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textkernel as tk
 from .shared import partitions
@@ -143,11 +145,13 @@ def _prefix_code(c: tk.Chunk, at: np.ndarray, sums: np.ndarray, plan: dict[int,
     return code
 
 
-def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, budget: int = 0) -> tuple[DataFrame, DataFrame, int]:
-    """(texts by part, keys of windows to remove by part, number of parts) of docs(doc_id, text)."""
+def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, budget: int = 0, carry: bool = False) -> tuple[DataFrame, DataFrame, int]:
+    """(texts by part, keys of windows to remove by part, number of parts) of docs(doc_id, text); carry keeps the other columns, as `rest`."""
     spark = docs.sparkSession
     n_parts = n_buckets = 4 * partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if carry else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*rest).alias("rest")] if rest else []))
+    docs = texts.select("doc_id", "text")
     plan = prefix_plan(docs, window, budget or 1_000_000)
     blob = _arrow_schema(BLOB)
     found = "part int, docs binary, keys binary"
@@ -212,12 +216,12 @@ def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, budget: in
             old = [np.concatenate([old[0], doc[hit]]), np.concatenate([old[1], same[hit]])]
         return back(*old)
 
-    texts = docs.withColumn("part", _part(F.col("doc_id"), n_parts))
+    texts = texts.withColumn("part", _part(F.col("doc_id"), n_parts))
     shared = docs.mapInArrow(anchors, BLOB).groupBy("bucket").applyInArrow(lambda t: merge(t, False), found)
 
     def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for ids, valid, i, j, c, want in _both(left, right, only_wanted=True):
+        for ids, valid, i, j, c, want, _ in _both(left, right, only_wanted=True):
             at, anchor = _anchors(c, window, gram)
             row = c.row[at]
             keep = valid[i:j][row]
@@ -261,29 +265,36 @@ def _both(left: pa.Table, right: pa.Table, only_wanted: bool) -> Iterator[tuple]
     order = np.argsort(both)
     want = (both[order], d[order])
     if only_wanted:
-        left = left.filter(pa.compute.is_in(left.column("doc_id"), pa.array(np.unique(d))))
+        left = left.select(["doc_id", "text"]).filter(pa.compute.is_in(left.column("doc_id"), pa.array(np.unique(d))))
     for b in left.to_batches():
         ids = b.column("doc_id")
         valid = ids.is_valid().to_numpy(zero_copy_only=False)
         ids = ids.fill_null(0).to_numpy()
+        there = b.column("text").is_valid().to_numpy(zero_copy_only=False)
         for i, j, c in tk.chunks(b.column("text")):
-            yield ids, valid, i, j, c, want
+            yield ids, valid, i, j, c, want, there
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False, budget: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False, budget: int = 0, carry: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text).
 
     With digest: doc_id, n_words, n_removed, kept_sha256. Else doc_id, n_words, n_removed,
     kept_text (the text itself where nothing goes, else the kept words joined by a space)
-    and spans (word ranges removed, as "first-last" joined by commas).
+    and spans (word ranges removed, as "first-last" joined by commas). carry adds the other
+    columns of docs as a struct `rest`.
     """
-    texts, later, _ = removals(docs, window, gram, budget)
+    texts, later, _ = removals(docs, window, gram, budget, carry)
     kind = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept_text string, spans string")
     schema = _arrow_schema(kind)
+    out_type = T._parse_datatype_string(kind)
+    carry = "rest" in texts.columns
+    if carry:
+        out_type = out_type.add(texts.schema["rest"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
-        for ids, valid, i, j, c, want in _both(left, right, only_wanted=False):
+        rest = left.column("rest") if carry else None
+        for ids, valid, i, j, c, want, there in _both(left, right, only_wanted=False):
             at, h = c.windows(window)
             row = c.row[at]
             bad = valid[i:j][row] & _member(ids[i:j][row], h, want)
@@ -298,7 +309,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
                 a, b = c.doc[r], c.doc[r + 1]
                 whole = not removed[r]
                 if whole and not digest:
-                    cells[0].append(raw[c.offsets[r] : c.offsets[r + 1]].decode())
+                    cells[0].append(raw[c.offsets[r] : c.offsets[r + 1]].decode() if there[i + r] else None)
                     cells[1].append("")
                     continue
                 if whole:
@@ -314,6 +325,18 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, dige
                     cells[1].append(",".join(f"{x}-{y - 1}" for x, y in zip(flips[::2], flips[1::2], strict=True)))
             cols = [pa.array(ids[i:j], mask=~valid[i:j]), pa.array(np.diff(c.doc)), pa.array(removed)] + [pa.array(x, pa.string()) for x in cells[: 1 if digest else 2]]
             out.append(pa.RecordBatch.from_arrays(cols, schema=schema))
-        return pa.Table.from_batches(out, schema=schema)
+        t = pa.Table.from_batches(out, schema=schema)
+        return t.append_column("rest", rest) if carry else t
 
-    return texts.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(finish, kind)
+    return texts.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(finish, out_type)
+
+
+def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs with all its columns; the texts lack the repeated words, and n_chars, if there, is their length."""
+    names = docs.columns
+    found = remove_repeats(docs, window, carry=True)
+    cells = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    out = found.select(*[cells[n].alias(n) if n in cells else F.col(f"rest.`{n}`").alias(n) for n in names], F.col("n_removed").alias("__removed"))
+    if "n_chars" in names:
+        out = out.withColumn("n_chars", F.when(F.col("__removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.drop("__removed")
