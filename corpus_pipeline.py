@@ -1,8 +1,61 @@
-"""Stages of the corpus pipeline."""
+"""From raw documents to token ids, in five stages.
 
-STAGES = []
+Each stage takes what its predecessor kept, written as Parquet and read again, and all but
+the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusmill.llm import bpe, decontaminate, near_dedup, quality
+from corpusmill.llm.queries import tokenizer_path
+from corpusmill.llm.shared import cut, table, without_ids
+from corpusmill.llm.substring_dedup import without_repeats
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the importance sample rejects go."""
+    found = quality.select(docs, table(spark, sf_dir, "labels"))
+    return without_ids(docs, found.filter("not kept"))
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest doc_id stays."""
+    return without_ids(docs, near_dedup.near_duplicates(docs).filter("not kept"))
+
+
+def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that an earlier document has go; the documents stay."""
+    return without_repeats(docs)
+
+
+def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of the benchmark go."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Digests of ids and decoded texts."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    return bpe.digests(bpe.encode(docs, path), path)
+
+
+STAGES = [
+    ("quality classifier", good_quality),
+    ("near-duplicate removal", one_of_each),
+    ("substring deduplication", no_repeated_passages),
+    ("benchmark decontamination", no_benchmark),
+    ("BPE encoding and decoding", encoded),
+]
+
+#: Gumbel noise and hashed n-grams of the first stage have no SQL; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
