@@ -240,8 +240,10 @@ def encode(docs: DataFrame, path: str, table_bytes: int = TABLE_BYTES) -> DataFr
     """docs(doc_id, text) to doc_id and ids, packed as int32."""
     docs = _texts(docs)
     table = cut(distinct_words(docs, path))
-    size = table.agg(F.count("*").alias("n"), F.sum(F.length("ids")).alias("ids"), F.approx_count_distinct("h").alias("h")).first()
-    if size.n * 16 + (size.ids or 0) <= table_bytes:
+    size = table.agg(F.count("*").alias("n"), F.sum(F.length("ids")).alias("ids")).first()
+    # as sent: a hash, an offset, and ids of 2 bytes (4 in a vocabulary beyond 65,536)
+    width = 2 if splitter(path).library.get_vocab_size() <= 65536 else 4
+    if size.n * 12 + (size.ids or 0) // 4 * width <= table_bytes:
         got = table.select("h", "ids").toArrow()
         h = got.column("h").to_numpy().view(np.uint64)
         if len(np.unique(h)) == len(h):
