@@ -11,7 +11,8 @@ No bucket is turned into all its pairs. First every member meets the smallest id
 bucket, and the links found are joined to components. Only buckets that still hold more
 than one component go on: their members meet inside the bucket, in tiles of TILE members
 so that a hot bucket spreads over many tasks, only across components, and only survivors
-of the batches leave a task. Links inside a component can't change the result.
+of the batches that join something new leave a task; a second round takes what is then
+still apart. Links inside a component can't change the result.
 
 Results for odd input: a text without words has no shingles and no link; one of fewer
 than 3 words is one shingle; a null doc_id takes part in nothing, has no component and is
@@ -136,15 +137,20 @@ def _prune(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def _across(rows: DataFrame, groups: int) -> DataFrame:
-    """Pairs of members of a bucket (or of two tiles) in different components that outlast every batch."""
+def _across(rows: DataFrame, groups: int, forest: bool) -> DataFrame:
+    """Pairs of members of a bucket (or of two tiles) in different components that outlast every batch.
+
+    forest: only pairs that join what earlier pairs of the bucket haven't, so that m mutually
+    similar members give m - 1 pairs and are compared about m times.
+    """
 
     def run(t: pa.Table) -> pa.Table:
         t = t.combine_chunks()
         keys = np.stack([t.column(n).to_numpy() for n in ("bucket", "i", "j")])
         order = np.lexsort(keys)
         keys = keys[:, order]
-        ids, label, tile = (t.column(n).to_numpy()[order] for n in ("doc_id", "label", "tile"))
+        ids, part, tile = (t.column(n).to_numpy()[order] for n in ("doc_id", "label", "tile"))
+        part = part.copy()
         sig = _sig(t.column("sig").combine_chunks())[order]
         edge = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
         out = []
@@ -153,10 +159,15 @@ def _across(rows: DataFrame, groups: int) -> DataFrame:
             inner = np.arange(first, beyond)
             rights = inner if i == j else inner[tile[inner] == j]
             for p in inner if i == j else inner[tile[inner] == i]:
-                q = rights[(label[rights] != label[p]) & ((rights > p) if i == j else True)]
-                if len(q):
-                    ok = survivors(sig, sig, np.full(len(q), p), q)
-                    out.append(np.stack([np.minimum(ids[p], ids[q[ok]]), np.maximum(ids[p], ids[q[ok]])]))
+                q = rights[(part[rights] != part[p]) & ((rights > p) if i == j else True)]
+                if not len(q):
+                    continue
+                q = q[survivors(sig, sig, np.full(len(q), p), q)]
+                if forest and len(q):
+                    joined, first_of = np.unique(part[q], return_index=True)
+                    q = q[first_of]
+                    part[inner[np.isin(part[inner], joined)]] = part[p]
+                out.append(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])]))
         a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
@@ -208,16 +219,17 @@ def near_duplicates(docs: DataFrame, tile: int = TILE, local_edges: int | None =
     pairs = members.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
     links = cut(_verify(_prune(pairs), docs))
-    label = components(links, **more)
-    # members of buckets that hold several components; the centre has met all others
-    labelled = cut(members.filter("members > 2").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "centre", "members", F.coalesce("component", "doc_id").alias("label")).filter("doc_id <> centre"))
-    mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-    open_ = labelled.join(mixed, "bucket")
     tiles = F.ceil(F.col("members") / tile)
-    open_ = open_.withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-    open_ = open_.select("bucket", "doc_id", "label", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(sigs, "doc_id")
-    more_links = _verify(_across(open_, 4 * partitions(spark)), docs)
-    label = components(links.union(more_links), **more)
+    # a pair left out by the forest may be needed where one of the forest fails: a second round takes all
+    for forest in (True, False):
+        label = components(links, **more)
+        # members of buckets that hold several components; the centre has met all others
+        labelled = cut(members.filter("members > 2").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "centre", "members", F.coalesce("component", "doc_id").alias("label")).filter("doc_id <> centre"))
+        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
+        open_ = labelled.join(mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+        open_ = open_.select("bucket", "doc_id", "label", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(sigs, "doc_id")
+        links = cut(links.union(_verify(_across(open_, 4 * partitions(spark), forest), docs)))
+    label = components(links, **more)
     classes = reps.select("s1", "s2", "n_shingles", F.col("doc_id").alias("class_id")).join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
     out = told.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
