@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .shared import cut
 
-MOST_EXAMPLES, MOST_TERMS, LEAST_DOCS, LEAST_Z, NEIGHBOURS, BLOCK, THRESHOLD = 6000, 2000, 5, 5.0, 16, 64, 0.3
-GRAMS = (4, 5, 6)
+MOST_EXAMPLES, MOST_TERMS, LEAST_DOCS, LEAST_Z, NEIGHBOURS, BLOCK, THRESHOLD = 1500, 2000, 5, 5.0, 16, 64, 0.3
+GRAMS, FIRST_BLOCKS = (4, 5, 6), 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -147,11 +147,10 @@ class Index:
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vecs)])
         row = np.repeat(np.arange(len(vecs)), [len(t) for t, _ in vecs]) if vecs else np.zeros(0, np.int64)
         w = np.concatenate([np.zeros(0), *(x for _, x in vecs)])
-        order = np.lexsort((row, term))
-        self.row, self.w = row[order], w[order]
-        self.start = np.searchsorted(term[order] * max(1, self.n_blocks) + self.row // block, np.arange(len(idf) * self.n_blocks + 1)).reshape(-1) if self.n_blocks else np.zeros(1, np.int64)
-        self.most = np.zeros((len(idf), self.n_blocks))
-        np.maximum.at(self.most, (term[order], self.row // block), self.w)
+        # the postings of a block of vectors: a row of weights for each term
+        self.blocks = np.zeros((self.n_blocks, len(idf), block), np.float32)
+        self.blocks[row // block, term, row % block] = w
+        self.most = self.blocks.max(2).T.astype(np.float64) if self.n_blocks else np.zeros((len(idf), 0))
         self.toxic = bool(self.votes[:, 1].sum()) or any(t for _, t in empty)
         self._fit(keys, groups, empty, weight)
 
@@ -162,19 +161,19 @@ class Index:
 
     def nearest(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest distinct vectors, of those that share a term."""
-        bound = w @ self.most[t]
+        bound = (w @ self.most[t]) * (1 + 1e-6)
         order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
         at, sim = np.zeros(0, np.int64), np.zeros(0)
-        for b in order.tolist():
-            if bound[b] <= 0 or (len(sim) == self.k and bound[b] < sim[-1] - 1e-12):
-                break
-            score = np.zeros(self.block)
-            base = t * self.n_blocks + b
-            for x, i, j in zip(w.tolist(), self.start[base].tolist(), self.start[base + 1].tolist(), strict=True):
-                if j > i:
-                    score[self.row[i:j] - b * self.block] += x * self.w[i:j]
-            some = np.flatnonzero(score > 0)
-            at, sim = np.concatenate([at, some + b * self.block]), np.concatenate([sim, score[some]])
+        # the blocks with the highest bounds first; then, at once, those that can still matter
+        for chosen in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
+            if len(sim) == self.k:
+                chosen = chosen[bound[chosen] >= sim[-1]]
+            if not len(chosen):
+                continue
+            score = np.einsum("t,bts->bs", w, self.blocks[chosen[:, None], t])
+            b, s = np.nonzero(score > 0)
+            at, sim = np.concatenate([at, chosen[b] * self.block + s]), np.concatenate([sim, score[b, s]])
             best = np.lexsort((at, -sim))[: self.k]
             at, sim = at[best], sim[best]
         return at, sim
