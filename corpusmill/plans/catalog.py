@@ -1,4 +1,523 @@
-"""Queries by name, and their SQL."""
+"""Queries of the engine's operators over the driver's tables, and their SQL.
+
+Every query takes (spark, folder) and reads whole tables. Where an operator works on token
+arrays, the documents are tokenised by pattern with a newline as the paragraph mark, which
+SQL can follow; the full tokenizer has its own query.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as tx
+from ..functions import urls
+from ..operators import annotate, counts, crawl, dedup, language, paragraphs, rules, tables, tokenizer
+from ..sources import files
+from .storage import cut
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents")
+
+
+def lines(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    """doc_id, para, text and more columns of each non-empty line."""
+    docs = documents(spark, sf_dir).select("doc_id", *keys, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("para", "text"))
+    return docs.filter("text <> ''")
+
+
+def words(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
+    return documents(spark, sf_dir).select(*keys, F.explode(tx.words(F.lower("text"))).alias("word"))
+
+
+WORD, TOKEN = r"[\p{L}\p{N}]+", r"[\p{L}\p{N}]+|[\p{P}\p{S}]"
+W = f"(select doc_id, lang, source, unnest(regexp_extract_all(lower(text), '{WORD}')) as word from documents)"
+P = "(select doc_id, lang, source, cast(i - 1 as integer) as para, line as text from (select doc_id, lang, source, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null) where line <> '')"
+
+
+def sql_unaccent(x: str) -> str:
+    out = f"translate({x}, '{tx.PLAIN_FROM}', '{tx.PLAIN_TO}')"
+    for a, b in tx.PAIRS.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+def sql_url(u: str = "url") -> dict[str, str]:
+    s = f"regexp_extract({u}, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)"
+    auth = f"regexp_extract({u}, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+    scheme = f"case lower({s}) when 'http' then 1 when 'https' then 2 else 0 end"
+    host = f"lower(regexp_extract({auth}, '(?:^|@)([^:@]*)(?::[0-9]*)?$', 1))"
+    given = f"regexp_extract({auth}, ':([0-9]+)$', 1)"
+    port = f"case when {given} <> '' then cast({given} as integer) when {scheme} = 2 then 443 when {scheme} = 1 then 80 else 0 end"
+    raw = f"regexp_extract(regexp_extract({u}, '^([^#]*)', 1), '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1)"
+    return {"scheme": scheme, "host": host, "port": port, "path": f"case when starts_with({raw}, '/') then {raw} else '/' || {raw} end"}
+
+
+def sql_md5(x: str) -> str:
+    return "(" + " || ".join(f"substr(md5({x}), {2 * k + 1}, 2)" for k in range(7, -1, -1)) + ")"
+
+
+U = sql_url()
+SITE, PATH = sql_md5(f"({U['scheme']}) || ' ' || {U['host']} || ' ' || ({U['port']})"), sql_md5(U["path"])
+
+
+# --- counts ------------------------------------------------------------------------------
+
+
+@query(f"""select source, count(*) as docs, cast(sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''))) as bigint) as paragraphs,
+cast(sum(len(regexp_extract_all(coalesce(text, ''), '{WORD}'))) as bigint) as words, cast(sum(len(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))) as bigint) as tokens from documents group by source""")
+def word_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.coalesce("text", F.lit(""))
+    per = documents(spark, sf_dir).select("source", F.size(F.filter(F.split(t, "\n", -1), lambda x: x != "")).alias("p"), F.size(tx.words(t)).alias("w"), F.size(tx.tokens(t)).alias("k"))
+    return per.groupBy("source").agg(F.count("*").alias("docs"), F.sum("p").alias("paragraphs"), F.sum("w").alias("words"), F.sum("k").alias("tokens"))
+
+
+@query(f"select lang, words, round(100.0 * words / sum(words) over (), 2) as percent from (select coalesce(lang, '?') as lang, count(*) as words from {W} group by 1)")
+def language_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = documents(spark, sf_dir).select(F.coalesce("lang", F.lit("?")).alias("lang"), F.size(tx.words(F.col("text"))).alias("n")).groupBy("lang").agg(F.sum("n").alias("words"))
+    return counts.with_percent(n)
+
+
+@query(f"select lang, words, round(100.0 * words / sum(words) over (), 2) as percent from (select case when lang in ('en', 'de') then lang else 'other' end as lang, count(*) as words from {W} group by 1)")
+def language_count_other(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.merge_language_counts(language_count(spark, sf_dir).select("lang", "words"), ["en", "de"])
+
+
+@query(f"select word, count(*) as n, count(*) / (select count(*) from {W}) as freq from {W} group by word order by n desc, word limit 1000")
+def word_freq_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.word_table(words(spark, sf_dir), 1000)
+
+
+MISSING = f"""with c as (select word, count(*) as n from {W} group by word),
+m as (select {sql_unaccent("a.word")} as plain, a.word as accented, a.n from c a where {sql_unaccent("a.word")} <> a.word),
+missing as (select plain as word, max(m.n) as n_accented from m left join c on c.word = plain where 20 * coalesce(c.n, 0) <= m.n group by plain)"""
+
+
+@query(MISSING + " select * from missing")
+def missing_accent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.missing_accent_words(words(spark, sf_dir).groupBy("word").agg(F.count("*").alias("n")), most=1 << 30)
+
+
+@query(f"select lang, word, n / total as freq from (select lang, word, count(*) as n, row_number() over (partition by lang order by count(*) desc, word) as k, sum(count(*)) over (partition by lang) as total from {W} group by lang, word) where k <= 500")
+def language_table_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.train(words(spark, sf_dir, "lang"), 500)
+
+
+def _ngram_sql(n: int) -> str:
+    return f"""with p as (select list_concat(list_concat(['<S>'], regexp_extract_all(lower(text), '{WORD}')), ['</S>']) as w from {P})
+select gram, count(*) as count from (select unnest(list_transform(range(1, len(w) - {n} + 2), lambda i: array_to_string(w[i:i + {n - 1}], chr(9)))) as gram from p where len(w) >= {n}) group by gram"""
+
+
+def _ngrams(n: int) -> Callable:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        forms = lines(spark, sf_dir).select(tx.words(F.lower("text")).alias("forms"))
+        grams = F.transform(counts.ngrams(F.col("forms"), n), lambda g: F.array_join(g, "\t"))
+        return forms.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("count"))
+
+    run.__name__ = f"ngram_counts_{n}"
+    return run
+
+
+for _n in (1, 2, 3):
+    query(_ngram_sql(_n))(_ngrams(_n))
+
+
+@query(_ngram_sql(2))
+def ngram_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each language's lines, then their sum."""
+    rows = lines(spark, sf_dir, "lang").select("lang", tx.words(F.lower("text")).alias("forms"))
+    one = [counts.ngram_counts(rows.filter(c), 2).filter("n = 2") for c in ("lang = 'en'", "lang <> 'en' or lang is null")]
+    return counts.merge_counts(*one).select("gram", "count")
+
+
+# --- text --------------------------------------------------------------------------------
+
+
+@query(f"select doc_id, {sql_unaccent('text')} as plain, regexp_matches(text, '[^\\x00-\\x7F]') as accented from documents")
+def unaccent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", tx.unaccent(F.col("text")).alias("plain"), tx.is_accented(F.col("text")).alias("accented"))
+
+
+def _accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = tx.words(F.col("text"))
+    return lines(spark, sf_dir).select("doc_id", "para", "text", F.size(w).alias("words"), F.size(F.filter(w, tx.is_accented)).alias("accented"))
+
+
+@query(f"select doc_id, para from (select doc_id, para, regexp_extract_all(text, '{WORD}') as w from {P}) where 10 * len(list_filter(w, lambda x: regexp_matches(x, '[^\\x00-\\x7F]'))) > len(w)")
+def filter_unaccented_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _accents(spark, sf_dir).filter("10 * accented > words").select("doc_id", "para")
+
+
+@query(f"""{MISSING}, w as (select doc_id, para, unnest(regexp_extract_all(lower(text), '{WORD}')) as word from {P}),
+b as (select doc_id, para, count(missing.word) as bad, count(*) filter (regexp_matches(w.word, '[^\\x00-\\x7F]')) as good from w left join missing on missing.word = w.word group by doc_id, para)
+select doc_id, para, bad, good from b where not (bad >= 2 and good < bad)""")
+def filter_missing_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = language.small_side(missing_accent_words(spark, sf_dir).select("word", F.lit(1).alias("hit")))
+    rows = lines(spark, sf_dir).select("doc_id", "para", F.explode(tx.words(F.lower("text"))).alias("word")).join(listed, "word", "left")
+    n = rows.groupBy("doc_id", "para").agg(F.count("hit").alias("bad"), F.count_if(tx.is_accented(F.col("word"))).alias("good"))
+    return n.filter("not (bad >= 2 and good < bad)")
+
+
+@query("select doc_id, lang from documents where lang in ('en', 'fr') and lang not in ('de')")
+def filter_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).filter(paragraphs.language_passes(F.col("lang"), ["en", "fr"], ["de"])).select("doc_id", "lang")
+
+
+@query(f"""with t as (select lang, word from (select lang, word, row_number() over (partition by lang order by count(*) desc, word) as k from {W} where doc_id % 2 = 0 group by lang, word) where k <= 1000),
+v as (select lang, word, 2520 // count(*) over (partition by word) as e from t),
+s as (select doc_id, v.lang, sum(e) as score from {W} w join v on v.word = w.word group by doc_id, v.lang),
+b as (select doc_id, lang, row_number() over (partition by doc_id order by score desc, lang <> 'en', lang) as k from s)
+select d.doc_id, coalesce(b.lang, 'en') as language from (select distinct doc_id from {W}) d left join b on b.doc_id = d.doc_id and k = 1""")
+def detect_language_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table is learned from documents with even ids, the operator's own split; all documents are judged."""
+    table = language.train(words(spark, sf_dir, "doc_id", "lang").filter("doc_id % 2 = 0"), 1000)
+    return language.detect(words(spark, sf_dir, "doc_id"), cut(table), "en", "doc_id")
+
+
+@query()
+def tokenize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tokenizer.tokenize(documents(spark, sf_dir), paragraphs=True, fixup="cs")
+    return t.select("doc_id", F.size("tokens").alias("n"), F.md5(F.concat_ws(" ", F.transform("tokens", lambda x: F.concat(x["form"], F.lit("/"), x["flags"].cast("string")))).cast("binary")).alias("tokens_md5"))
+
+
+@query()
+def normalize_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", tokenizer.normalized(F.col("text")).alias("text"))
+
+
+@query()
+def word_count_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.word_count(tokenizer.tokenize(documents(spark, sf_dir), paragraphs=True), "lang")
+
+
+# --- near duplicates ---------------------------------------------------------------------
+
+
+def _dedup_sql(units: str, keys: str) -> str:
+    return f"""with u as (select {keys}, regexp_extract_all(lower(text), '{WORD}') as w from {units}),
+g as (select {keys}, i, array_to_string(w[i:i + 7], ' ') as gram from (select {keys}, w, unnest(range(1, len(w) - 6)) as i from u where len(w) >= 8)),
+f as (select {keys}, row_number() over (partition by gram order by {keys}, i) = 1 as fresh from g),
+n as (select {keys}, count(*) filter (fresh) as fresh from f group by {keys})
+select {keys}, cast(greatest(len(w) - 7, 0) as bigint) as grams, greatest(len(w) - 7, 0) - coalesce(fresh, 0) as seen, 100 * (greatest(len(w) - 7, 0) - coalesce(fresh, 0)) <= 30 * greatest(len(w) - 7, 0) as kept from u left join n using ({keys})"""
+
+
+@query(_dedup_sql("(select doc_id, coalesce(text, '') as text from documents)", "doc_id"))
+def dedup_docs_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = documents(spark, sf_dir).select(F.col("doc_id").alias("unit"), tx.words(F.lower("text")).alias("words"))
+    return dedup.exact(units).withColumnRenamed("unit", "doc_id")
+
+
+@query(_dedup_sql(P, "doc_id, para"))
+def dedup_paras_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    units = lines(spark, sf_dir).select(F.struct("doc_id", "para").alias("unit"), tx.words(F.lower("text")).alias("words"))
+    return dedup.exact(units).select("unit.doc_id", "unit.para", "grams", "seen", "kept")
+
+
+@query("select doc_id, min(doc_id) over (partition by coalesce(text, '')) as copy_of from documents")
+def exact_dup_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_copies(documents(spark, sf_dir))
+
+
+@query(f"""with g as (select doc_id, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as gram from (select doc_id, regexp_extract_all(lower(text), '{WORD}') as w from documents) where len(w) >= 8),
+b as (select distinct unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' '))) as gram from (select regexp_extract_all(lower(text), '{WORD}') as w from benchmark) where len(w) >= 8)
+select doc_id, count(*) as hits from g where gram in (select gram from b) group by doc_id""")
+def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = lambda df, key: dedup.unit_grams(df.select(F.col(key).alias("unit"), tx.words(F.lower("text")).alias("words")))
+    probe = language.small_side(grams(read(spark, sf_dir, "benchmark"), "item_id").select("gram").distinct())
+    return grams(documents(spark, sf_dir), "doc_id").join(probe, "gram", "left_semi").groupBy(F.col("unit").alias("doc_id")).agg(F.count("*").alias("hits"))
+
+
+@query()
+def dedup_bloom_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.transform(tx.words(F.lower("text")), lambda w: F.struct(F.lit(0).alias("flags"), w.alias("form")))
+    texts = documents(spark, sf_dir).select("doc_id", t.alias("tokens"))
+    return dedup.sequential(texts, 2_000_000, order="doc_id").select("doc_id", F.size("tokens").alias("n"))
+
+
+# --- URLs and crawl ----------------------------------------------------------------------
+
+
+@query(f"select page_id, cast({U['scheme']} as integer) as scheme, {U['host']} as host, cast({U['port']} as integer) as port, {U['path']} as path from pages")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u = F.col("url")
+    return read(spark, sf_dir, "pages").select("page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.port(u).alias("port"), urls.path(u).alias("path"))
+
+
+@query(f"select page_id, {SITE} as site_md5, {PATH} as path_md5 from pages")
+def url_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.with_identity(read(spark, sf_dir, "pages")).select("page_id", "site_md5", "path_md5")
+
+
+@query("select page_id, regexp_extract(url, '^([^#]*)', 1) as url from pages")
+def url_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").select("page_id", urls.parse(F.col("url")).alias("p"))
+    return p.select("page_id", urls.compose(F.col("p")).alias("url"))
+
+
+LINKS = """(select page_id, url, unnest(list_distinct(list_filter(regexp_extract_all(regexp_replace(html, '(?is)<script\\b.*?</script\\s*>|<!--.*?-->', ' ', 'g'), '(?is)<a\\b[^>]*?\\shref\\s*=\\s*"([^"]*)"', 1), lambda x: trim(x) <> ''))) as link from pages)"""
+
+
+@query(f"select page_id, link from {LINKS}")
+def extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", F.explode(F.array_distinct(crawl.links_of(F.col("html")))).alias("link"))
+
+
+@query(f"select {U['host']} as host, count(*) as links from {LINKS} group by 1")
+def link_counts_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select(urls.host(F.col("url")).alias("host"), F.explode(F.array_distinct(crawl.links_of(F.col("html")))).alias("l")).groupBy("host").agg(F.count("*").alias("links"))
+
+
+@query()
+def extract_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.extract_urls(read(spark, sf_dir, "pages"), images=True, schemes=("http", "https"))
+
+
+@query(f"""with h as (select page_id, {U["host"]} as host, regexp_extract({U["path"]}, '^([^?]*)', 1) as path from pages), s as (select *, list_filter(string_split(path, '/'), lambda x: x <> '') as parts from h)
+select page_id, len(parts) <= 10 and len(parts) = len(list_distinct(parts)) and not regexp_matches(lower(path), '\\.(jpg|jpeg|gif|png|zip|gz|pdf|doc|exe|mp3|avi)$') and (ends_with(host, 'example.org') or ends_with(host, 'example.com')) as in_scope from s""")
+def crawl_scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "pages").select("page_id", crawl.in_scope(F.col("url"), ("example.org", "example.com")).alias("in_scope"))
+
+
+HASHED = f"(select page_id, regexp_extract(url, '^([^#]*)', 1) as url, {SITE} as site_md5, {PATH} as path_md5 from pages)"
+
+
+def _hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.with_identity(read(spark, sf_dir, "pages")).select("page_id", urls.no_fragment(F.col("url")).alias("url"), "site_md5", "path_md5")
+
+
+@query(f"""with n as (select * from (select *, row_number() over (partition by site_md5, path_md5 order by page_id) as k from {HASHED} where page_id % 2 = 0) where k = 1)
+select site_md5, path_md5, url, page_id from n union all select site_md5, path_md5, url, page_id from {HASHED} o where page_id % 2 = 1 and not exists (select 1 from n where n.site_md5 = o.site_md5 and n.path_md5 = o.path_md5)""")
+def update_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with even ids update those with odd ones."""
+    p = _hashed(spark, sf_dir)
+    return tables.update(p.filter("page_id % 2 = 1"), p.filter("page_id % 2 = 0"), ["site_md5", "path_md5"], ["page_id"]).select("site_md5", "path_md5", "url", "page_id")
+
+
+@query(f"""with n as (select site_md5, min(page_id) as page_id from {HASHED} where page_id % 2 = 0 group by 1), o as (select site_md5, min(page_id) as page_id from {HASHED} where page_id % 2 = 1 group by 1)
+select * from n union all select * from o where site_md5 not in (select site_md5 from n)""")
+def update_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _hashed(spark, sf_dir)
+    old, new = (p.filter(f"page_id % 2 = {k}").groupBy("site_md5").agg(F.min("page_id").alias("page_id")) for k in (1, 0))
+    return tables.update(old, new, ["site_md5"])
+
+
+@query(f"""with i as (select site_md5, path_md5, min(page_id) as modified, cast(count(*) as bigint) as size from {HASHED} where page_id % 3 <> 0 group by 1, 2),
+s as (select site_md5, path_md5, max(page_id) as modified from {HASHED} where page_id % 3 <> 1 group by 1, 2)
+select site_md5, path_md5, coalesce(s.modified, i.modified, 0) as modified, coalesce(i.size, 0) as size from i full join s using (site_md5, path_md5)""")
+def update_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _hashed(spark, sf_dir)
+    index = p.filter("page_id % 3 <> 0").groupBy("site_md5", "path_md5").agg(F.min("page_id").alias("modified"), F.count("*").alias("size"))
+    seen = p.filter("page_id % 3 <> 1").groupBy("site_md5", "path_md5").agg(F.max("page_id").alias("modified"))
+    return tables.update_index(index, seen, ["site_md5", "path_md5"])
+
+
+@query(f"select distinct site_md5, path_md5, 'NEW_LINK' as path_status from {HASHED} l where page_id % 2 = 0 and not exists (select 1 from {HASHED} k where k.page_id % 2 = 1 and k.site_md5 = l.site_md5 and k.path_md5 = l.path_md5)")
+def new_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _hashed(spark, sf_dir).select("page_id", "site_md5", "path_md5")
+    return tables.new_links(p.filter("page_id % 2 = 0"), p.filter("page_id % 2 = 1"), ["site_md5", "path_md5"]).drop("page_id")
+
+
+@query(f"select page_id, {U['host']} as host, cast(row_number() over (partition by {U['host']} order by page_id) as integer) as turn from pages")
+def fair_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.fair_order(read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host")), "host", "page_id")
+
+
+@query(f"select page_id, {SITE} as site_md5, first_page from pages join (select site_md5 as s, min(page_id) as first_page from {HASHED} where page_id % 4 <> 0 group by 1) on s = {SITE}")
+def attach_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _hashed(spark, sf_dir)
+    return p.select("page_id", "site_md5").join(p.filter("page_id % 4 <> 0").groupBy("site_md5").agg(F.min("page_id").alias("first_page")), "site_md5")
+
+
+def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A robots.txt a site, made of its host's name."""
+    host = urls.host(F.col("url"))
+    sites = urls.with_identity(read(spark, sf_dir, "pages")).select("site_md5", host.alias("host")).distinct()
+    text = F.concat(F.lit("User-agent: *\nDisallow: /de/\nAllow: /de/1\n\nUser-agent: corpusmill\n"), F.when(F.col("host").contains("blog"), "Disallow: /*.html$").otherwise("Disallow: /es/"))
+    return sites.withColumn("robots", text)
+
+
+@query()
+def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _robots(spark, sf_dir).withColumn("r", crawl.parse_robots(F.col("robots"), "corpusmill")).select("site_md5", "r.allow", "r.disallow")
+
+
+@query(f"select page_id from pages where not case when contains({U['host']}, 'blog') then regexp_matches({U['path']}, '^/.*\\.html$') else starts_with({U['path']}, '/es/') end")
+def filter_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.filter_robots(urls.with_identity(read(spark, sf_dir, "pages")), robots_parse(spark, sf_dir)).select("page_id")
+
+
+CODE = "case page_id % 5 when 0 then 200 when 1 then 301 when 2 then 302 when 3 then 404 else 500 end"
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    code = F.element_at(F.array(*[F.lit(c) for c in (200, 301, 302, 404, 500)]), (F.col("page_id") % 5 + 1).cast("int"))
+    p = read(spark, sf_dir, "pages").select("page_id", "url", (F.floor(F.col("page_id") / 7) % 3).cast("int").alias("status"), F.concat(F.lit("HTTP/1.1 "), code.cast("string")).alias("x_status"), (F.col("page_id") % 8).cast("int").alias("redirect_count"))
+    return p.withColumn("location", F.when(F.col("page_id") % 2 == 1, F.concat(F.lit("/moved/"), F.col("page_id").cast("string"))))
+
+
+@query(f"""with p as (select page_id, cast(page_id // 7 % 3 as integer) as s, {CODE} as code, cast(page_id % 8 as integer) as r, page_id % 2 = 1 as loc from pages),
+e as (select *, case when s = 2 then 'FATAL' when s <> 0 then 'ERROR' when code = 200 then 'OK' when code in (301, 302) and loc and r <= 5 then case code when 301 then 'MOVED_FOR_GOOD' else 'MOVED' end else 'ERROR' end as event from p)
+select page_id, event, cast(r + case when starts_with(event, 'MOVED') then 1 else 0 end as integer) as redirect_count, case when starts_with(event, 'MOVED') then 1 else 0 end as status from e""")
+def post_fetch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.post_fetch(_fetched(spark, sf_dir)).select("page_id", "event", "redirect_count", "status")
+
+
+@query("select page_id, case when page_id // 7 % 3 = 1 and page_id % 2 = 1 then regexp_extract(url, '^[a-z]+://[^/?#]*') || '/moved/' || page_id else url end as url from pages")
+def fix_redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.fix_redirect(_fetched(spark, sf_dir)).select("page_id", "url")
+
+
+@query("""with e as (select event_id, user_id % 5 as errors, (event_id * 7919) % 4294967296 as h from events),
+b as (select *, case when h // 16777216 = 0 then 37 else h // 16777216 end as a, case when h // 65536 % 256 = 0 then 37 else h // 65536 % 256 end as b, case when h // 256 % 256 = 0 then 37 else h // 256 % 256 end as c, case when h % 256 = 0 then 37 else h % 256 end as d from e)
+select event_id, case when errors = 0 then floor(log10(pow(1.5, (a + 2 * b + 3 * c + 4 * d) // 10)) * 1000) else floor(log10(pow(1.5, 25 + 3 * errors)) * 1000) end as log_wait from b""")
+def next_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As 1000 times the decimal logarithm, since the waits reach beyond what two engines round alike."""
+    h = F.pmod(F.col("event_id") * 7919, F.lit(1 << 32))
+    rows = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("errors"), h.alias("h"))
+    byte = [F.shiftright("h", 8 * k).bitwiseAND(F.lit(0xFF)) for k in (3, 2, 1, 0)]
+    known = [F.when(b == 0, 37).otherwise(b) for b in byte]
+    power = F.floor((known[0] + 2 * known[1] + 3 * known[2] + 4 * known[3]) / 10)
+    wait = F.when(F.col("errors") == 0, F.pow(F.lit(1.5), power.cast("double"))).otherwise(F.pow(F.lit(1.5), (25 + 3 * F.col("errors")).cast("double")))
+    return rows.select("event_id", F.floor(F.log10(wait) * 1000).cast("double").alias("log_wait"))
+
+
+@query("select event_id, cast(1700000 + greatest(1, floor(value)) as bigint) as bucket from (select event_id, abs(value) as value from events)")
+def schedule_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crawl.schedule(read(spark, sf_dir, "events").select("event_id", (F.abs("value") * 1000).alias("wait")), 1_700_000_000).select("event_id", "bucket")
+
+
+@query(f"""with p as (select site_md5, path_md5, min(page_id) as page_id from {HASHED} group by 1, 2)
+select site_md5, path_md5, case page_id % 4 when 0 then 'OK' when 1 then case when page_id % 6 + 1 < 5 then 'ERROR' else 'DISABLED' end when 2 then 'REDIRECT' else 'DISABLED' end as path_status,
+cast(case page_id % 4 when 1 then page_id % 6 + 1 when 3 then page_id % 6 + 1 else 0 end as integer) as error_count,
+cast(case page_id % 4 when 0 then 1000000 else page_id * 10 end as bigint) as last_modified,
+cast(case page_id % 4 when 0 then case when page_id > 0 then greatest(16, least(41, floor(ln(1000000 - page_id * 10) / ln(1.5)))) else 37 end else 0 end as bigint) as history from p""")
+def path_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One event a path on a made-up state."""
+    p = _hashed(spark, sf_dir).groupBy("site_md5", "path_md5").agg(F.min("page_id").alias("page_id"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("OK", "ERROR", "MOVED_FOR_GOOD", "FATAL")]), (F.col("page_id") % 4 + 1).cast("int"))
+    zero = F.lit(0).cast("long")
+    state = p.select("site_md5", "path_md5", F.lit("OK").alias("path_status"), (F.col("page_id") % 6).cast("int").alias("error_count"), zero.alias("last_update"), (F.col("page_id") * 10).alias("last_modified"), zero.alias("history"), zero.alias("size"), zero.alias("checksum"))
+    events = p.select("site_md5", "path_md5", kind.alias("event"), F.lit(1).cast("long").alias("size"), F.lit(2).cast("long").alias("checksum"))
+    return crawl.apply_events(state, events, 1_000_000).select("site_md5", "path_md5", "path_status", "error_count", "last_modified", "history")
+
+
+@query("""with recursive r as (select page_id as p, case when page_id % 4 = 3 then null else page_id + 1 end as t from pages), c as (select p, t, 1 as h from r where t is not null union all select c.p, r.t, h + 1 from c join r on r.p = c.t where r.t is not null)
+select 'u' || p as url, 'u' || max(t) as target from c group by p""")
+def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page points to the next, except every fourth."""
+    p = read(spark, sf_dir, "pages").filter("page_id % 4 <> 3").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit("u"), (F.col("page_id") + 1).cast("string")).alias("location"))
+    return crawl.follow(p).select("url", "target")
+
+
+@query(f"""select page_id, case when ends_with({U["host"]}, '.org') then '1' else '0' end as org from pages where not (contains(url, 'spam') or {U["port"]} = 443 and contains(url, 'utm_'))""")
+def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.port(F.col("url")).alias("port"), F.lit("0").alias("org"))
+    text = """
+url =~ /spam/ => DROP
+port == 443 && url =~ /utm_/ => DROP
+host =~ /\\.org$/ => org = "1", ACCEPT
+"""
+    return rules.apply(p, text).select("page_id", "org")
+
+
+# --- tables ------------------------------------------------------------------------------
+
+
+@query("select doc_id, source || '/' as prefix, cast(dense_rank() over (order by source) - 1 as integer) as status from documents where source is not null")
+def split_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).filter("source is not null").select("doc_id", F.concat(F.col("source"), F.lit("/x")).alias("text_id"))
+    return tables.prefix_to_status(d, "text_id", r"^([^/]+/)").select("doc_id", "prefix", "status")
+
+
+@query(f"select word, row_number() over (order by n desc, word) as id from (select word, count(*) as n from {W} group by word)")
+def word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.dictionary(words(spark, sf_dir))
+
+
+@query("select doc_id, lang from documents where lang = 'en' union all select doc_id, lang from documents where lang <> 'en'")
+def concat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).select("doc_id", "lang")
+    return tables.concat(d.filter("lang = 'en'"), d.filter("lang <> 'en'"))
+
+
+@query()
+def shuffle_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.shuffled(lines(spark, sf_dir), "doc_id", "para").select("doc_id", "para", "shuffle_key")
+
+
+@query("select event_id, cast(floor(epoch(ts) / 1000) as bigint) as units, strftime(make_timestamp(cast(floor(epoch(ts) / 1000) * 1000000000 as bigint)), '%Y-%m-%d %H:%M:%S') as coarse from events")
+def coarse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select("event_id", tx.coarse_time(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("units"))
+    return e.withColumn("coarse", F.date_format(F.timestamp_seconds(F.col("units") * 1000), "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("select cast(i // 50 * 10000 + i % 50 as bigint) as page_id, 'http://test.org/p' || (i // 50) || '-' || (i % 50) as url from range(0, 100) t(i)")
+def generate_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.generated_pages(spark, 100, "p", 2)
+
+
+@query("select 'http://' || trim(source) as url from documents where trim(source) <> ''")
+def page_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.page_list(documents(spark, sf_dir).select(F.concat(F.lit(" "), "source").alias("value")))
+
+
+# --- annotated tokens --------------------------------------------------------------------
+
+KINDS = "['NN', 'AA', 'Vp', 'Db', 'Z:']"
+RELS = "['Obj', 'Sb', 'Adv', 'Atr', 'Pred']"
+PARSED = f"""(select doc_id as doc, cast(0 as integer) as sent, cast(i - 1 as integer) as tok, w[i] as form, lower(w[i]) as lemma, {KINDS}[length(w[i]) % 5 + 1] as pos,
+cast(case when i = 1 then 0 else i - 1 - (length(w[i]) % 2) * (i - 2) // 2 end as integer) as head, {RELS}[(i + length(w[i])) % 5 + 1] as deprel from (select doc_id, w, unnest(range(1, len(w) + 1)) as i from (select doc_id, regexp_extract_all(text, '{WORD}') as w from documents)))"""
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a made-up parse that depends on words and places alone."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("doc"), F.posexplode(tx.words(F.col("text"))).alias("tok", "form"))
+    pick = lambda values, at: F.element_at(F.array(*[F.lit(v) for v in values]), (at + 1).cast("int"))
+    n = F.length("form")
+    head = F.when(F.col("tok") == 0, 0).otherwise(F.col("tok") - F.floor((n % 2) * (F.col("tok") - 1) / 2)).cast("int")
+    return rows.select("doc", F.lit(0).alias("sent"), "tok", "form", F.lower("form").alias("lemma"), pick(("NN", "AA", "Vp", "Db", "Z:"), n % 5).alias("pos"), head.alias("head"), pick(("Obj", "Sb", "Adv", "Atr", "Pred"), (F.col("tok") + 1 + n) % 5).alias("deprel"))
+
+
+@query(f"""with q as (select c.*, p.lemma as pl, p.pos as pp from {PARSED} c join {PARSED} p on c.doc = p.doc and c.head = p.tok + 1 where substr(c.pos, 1, 1) in ('N', 'A', 'V', 'D') and substr(p.pos, 1, 1) in ('N', 'A', 'V', 'D') and c.deprel in ('Obj', 'Sb', 'Adv', 'Atr')),
+b as (select lemma || '-' || substr(pos, 1, 1) as key, deprel as relation, pl as other from q union all select pl || '-' || substr(pp, 1, 1), '-' || deprel, lemma from q)
+select key, relation, other, count(*) as count from b group by 1, 2, 3""")
+def collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.collocations(parsed(spark, sf_dir)).select("key", "relation", "other", "count")
+
+
+@query(f"""with t as (select *, lower(form) as low from {PARSED})
+select t.doc, t.tok, coalesce(p.low, '#root') as parent_form, coalesce(p.pos, '#root') as parent_pos, coalesce(c.n, 0) as children from t left join t p on p.doc = t.doc and p.tok + 1 = t.head
+left join (select doc, head, count(distinct low) as n from t where head > 0 group by 1, 2) c on c.doc = t.doc and c.head = t.tok + 1""")
+def token_family(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotate.with_family(parsed(spark, sf_dir)).select("doc", "tok", "parent_form", "parent_pos", F.coalesce(F.size("child_forms"), F.lit(0)).cast("long").alias("children"))
+
+
+@query("""select doc_id, case source when 'src0' then 'article' when 'src1' then 'blog' when 'src2' then 'discussion' else source end as subtype, case when lang = 'en' then 'e' else 'd' end as time from documents""")
+def text_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("source") == "src0", "clanky").when(F.col("source") == "src1", "tvorivost").when(F.col("source") == "src2", "diskuse").otherwise(F.col("source"))
+    d = documents(spark, sf_dir).select("doc_id", F.concat(F.lit("data/"), kind, F.lit("-"), F.col("lang"), F.lit("/x")).alias("text_id"), F.array("lang").alias("language"))
+    times = spark.createDataFrame([("en", "e"), ("*", "d")], "server string, time string")
+    none = spark.createDataFrame([], "text_id string, url string")
+    return annotate.add_attributes(d, times, none).select("doc_id", "subtype", "time")
+
 
-QUERIES: dict = {}
-SQL: dict = {}
