@@ -21,7 +21,7 @@ def read_raw_text(spark: SparkSession, paths: str | list[str], list_in_file: boo
     known = [p for p in ([paths] if isinstance(paths, str) else paths) if (q := hadoop.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(q)]
     if not known:
         return spark.createDataFrame([], "text_id string, text string")
-    return rows.text(known).select(F.input_file_name().alias("text_id"), F.col("value").alias("text"))
+    return rows.text(known, wholetext=True).select(F.input_file_name().alias("text_id"), F.col("value").alias("text"))
 
 
 def page_list(lines: DataFrame, column: str = "value") -> DataFrame:
