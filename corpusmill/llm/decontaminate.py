@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import textkernel as tk
 from .shared import work_folder
 
-WINDOW, BLOCK, SHARD_BYTES = 10, 1_000_000, 4 << 20
+WINDOW, BLOCK, SHARD_BYTES = 10, 1_000_000, 2 << 20
 _BLOCK: dict[str, tuple] = {}
 
 

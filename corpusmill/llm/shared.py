@@ -23,9 +23,20 @@ def work_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+#: Rows in a batch to or from Python, so that a batch of long texts fits in a worker.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df as a written table: its lineage ends here and it survives lost executors."""
     spark = df.sparkSession
+    small_batches(spark)
     path = folder or work_folder(spark)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -41,6 +52,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

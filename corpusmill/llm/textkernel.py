@@ -8,13 +8,15 @@ chunk by itself, so memory follows the longest text.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _S33 = np.uint64(33)
 _RNG = np.random.Generator(np.random.PCG64(20240917))
@@ -37,6 +39,13 @@ TOKENS[[0x20, 9, 10, 11, 12, 13]] = 0
 BYTE_LOWER, BYTE_AS_IS = _BYTE[_lower], _BYTE
 
 
+def trim() -> None:
+    """Gives memory that this process has freed back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits that spreads every bit."""
     x = x ^ (x >> _S33)
@@ -168,6 +177,7 @@ def chunks(column: pa.Array, table: np.ndarray = SPACED, values: np.ndarray = BY
     data, offsets = buffers(column)
     for i, j in pieces(offsets, limit):
         yield i, j, words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], table, values)
+    trim()
 
 
 def distinct_by_row(row: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
