@@ -1,12 +1,14 @@
 """BPE encoding and decoding through a table of distinct words.
 
 Texts are split into words inside the partitions; each distinct word of the corpus is
-encoded once, and the ids come back to the words' positions. Two ways lead back. While
-the table of distinct words is small (`table_bytes`, checked before it is used) it is sent
-to all executors as sorted 64-bit word hashes with their ids. Beyond that, chunks of texts
-send their distinct words to a join with the table, and get the ids back by chunk; no word
-is sent more than once a chunk, so frequent words make no hot key. Decoding looks ids up
-in the table of pieces, whose size the vocabulary fixes.
+encoded once, and the ids come back to the words' positions. The table goes to all executors
+as sorted 64-bit word hashes with their ids while it has at most `table_bytes` (checked
+before it is sent; that no two words share a hash is checked as well). Of a larger table
+only the words of most chunks are sent, as many as fit; the others stand in so few chunks
+that they are encoded where they stand. With join=True nothing is sent: chunks of texts
+send their distinct words to a join with the table, once a chunk, so that frequent words
+make no hot key, and get the ids back by chunk. Decoding looks ids up in the table of
+pieces, whose size the vocabulary fixes.
 
 The library's own encoder serves texts with code points that Python's Unicode tables don't
 know, since its tables may be newer and split them otherwise.
@@ -21,12 +23,12 @@ import hashlib
 import sys
 import unicodedata
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +37,9 @@ from . import textkernel as tk
 from .shared import cut
 
 TABLE_BYTES = 96 << 20
-_BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: How the two kinds of vocabulary split a text; word_bounds() follows them.
+BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _UNKNOWN: list = []
 _LOADED: dict[str, Splitter] = {}
 
@@ -61,6 +64,103 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
 
 
+SPACE, LETTER, NUMBER, OTHER = range(4)
+_CLASSES: list[np.ndarray] = []
+
+
+def _classes() -> np.ndarray:
+    """The class of every code point."""
+    if not _CLASSES:
+        every, out = "".join(map(chr, range(sys.maxunicode + 1))), np.full(sys.maxunicode + 1, OTHER, np.uint8)
+        for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
+            for m in regex.finditer(pattern, every):
+                out[m.start() : m.end()] = kind
+        _CLASSES.append(out)
+    return _CLASSES[0]
+
+
+def _byte_classes(data: np.ndarray) -> np.ndarray:
+    """The class of the character that each byte of UTF-8 belongs to."""
+    table = _classes()
+    out = table[:256][data]
+    for low, beyond, size, bits in ((0xC0, 0xE0, 2, 31), (0xE0, 0xF0, 3, 15), (0xF0, 0xF8, 4, 7)):
+        at = np.flatnonzero((data >= low) & (data < beyond))
+        if len(at):
+            cp = (data[at] & bits).astype(np.int64)
+            for k in range(1, size):
+                cp = (cp << 6) | (data[at + k] & 63)
+            kind = table[cp]
+            for k in range(size):
+                out[at + k] = kind
+    return out
+
+
+def _contractions(data: np.ndarray, at: np.ndarray, room: np.ndarray) -> np.ndarray:
+    """Letters (0, 1 or 2) that follow each apostrophe and belong to it; room: bytes after it in its text."""
+    padded = np.append(data, np.zeros(2, np.uint8))
+    a, b = padded[at + 1], padded[at + 2]
+    one = np.isin(a, np.frombuffer(b"stmd", np.uint8)) & (room >= 1)
+    two = (((a == ord("r")) | (a == ord("v"))) & (b == ord("e")) | (a == ord("l")) & (b == ord("l"))) & (room >= 2)
+    return np.where(one, 1, np.where(two, 2, 0))
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of texts, as the two patterns above split them."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kind = _byte_classes(data)
+    lead = (data & 0xC0) != 0x80
+    begin = np.ones(n, bool)
+    begin[1:] = kind[1:] != kind[:-1]
+    edges = np.unique(offsets[offsets < n])
+    begin[edges] = True
+    if lower:
+        begin |= kind == NUMBER
+    begin &= lead
+    if not lower:
+        found = np.flatnonzero(begin)
+        beyond = np.append(found[1:], n)
+        run = kind[found] == SPACE
+        first, beyond = found[run], beyond[run]
+    at = np.flatnonzero((data == ord("'")) & begin)
+    if len(at):
+        end = np.append(edges, n)[np.searchsorted(edges, at, "right")]
+        more = _contractions(data, at, end - at - 1)
+        if not lower:
+            spaced = (at > 0) & (data[at - 1] == 0x20) & ~np.isin(at, edges)
+            more[spaced] = 0
+        at, more, end = at[more > 0], more[more > 0], end[more > 0]
+        begin[at + 1] = False
+        at += more + 1
+        begin[at[at < end]] = True
+    if not lower and len(first):
+        # white space before a word: its last character stands alone or, if a space, opens the word
+        inner = ~np.isin(beyond, edges) & (beyond < n)
+        beyond = beyond[inner]
+        last = beyond - 1
+        for _ in range(3):
+            last = np.where(lead[last], last, last - 1)
+        begin[last] = True
+        begin[beyond[data[last] == 0x20]] = False
+    start = np.flatnonzero(begin)
+    end = np.append(start[1:], n)
+    if lower:
+        word = kind[start] != SPACE
+        start, end = start[word], end[word]
+    return start, end
+
+
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    n = len(data)
+    p, inv = tk.powers("byte", n + 1)
+    s = np.zeros(n + 1, np.uint64)
+    v = tk.BYTE_AS_IS[data]
+    v *= p[:n]
+    np.cumsum(v, out=s[1:])
+    return tk.mix((s[end] - s[start]) * inv[start] + (end - start).astype(np.uint64))
+
+
 class Splitter:
     """Words of a text as the tokenizer file splits it, and ids of a word."""
 
@@ -71,34 +171,34 @@ class Splitter:
         self.library.no_padding()
         self.library.no_truncation()
         self.lower = self.library.normalizer is not None
-        self.find = regex.compile(_WORD_SPLIT if self.lower else _BYTE_SPLIT).findall
-        added = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.added = added
-        self.at_added = regex.compile("(" + "|".join(regex.escape(x) for x in sorted(added, key=len, reverse=True)) + ")")
-        self.hints = tuple(added)
+        self.hints = tuple(t.content for t in self.library.get_added_tokens_decoder().values())
         self.letters = {i: c for i, c in enumerate(_byte_letters())}
         self.model = self.library.model
 
-    def words(self, text: str, plain: bool) -> list[str] | None:
-        """None where the library has to encode the text itself. plain: no byte of it is 0xCA or above."""
-        if not plain and _unknown().search(text):
-            return None
-        if "<|" in text and any(x in text for x in self.hints):
-            out: list[str] = []
-            for x in self.at_added.split(text):
-                out.extend(["\0" + x] if x in self.added else self._words(x))
-            return out
-        return self._words(text)
-
-    def _words(self, text: str) -> list[str]:
-        if self.lower:
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.find(text)
-
-    def ids(self, word: str) -> list[int]:
-        if word[0] == "\0" and word[1:] in self.added:
-            return [self.added[word[1:]]]
-        return [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.letters))]
+    def normal(self, text: str) -> str:
+        return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() if self.lower else text
+
+    def chunk(self, texts: list[str | None], plain: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]:
+        """Bytes of all texts; starts, ends and hashes of their words; offsets of the rows into these; ids of the texts that the library has to encode."""
+        parts, own = [], {}
+        for r, text in enumerate(texts):
+            if text and ((not plain and _unknown().search(text)) or ("<|" in text and any(x in text for x in self.hints))):
+                own[r] = self.whole(text)
+                text = ""
+            parts.append(self.normal(text).encode() if text else b"")
+        raw = b"".join(parts)
+        data, offsets = np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+        start, end = word_bounds(data, offsets, self.lower)
+        return raw, start, end, run_hashes(data, start, end), np.searchsorted(start, offsets), own
+
+    def ids_of(self, word: bytes) -> list[int]:
+        if word.isalnum():  # such bytes stand for themselves, and a space for one other letter
+            letters = word.decode("ascii")
+        elif word[:1] == b" " and word[1:].isalnum():
+            letters = self.letters[0x20] + word[1:].decode("ascii")
+        else:
+            letters = word.decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(letters)]
 
     def whole(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -110,30 +210,38 @@ def splitter(path: str) -> Splitter:
     return _LOADED[path]
 
 
-class Cache(dict):
-    """Index of each word in growing arrays of ids; ids(word) gives those of a new one."""
+class Cache:
+    """Ids of words by hash; resolve(hashes, words) gives those of new ones."""
 
-    def __init__(self, ids: Callable[[str], list[int]], most: int = 250_000) -> None:
-        self.ids, self.most = ids, most
+    def __init__(self, resolve: Callable[[np.ndarray, list[bytes]], list[list[int]]], most: int = 600_000) -> None:
+        self.resolve, self.most = resolve, most
         self.reset()
 
     def reset(self) -> None:
-        self.clear()
-        self.flat: list[int] = []
-        self.off = [0]
-        self.arrays: tuple[np.ndarray, np.ndarray] | None = None
-
-    def __missing__(self, word: str) -> int:
-        self.flat.extend(self.ids(word))
-        self.off.append(len(self.flat))
-        self[word] = at = len(self.off) - 2
-        self.arrays = None
-        return at
-
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        if self.arrays is None:
-            self.arrays = np.array(self.flat, np.int32), np.array(self.off, np.int64)
-        return self.arrays
+        self.places: dict[int, int] = {}
+        self.flat, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def look(self, h: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Places of the words in flat and off."""
+        if len(self.places) > self.most:
+            self.reset()
+        known, first, back = np.unique(h, return_index=True, return_inverse=True)
+        at = np.fromiter(map(self.places.get, known.tolist(), repeat(-1)), np.int64, len(known))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            hashes, first = known[new], first[new]
+            ids = self.resolve(hashes, [raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            base = len(self.places)
+            self.places.update(zip(hashes.tolist(), range(base, base + len(hashes)), strict=True))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
+            at[new] = np.arange(base, base + len(new))
+        return at[back]
+
+
+def by_model(split: Splitter) -> Callable[[np.ndarray, list[bytes]], list[list[int]]]:
+    return lambda _, words: [split.ids_of(w) for w in words]
 
 
 def gather(flat: np.ndarray, off: np.ndarray, index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,29 +255,21 @@ def gather(flat: np.ndarray, off: np.ndarray, index: np.ndarray, rows: np.ndarra
 
 def encode_chunk(split: Splitter, cache: Cache, texts: list[str | None], plain: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, and offsets."""
-    if len(cache) > cache.most:
-        cache.reset()
-    index, sizes, own = [], [], {}
-    for r, text in enumerate(texts):
-        found = split.words(text, plain) if text else []
-        if found is None:
-            own[r] = split.whole(text)
-            found = []
-        index.append(np.fromiter(map(cache.__getitem__, found), np.int64, len(found)))
-        sizes.append(len(found))
-    flat, off = cache.table()
-    ids, rows = gather(flat, off, np.concatenate(index) if index else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]))
+    raw, start, end, h, rows, own = split.chunk(texts, plain)
+    at = cache.look(h, raw, start, end)
+    ids, rows = gather(cache.flat, cache.off, at, rows)
     if own:
         parts = [np.array(own[r], np.int32) if r in own else ids[rows[r] : rows[r + 1]] for r in range(len(texts))]
         ids, rows = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
     return ids, rows
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 21) -> Iterator[tuple[int, int, list[str | None], bool]]:
+def text_chunks(column: pa.Array, limit: int = tk.CHUNK_BYTES) -> Iterator[tuple[int, int, list[str | None], bool]]:
     """Row ranges with their texts, and whether no byte is 0xCA or above."""
     data, offsets = tk.buffers(column)
     for i, j in tk.pieces(offsets, limit):
         yield i, j, column.slice(i, j - i).to_pylist(), not (data[offsets[i] : offsets[j]] >= 0xCA).any()
+    tk.trim()
 
 
 class Pieces:
@@ -210,64 +310,78 @@ def _texts(docs: DataFrame) -> DataFrame:
 
 
 def distinct_words(docs: DataFrame, path: str) -> DataFrame:
-    """Every distinct word of the texts once: word, its hash, and its ids packed as int32."""
+    """Every distinct word of the texts once: word, its hash, its ids packed as int32, and in how many chunks it stands."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, seen = splitter(path), set()
         for b in batches:
             for _, _, texts, plain in text_chunks(b.column("text")):
-                for text in texts:
-                    if text:
-                        seen.update(s.words(text, plain) or ())
-                if len(seen) > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
+                raw, start, end, h, _, _ = s.chunk(texts, plain)
+                h, first = np.unique(h, return_index=True)
+                new = np.fromiter((x not in seen for x in h.tolist()), bool, len(h))
+                seen.update(h[new].tolist())
+                first = first[new]
+                yield pa.RecordBatch.from_arrays([pa.array([raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.binary()).cast(pa.string())], names=["word"])
+                if len(seen) > 300_000:
                     seen.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = splitter(path)
         for b in batches:
-            words = b.column("word").to_pylist()
-            ids = [s.ids(w) for w in words]
+            ids = [s.ids_of(w.encode()) for w in b.column("word").to_pylist()]
             off = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
-            h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(h), tk.pack(np.array([i for x in ids for i in x], np.int32), off)], names=["word", "h", "ids"])
+            data, bounds = tk.buffers(b.column("word"))
+            h = run_hashes(data, bounds[:-1], bounds[1:])
+            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(h.view(np.int64)), tk.pack(np.array([i for x in ids for i in x], np.int32), off), b.column("chunks")], names=["word", "h", "ids", "chunks"])
 
-    return docs.select("text").mapInArrow(split, "word string").distinct().mapInArrow(encode, "word string, h long, ids binary")
+    return docs.select("text").mapInArrow(split, "word string").groupBy("word").agg(F.count("*").alias("chunks")).mapInArrow(encode, "word string, h long, ids binary, chunks long")
 
 
-def encode(docs: DataFrame, path: str, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """docs(doc_id, text) to doc_id and ids, packed as int32."""
+def encode(docs: DataFrame, path: str, table_bytes: int = TABLE_BYTES, join: bool = False) -> DataFrame:
+    """docs(doc_id, text) to doc_id and ids, packed as int32. join: never send the table."""
     docs = _texts(docs)
     table = cut(distinct_words(docs, path))
-    size = table.agg(F.count("*").alias("n"), F.sum(F.length("ids")).alias("ids")).first()
+    clash = table.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()  # two words of one hash
+    if join or clash:
+        return _by_join(docs, path, table)
     # as sent: a hash, an offset, and ids of 2 bytes (4 in a vocabulary beyond 65,536)
     width = 2 if splitter(path).library.get_vocab_size() <= 65536 else 4
-    if size.n * 12 + (size.ids or 0) // 4 * width <= table_bytes:
-        got = table.select("h", "ids").toArrow()
-        h = got.column("h").to_numpy().view(np.uint64)
-        if len(np.unique(h)) == len(h):
-            return _by_broadcast(docs, path, got, h)
-    return _by_join(docs, path, table)
-
-
-def _by_broadcast(docs: DataFrame, path: str, got: pa.Table, h: np.ndarray) -> DataFrame:
-    """All words are in the table and no two have one hash, so a hash tells the word."""
-    order = np.argsort(h)
-    flat, off = tk.blobs(got.column("ids").combine_chunks() if got.num_rows else pa.array([], pa.binary()), np.int32)
-    sizes = (off[1:] - off[:-1])[order]
-    flat, _ = gather(flat, off, order, np.array([0]))
-    sent = docs.sparkSession.sparkContext.broadcast((h[order], flat.astype(np.uint16) if not len(flat) or flat.max() < 65536 else flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint32)))
+    level = F.floor(F.log2("chunks")).cast("int").alias("level")
+    sizes = table.groupBy(level).agg((F.count("*") * 12 + F.sum(F.length("ids")) / 4 * width).alias("bytes")).collect()  # a row for each power of two
+    least, total = None, 0
+    for r in sorted(sizes, key=lambda r: -r.level):
+        total += r.bytes
+        if total > table_bytes:
+            break
+        least = r.level
+    common = table.filter(F.col("chunks") >= (1 << least)) if least is not None else table.limit(0)
+    return _by_broadcast(docs, path, common.select("h", "ids").orderBy("h").toArrow())
+
+
+def _by_broadcast(docs: DataFrame, path: str, got: pa.Table) -> DataFrame:
+    """No two words of the corpus have one hash, so a hash tells the word; words that aren't in the table are encoded where they stand."""
+    keys = got.column("h").to_numpy()  # sorted already
+    flat, off = [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)]
+    for part in got.column("ids").chunks:
+        ids, rows = tk.blobs(part, np.int32)
+        flat.append(ids.astype(np.uint16) if not len(ids) or ids.max() < 65536 else ids)
+        off.append(rows[1:] + off[-1][-1])
+    del got
+    sent = docs.sparkSession.sparkContext.broadcast((keys, np.concatenate(flat), np.concatenate(off).astype(np.uint32)))
+    del flat, off
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = splitter(path)
         keys, flat, off = sent.value
 
-        def look(word: str) -> list[int]:
-            k = int(keys.searchsorted(np.uint64(xxhash.xxh64_intdigest(word))))
-            return flat[off[k] : off[k + 1]].tolist()
+        def look(h: np.ndarray, words: list[bytes]) -> list[list[int]]:
+            h = h.view(np.int64)
+            k = np.minimum(keys.searchsorted(h), max(0, len(keys) - 1))
+            known = keys[k] == h if len(keys) else np.zeros(len(h), bool)
+            k[~known] = 0
+            return [flat[i:j].tolist() if there else s.ids_of(w) for i, j, there, w in zip(off[k].tolist(), off[np.minimum(k + 1, len(off) - 1)].tolist(), known.tolist(), words, strict=True)]
 
-        cache = Cache(look, 200_000)
+        cache = Cache(look, 300_000)
         for b in batches:
             for i, j, texts, plain in text_chunks(b.column("text")):
                 ids, rows = encode_chunk(s, cache, texts, plain)
@@ -285,19 +399,13 @@ def _by_join(docs: DataFrame, path: str, table: DataFrame) -> DataFrame:
         s, n = splitter(path), TaskContext.get().partitionId() << 40
         for b in batches:
             for i, j, texts, plain in text_chunks(b.column("text")):
-                seen: dict[str, int] = {}
-                sizes, words, own = [], [], []
-                for r, text in enumerate(texts):
-                    found = s.words(text, plain) if text else []
-                    if found is None:
-                        own.append((r, s.whole(text)))
-                        found = []
-                    words.append(np.array([seen.setdefault(w, len(seen)) for w in found], np.uint32))
-                    sizes.append(len(found))
+                raw, start, end, h, bounds, own = s.chunk(texts, plain)
+                _, first, words = np.unique(h, return_index=True, return_inverse=True)
+                seen = [raw[x:y].decode() for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
                 ids = pa.ipc.new_stream(sink := pa.BufferOutputStream(), pa.schema([("d", pa.int64())]))
                 ids.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i)], names=["d"]))
                 ids.close()
-                head = [sink.getvalue().to_pybytes(), np.array(sizes, np.uint32).tobytes(), np.concatenate(words).astype(np.uint32).tobytes() if words else b"", repr(own).encode()]
+                head = [sink.getvalue().to_pybytes(), np.diff(bounds).astype(np.uint32).tobytes(), words.astype(np.uint32).tobytes(), repr([*own.items()]).encode()]
                 rows = [pa.array([n] * (len(seen) + 1), pa.int64()), pa.array([-1, *range(len(seen))], pa.int32()), pa.array([None, *seen], pa.string()), *[pa.array([x] + [None] * len(seen), pa.binary()) for x in head]]
                 yield pa.RecordBatch.from_arrays(rows, schema=schema)
                 n += 1
@@ -328,7 +436,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
         for b in batches:
-            for i, j in tk.pieces(tk.buffers(b.column("ids"))[1], 1 << 21):
+            for i, j in tk.pieces(tk.buffers(b.column("ids"))[1], 1 << 20):
                 ids, rows = tk.blobs(b.column("ids").slice(i, j - i), np.int32)
                 text = [x.decode("utf-8", "replace") for x in p.decode(ids, rows)]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(ids)), pa.array(text, pa.string())], names=["doc_id", "ids", "text"])
@@ -342,7 +450,7 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = pieces_of(path)
         for b in batches:
-            for i, j in tk.pieces(tk.buffers(b.column("ids"))[1], 1 << 21):
+            for i, j in tk.pieces(tk.buffers(b.column("ids"))[1], 1 << 20):
                 ids, rows = tk.blobs(b.column("ids").slice(i, j - i), np.int32)
                 joined = [hashlib.sha256(x.encode()).hexdigest() for x in p.joined(ids, rows)]
                 text = [hashlib.sha256(_valid(x)).hexdigest() for x in p.decode(ids, rows)]

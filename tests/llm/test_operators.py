@@ -100,8 +100,8 @@ def test_bpe(spark, texts):
     for d, t in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    for size in (bpe.TABLE_BYTES, 0):
-        got = bpe.digests(bpe.encode(frame(spark, rows), path, size), path).collect()
+    for size, join in ((bpe.TABLE_BYTES, False), (2000, False), (0, False), (0, True)):
+        got = bpe.digests(bpe.encode(frame(spark, rows), path, size, join), path).collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     back = bpe.decode(bpe.encode(frame(spark, rows), path), path).collect()
     assert sorted((r.doc_id or -1, r.text) for r in back) == sorted((d or -1, t or "") for d, t in rows)
