@@ -4,11 +4,11 @@ Terms are words and their byte n-grams of 4 to 6, lower-cased. The vocabulary ho
 MOST_TERMS terms that point most surely to toxic examples (a two-proportion z-score on at
 most MOST_EXAMPLES labelled documents a class, the first by hash). Every document becomes a
 TF-IDF vector over it, with document frequencies over all documents, and meets the
-examples by exact cosine: an inverted index keeps, for each term and block of BLOCK
-distinct example vectors, the largest weight, so blocks whose bound can't reach the k-th
-best are skipped. Equal vectors are one neighbour with all their labels. Votes are
-weighted by squared similarity and by how far the sample thins each class; a monotone fit
-of leave-one-out votes to labels makes them probabilities. Neighbours are the evidence.
+examples by exact cosine: an inverted index keeps, for each term, the distinct example
+vectors with it and their weights. Equal vectors are one neighbour with all their labels.
+Votes are weighted by squared similarity and by how far the sample thins each class; a
+monotone fit of leave-one-out votes, taken in parallel, to labels makes them
+probabilities. Neighbours are the evidence.
 
 Results for odd input: a text without terms of the vocabulary, as an empty or null one,
 gets the share of toxic documents among such examples; labels that are null, of null or
@@ -27,10 +27,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import cut
+from .shared import cut, partitions
 
-MOST_EXAMPLES, MOST_TERMS, LEAST_DOCS, LEAST_Z, NEIGHBOURS, BLOCK, THRESHOLD = 1500, 2000, 5, 5.0, 16, 64, 0.3
-GRAMS, FIRST_BLOCKS = (4, 5, 6), 3
+MOST_EXAMPLES, MOST_TERMS, LEAST_DOCS, LEAST_Z, NEIGHBOURS, THRESHOLD = 6000, 2000, 5, 5.0, 16, 0.3
+GRAMS, DENSE, BATCH = (4, 5, 6), 16, 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -128,31 +128,45 @@ def inverse_frequencies(vecs: DataFrame, n_terms: int) -> np.ndarray:
     return np.log((1 + df[n_terms]) / (1 + df[:n_terms])) + 1
 
 
+def _ranges(start: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the ranges start[a]:start[a + 1] one after another, and their lengths."""
+    many = start[at + 1] - start[at]
+    return np.repeat(start[at] - (np.cumsum(many) - many), many) + np.arange(many.sum()), many
+
+
 class Index:
-    """Distinct example vectors in blocks, their labels, and the fit from votes to probabilities."""
+    """Postings of distinct example vectors, and their labels."""
 
-    def __init__(self, rows: list[tuple[int, int, bytes, bytes]], idf: np.ndarray, weight: dict[int, float], k: int = NEIGHBOURS, block: int = BLOCK) -> None:
-        self.idf, self.k, self.block = idf, k, block
+    def __init__(self, rows: list[tuple[int, int, bytes, bytes]], idf: np.ndarray, weight: dict[int, float], k: int = NEIGHBOURS, block: int = DENSE) -> None:
+        self.idf, self.k = idf, k
         groups: dict[tuple[bytes, bytes], list[tuple[int, int]]] = {}
         for doc_id, toxic, terms, counts in sorted(rows):
             groups.setdefault((terms, counts), []).append((doc_id, toxic))
         empty = groups.pop((b"", b""), [])
         self.weight = np.array([weight[0], weight[1]])
-        # vectors with like terms share blocks, which keeps the bounds low
-        keys = sorted(groups)
+        keys = self.keys = sorted(groups)
         self.ids = [[d for d, _ in groups[x]] for x in keys]
-        self.votes = np.array([[sum(t == y for _, t in groups[x]) * weight[y] for y in (0, 1)] for x in keys]).reshape(-1, 2)
-        self.n_blocks = -(-len(keys) // block)
+        self.many = np.array([[sum(t == y for _, t in groups[x]) for y in (0, 1)] for x in keys], np.int64).reshape(-1, 2)
+        self.votes = self.many * self.weight
         vecs = [self.vector(t, c) for t, c in keys]
         term = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vecs)])
         row = np.repeat(np.arange(len(vecs)), [len(t) for t, _ in vecs]) if vecs else np.zeros(0, np.int64)
         w = np.concatenate([np.zeros(0), *(x for _, x in vecs)])
-        # the postings of a block of vectors: a row of weights for each term
-        self.blocks = np.zeros((self.n_blocks, len(idf), block), np.float32)
-        self.blocks[row // block, term, row % block] = w
-        self.most = self.blocks.max(2).T.astype(np.float64) if self.n_blocks else np.zeros((len(idf), 0))
+        self.term, self.weights, self.first = term, w, np.searchsorted(row, np.arange(len(vecs) + 1))
+        order = np.argsort(term, kind="stable")
+        self.row, self.w = row[order].astype(np.int32), w[order]
+        self.start = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        # a term in one of `block` vectors, or more, has a row of weights, and these meet a batch at once
+        often = np.flatnonzero(np.diff(self.start) * block >= max(1, len(keys)))
+        self.dense = np.full(len(idf), -1)
+        self.dense[often] = np.arange(len(often))
+        self.rows = np.zeros((len(often), len(keys)), np.float32)
+        for i, t in enumerate(often.tolist()):
+            x = slice(self.start[t], self.start[t + 1])
+            self.rows[i, self.row[x]] = self.w[x]
         self.toxic = bool(self.votes[:, 1].sum()) or any(t for _, t in empty)
-        self._fit(keys, groups, empty, weight)
+        total = sum(weight[t] for _, t in empty)
+        self.of_empty = (sum(weight[t] for _, t in empty if t) + 0.01) / (total + 1) if empty else 0.0
 
     def vector(self, terms: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
         t = np.frombuffer(terms, np.uint16).astype(np.int64)
@@ -161,22 +175,32 @@ class Index:
 
     def nearest(self, t: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest distinct vectors, of those that share a term."""
-        bound = (w @ self.most[t]) * (1 + 1e-6)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        at, sim = np.zeros(0, np.int64), np.zeros(0)
-        # the blocks with the highest bounds first; then, at once, those that can still matter
-        for chosen in (order[:FIRST_BLOCKS], order[FIRST_BLOCKS:]):
-            if len(sim) == self.k:
-                chosen = chosen[bound[chosen] >= sim[-1]]
-            if not len(chosen):
-                continue
-            score = np.einsum("t,bts->bs", w, self.blocks[chosen[:, None], t])
-            b, s = np.nonzero(score > 0)
-            at, sim = np.concatenate([at, chosen[b] * self.block + s]), np.concatenate([sim, score[b, s]])
+        return self.nearest_of([(t, w)])[0]
+
+    def nearest_of(self, vecs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        if not self.keys:
+            return [(np.zeros(0, np.int64), np.zeros(0)) for _ in vecs]
+        sent = np.zeros((len(vecs), len(self.rows)), np.float32)
+        for n, (t, w) in enumerate(vecs):
+            often = self.dense[t] >= 0
+            sent[n, self.dense[t[often]]] = w[often]
+        near, full = sent @ self.rows, np.zeros(len(self.idf))
+        out = []
+        for (t, w), score in zip(vecs, near, strict=True):
+            rare = self.dense[t] < 0
+            if rare.any():
+                i, many = _ranges(self.start, t[rare])
+                score = score + np.bincount(self.row[i], np.repeat(w[rare], many) * self.w[i], len(score)).astype(np.float32)
+            least = np.partition(score, len(score) - self.k)[len(score) - self.k] if len(score) > self.k else 0.0
+            # all that rounding could bring among the nearest, and their cosines in doubles
+            at = np.flatnonzero((score > 0) & (score >= least * (1 - 1e-4)))
+            i, many = _ranges(self.first, at)
+            full[t] = w
+            sim = np.bincount(np.repeat(np.arange(len(at)), many), full[self.term[i]] * self.weights[i], len(at)).astype(np.float64)
+            full[t] = 0
             best = np.lexsort((at, -sim))[: self.k]
-            at, sim = at[best], sim[best]
-        return at, sim
+            out.append((at[best], sim[best]))
+        return out
 
     def vote(self, at: np.ndarray, sim: np.ndarray, own: int = -1, label: int = 0) -> float:
         votes = self.votes[at].copy()
@@ -185,36 +209,36 @@ class Index:
         v = (sim**2) @ votes
         return float(v[1] / v.sum()) if v.sum() > 0 else 0.0
 
-    def _fit(self, keys: list, groups: dict, empty: list, weight: dict[int, float]) -> None:
-        total = sum(weight[t] for _, t in empty)
-        self.of_empty = (sum(weight[t] for _, t in empty if t) + 0.01) / (total + 1) if empty else 0.0
-        x, y, n = [], [], []
-        for i, key in enumerate(keys):
-            at, sim = self.nearest(*self.vector(*key))
-            for label in (0, 1):
-                if many := sum(t == label for _, t in groups[key]):
-                    x.append(self.vote(at, sim, i, label))
-                    y.append(float(label))
-                    n.append(many * weight[label])
-        order = np.argsort(x, kind="stable")
-        parts: list[list[float]] = []  # vote, share, weight
-        for v, s, m in zip(np.array(x)[order], np.array(y)[order], np.array(n)[order], strict=True):
-            parts.append([v, s, m])
-            while len(parts) > 1 and (parts[-2][1] >= parts[-1][1] or parts[-2][0] == parts[-1][0]):
-                a, b = parts[-2], parts.pop()
-                parts[-1] = [(a[0] * a[2] + b[0] * b[2]) / (a[2] + b[2]), (a[1] * a[2] + b[1] * b[2]) / (a[2] + b[2]), a[2] + b[2]]
-        self.knots = np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
-
-    def score(self, terms: bytes, counts: bytes) -> tuple[float, list[int]]:
-        """Probability, and doc_ids of the nearest examples, one for each distinct vector."""
+    def left_out(self, places: list[int]) -> list[tuple[int, float, int, float]]:
+        """(place, vote, label, weight) of the examples at places, each without its own vote."""
+        out = []
+        for n in range(0, len(places), BATCH):
+            part = places[n : n + BATCH]
+            for i, (at, sim) in zip(part, self.nearest_of([self.vector(*self.keys[i]) for i in part]), strict=True):
+                out += [(i, self.vote(at, sim, i, y), y, float(self.votes[i, y])) for y in (0, 1) if self.many[i, y]]
+        return out
+
+    def scores(self, keys: list[tuple[bytes, bytes]], knots: tuple[np.ndarray, np.ndarray]) -> list[tuple[float, list[int]]]:
+        """Probability, and doc_ids of the nearest examples, one for each distinct vector, of each of keys."""
         if not self.toxic:
-            return 0.0, []
-        if not terms:
-            return self.of_empty, []
-        at, sim = self.nearest(*self.vector(terms, counts))
-        if not len(at):
-            return self.of_empty, []
-        return float(np.clip(np.interp(self.vote(at, sim), *self.knots), 0, 1)), [self.ids[i][0] for i in at]
+            return [(0.0, [])] * len(keys)
+        out: list[tuple[float, list[int]]] = []
+        for n in range(0, len(keys), BATCH):
+            part = keys[n : n + BATCH]
+            found = self.nearest_of([self.vector(*key) for key in part])
+            out += [(float(np.clip(np.interp(self.vote(at, sim), *knots), 0, 1)), [self.ids[i][0] for i in at]) if len(at) else (self.of_empty, []) for at, sim in found]
+        return out
+
+
+def monotone(points: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the non-decreasing fit to points (vote, label, weight) in their order."""
+    parts: list[list[float]] = []  # vote, share, weight
+    for v, s, m in points:
+        parts.append([v, float(s), m])
+        while len(parts) > 1 and (parts[-2][1] >= parts[-1][1] or parts[-2][0] == parts[-1][0]):
+            a, b = parts[-2], parts.pop()
+            parts[-1] = [(a[0] * a[2] + b[0] * b[2]) / (a[2] + b[2]), (a[1] * a[2] + b[1] * b[2]) / (a[2] + b[2]), a[2] + b[2]]
+    return np.array([p[0] for p in parts]), np.array([p[1] for p in parts])
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -226,18 +250,27 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     vecs = cut(vectors(docs, vocab))
     idf = inverse_frequencies(vecs, len(vocab))
     rows = [tuple(r) for r in vecs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.col("terms"), F.col("counts")).dropDuplicates(["doc_id"]).collect()]  # at most twice MOST_EXAMPLES
-    index = spark.sparkContext.broadcast(Index([(d, t, bytes(a), bytes(b)) for d, t, a, b in rows], idf, weight))
+    built = Index([(d, t, bytes(a), bytes(b)) for d, t, a, b in rows], idf, weight)
+    index = spark.sparkContext.broadcast(built)
+
+    def leave_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = index.value.left_out(b.column("id").to_pylist())
+            yield pa.RecordBatch.from_pylist([dict(zip(("id", "vote", "label", "weight"), x, strict=True)) for x in got], schema=pa.schema([("id", pa.int64()), ("vote", pa.float64()), ("label", pa.int64()), ("weight", pa.float64())]))
+
+    places = spark.range(0, len(built.keys), 1, partitions(spark))
+    votes = places.mapInArrow(leave_out, "id long, vote double, label long, weight double").collect()  # at most two a vector
+    knots = monotone([(r.vote, r.label, r.weight) for r in sorted(votes, key=lambda r: (r.vote, r.id, r.label))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple[bytes, bytes], tuple[float, list[int]]] = {}
         for b in batches:
-            got = []
-            for key in zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                if key not in known:
-                    if len(known) > 20_000:
-                        known.clear()
-                    known[key] = index.value.score(*key)
-                got.append(known[key])
+            keys = list(zip(b.column("terms").to_pylist(), b.column("counts").to_pylist(), strict=True))
+            if len(known) > 20_000:
+                known.clear()
+            new = [key for key in dict.fromkeys(keys) if key not in known]
+            known |= zip(new, index.value.scores(new, knots), strict=True)
+            got = [known[key] for key in keys]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
     out = vecs.mapInArrow(run, "doc_id long, score double, evidence array<long>")

@@ -252,3 +252,12 @@ def test_nearest_is_exact():
         _, sim = index.nearest(*index.vector(*key))
         best = np.sort(dense @ dense[n])[::-1][:7]
         assert np.allclose(sim, best[: len(sim)], atol=1e-5)
+
+
+def test_toxicity_keeps_up_to_6000_examples_a_class(spark):
+    labels = spark.range(10_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    sample, weight = toxicity.examples(labels)
+    learnable = labels.filter(~toxicity.held_out(F.col("doc_id")))
+    assert sample.filter("toxic = 1").count() == learnable.filter("toxic = 1").count() > 1500
+    assert sample.filter("toxic = 0").count() == learnable.filter("toxic = 0").count() > 1500
+    assert weight == {0: 1.0, 1: 1.0}
