@@ -1,8 +1,9 @@
 """Toxicity from the nearest labelled examples.
 
-Terms are words and their byte n-grams of 4 to 6, lower-cased. The vocabulary holds the
-MOST_TERMS terms that point most surely to toxic examples (a two-proportion z-score on at
-most MOST_EXAMPLES labelled documents a class, the first by hash). Every document becomes a
+Terms are words and their byte n-grams of 4 to 6, lower-cased. The vocabulary holds, of each
+toxic example, the TERMS_EACH terms that point most surely to toxic examples (by the rank of
+a two-proportion z-score on at most MOST_EXAMPLES labelled documents a class, the first by
+hash; no least score, so a rare language has its terms, too). Every document becomes a
 TF-IDF vector over it, with document frequencies over all documents, and meets the
 examples by exact cosine: an inverted index keeps, for each term, the distinct example
 vectors with it and their weights. Equal vectors are one neighbour with all their labels.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .shared import cut, partitions
 
-MOST_EXAMPLES, MOST_TERMS, LEAST_DOCS, LEAST_Z, NEIGHBOURS, THRESHOLD = 6000, 2000, 5, 5.0, 16, 0.3
+MOST_EXAMPLES, TERMS_EACH, NEIGHBOURS, THRESHOLD = 6000, 10, 16, 0.3  # MOST_EXAMPLES * TERMS_EACH places fit in 16 bits
 GRAMS, DENSE, BATCH = (4, 5, 6), 16, 64
 
 
@@ -62,9 +63,10 @@ def examples(labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[DataFrame, d
     return cut(part[0].union(part[1])), {y: max(1.0, counts.get(y, 0) / most) for y in (0, 1)}
 
 
-def vocabulary(docs: DataFrame, sample: DataFrame, most: int = MOST_TERMS) -> np.ndarray:
-    """Sorted hashes of the terms that toxic examples have most surely more often."""
-    flagged = docs.join(F.broadcast(sample), "doc_id").select("text", "toxic")
+def vocabulary(docs: DataFrame, sample: DataFrame, each: int = TERMS_EACH) -> np.ndarray:
+    """Sorted hashes of the terms of each toxic example that toxic examples have most surely more often."""
+    spark = docs.sparkSession
+    flagged = cut(docs.join(F.broadcast(sample), "doc_id").select("text", "toxic"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,16 +82,35 @@ def vocabulary(docs: DataFrame, sample: DataFrame, most: int = MOST_TERMS) -> np
     nb, ng = n.get(1, 0), n.get(0, 0)
     if not nb:
         return np.zeros(0, np.uint64)
-    found = flagged.mapInArrow(count, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") >= LEAST_DOCS)
+    found = flagged.mapInArrow(count, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter("bad > 0")
     share = (F.col("bad") + F.col("good")) / F.lit(float(nb + ng))
     z = (F.col("bad") / F.lit(float(nb)) - F.col("good") / F.lit(float(max(1, ng)))) / F.sqrt(share * (1 - share + 1e-9) * F.lit(1 / nb + 1 / max(1, ng)))
-    best = found.select("term", z.alias("z")).filter(F.col("z") > LEAST_Z).orderBy(F.desc("z"), "term").limit(most).toArrow()
+    sure = found.select("term", z.cast("float").alias("z")).filter("z > 0").toArrow()  # of the sample alone
+    term, value = sure.column("term").to_numpy().view(np.uint64), sure.column("z").to_numpy()
+    order = np.argsort(term)
+    sent = spark.sparkContext.broadcast((term[order], value[order]))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        term, value = sent.value
+        for b in batches:
+            for _, _, c in tk.chunks(b.column("text"), tk.ALNUM, tk.BYTE_LOWER):
+                pairs = [tk.distinct_by_row(row, h) for row, h in _terms(c)]
+                row, h = (np.concatenate(x) for x in zip(*pairs, strict=True))
+                at = np.minimum(np.searchsorted(term, h), max(0, len(term) - 1))
+                ok = np.flatnonzero(term[at] == h) if len(term) else np.zeros(0, np.int64)
+                row, at = row[ok], at[ok]
+                order = np.lexsort((at, -value[at], row))
+                row, at = row[order], at[order]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(term[at[rank < each]]).view(np.int64))], names=["term"])
+
+    best = flagged.filter("toxic = 1").select("text").mapInArrow(choose, "term long").distinct().toArrow()  # at most MOST_EXAMPLES * TERMS_EACH
     return np.sort(best.column("term").to_numpy().view(np.uint64))
 
 
 def vectors(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
     """doc_id, terms (packed uint16 places in the vocabulary) and counts (packed uint32)."""
-    sent = docs.sparkSession.sparkContext.broadcast(vocab)  # at most MOST_TERMS hashes
+    sent = docs.sparkSession.sparkContext.broadcast(vocab)  # at most MOST_EXAMPLES * TERMS_EACH hashes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, mask = sent.value, np.uint64((1 << 20) - 1)

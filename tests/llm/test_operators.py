@@ -261,3 +261,13 @@ def test_toxicity_keeps_up_to_6000_examples_a_class(spark):
     assert sample.filter("toxic = 1").count() == learnable.filter("toxic = 1").count() > 1500
     assert sample.filter("toxic = 0").count() == learnable.filter("toxic = 0").count() > 1500
     assert weight == {0: 1.0, 1: 1.0}
+
+
+def test_toxicity_vocabulary_has_terms_of_rare_languages(spark):
+    rng = random.Random(9)
+    rows = [(i, words(rng, 30, 200) + (" grumpfing" if i % 4 == 0 else "")) for i in range(400)]
+    rows += [(1000 + i, f"único{i} zorbent") for i in range(3)]  # toxic, and fewer than five
+    sample = spark.createDataFrame([(i, int(i >= 1000 or i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = toxicity.vectors(docs, toxicity.vocabulary(docs, sample)).filter("length(terms) = 0").join(sample.filter("toxic = 1"), "doc_id")
+    assert found.count() == 0
