@@ -81,6 +81,11 @@ class Bloom:
         return False
 
 
+def gram_count(texts: DataFrame, n: int = 8) -> int:
+    """n-grams of all texts with tokens, repeats included: a filter of this size holds any of them at its rate."""
+    return texts.agg(F.coalesce(F.sum(F.greatest(F.size("tokens").cast("long") - n + 1, F.lit(0).cast("long"))), F.lit(0))).first()[0]
+
+
 def sequential(texts: DataFrame, total: int, n: int = 8, threshold: float = 0.3, paragraphs: bool = False, order: str = "text_id") -> DataFrame:
     """texts with tokens, in order, without duplicate texts (or paragraphs): one task by design."""
 

@@ -238,3 +238,28 @@ def test_annotations(spark):
     assert one(spark, annotate.short_tag, "Db---") == "Db"
     assert one(spark, annotate.tagger_features, "Ab-1").suffix2 == "-1"
     assert annotate.export(t).first().language == ["cs", "en"]
+
+
+def test_bloom_query_is_sized_by_its_table(spark, tmp_path):
+    """Against a brute-force set of n-grams, on more of them than a constant size would hold."""
+    from corpusmill.plans import catalog
+
+    texts = [" ".join(f"w{d}x{i}" for i in range(40)) for d in range(60)] + ["too short"]
+    texts += texts[:5] + [texts[5] + " " + " ".join(f"new{i}" for i in range(40))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sizes, plain = [], dedup.sequential
+    dedup.sequential = lambda df, total, **k: sizes.append(total) or plain(df, total, **k)
+    try:
+        got = {r.doc_id for r in catalog.QUERIES["dedup_bloom_sequential"](spark, str(tmp_path)).collect()}
+    finally:
+        dedup.sequential = plain
+    seen, kept, grams = set(), set(), 0
+    for i, t in enumerate(texts):
+        w = t.split()
+        own = [tuple(w[k : k + 8]) for k in range(len(w) - 7)]
+        grams += len(own)
+        if not own or sum(g in seen for g in own) / len(own) <= 0.3:
+            kept.add(i)
+            seen |= set(own)
+    assert got == kept
+    assert sizes == [grams]
