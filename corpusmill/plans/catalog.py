@@ -348,6 +348,17 @@ def attach_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("page_id", "site_md5").join(p.filter("page_id % 4 <> 0").groupBy("site_md5").agg(F.min("page_id").alias("first_page")), "site_md5")
 
 
+@query(f"""with s as (select site_md5, min(page_id) as first_page from {HASHED} group by 1)
+select site_md5, path_md5, first_page, first_page % 100 < 50 as needs_dns, first_page % 60 < 50 as needs_robots, cast(row_number() over (partition by site_md5 order by path_md5) as integer) as turn
+from (select distinct site_md5, path_md5 from {HASHED}) join s using (site_md5)""")
+def attach_all_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator over all pages and their sites, with made-up times of expiry."""
+    sites = _hashed(spark, sf_dir).groupBy("site_md5").agg(F.min("page_id").alias("first_page"))
+    sites = sites.select("site_md5", "first_page", (F.col("first_page") % 100).alias("ip_expires"), (F.col("first_page") % 60).alias("robots_expires"))
+    out = crawl.attach_sites(read(spark, sf_dir, "pages").select("url"), sites, 50)
+    return out.select("site_md5", "path_md5", "first_page", "needs_dns", "needs_robots", "turn")
+
+
 def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A robots.txt a site, made of its host's name."""
     host = urls.host(F.col("url"))
