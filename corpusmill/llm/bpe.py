@@ -1,20 +1,22 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words inside the partitions; each distinct word of the corpus is
-encoded once, and the ids come back to the words' positions. The table goes to all executors
-as sorted 64-bit word hashes with their ids while it has at most `table_bytes` (checked
-before it is sent; that no two words share a hash is checked as well). Of a larger table
-only the words of most chunks are sent, as many as fit; the others stand in so few chunks
-that they are encoded where they stand. With join=True nothing is sent: chunks of texts
-send their distinct words to a join with the table, once a chunk, so that frequent words
-make no hot key, and get the ids back by chunk. Decoding looks ids up in the table of
-pieces, whose size the vocabulary fixes.
-
-The library's own encoder serves texts with code points that Python's Unicode tables don't
-know, since its tables may be newer and split them otherwise.
+Spark splits the texts into words by the vocabulary's own pattern. A task takes the texts
+chunk by chunk and numbers each chunk's distinct words; these, once a chunk so that frequent
+words make no hot key, go to the table of distinct words, which is partitioned by the words'
+hashes: each partition holds a word once, by its bytes, and encodes it once. The ids go back
+to the chunks that asked and are joined with the words' positions, which stay in an Arrow
+file that the task wrote to the shared folder (a failed attempt's file is never named by
+anyone). Nothing is broadcast. Decoding joins ids with the table of pieces, one row an id,
+whose size the vocabulary fixes and which every worker holds as an array: the join is a take.
+
+The library's own encoder serves texts that hold a special token, or code points that the
+Unicode tables here don't know, since its tables may be newer. Vocabularies that normalise
+text, and texts of more than LONG_TEXT characters (whose words would be one huge row), are
+split in Python by the same pattern.
 
 Results for odd input: a null text is empty and has no ids; a null doc_id stays null; rows
-that repeat a doc_id are encoded one by one; an empty table gives an empty result.
+that repeat a doc_id are encoded one by one; a word of any length is a word; an empty table
+gives an empty result. docs must give the same rows if read again, as a written table does.
 """
 
 from __future__ import annotations
@@ -22,21 +24,23 @@ from __future__ import annotations
 import hashlib
 import sys
 import unicodedata
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import cut
+from .shared import partitions, work_folder
 
-TABLE_BYTES = 96 << 20
+CHUNK_WORDS, LONG_TEXT = 500_000, 1 << 22
 #: How the two kinds of vocabulary split a text; word_bounds() follows them.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -151,16 +155,6 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, lower: bool) -> tuple[np.
     return start, end
 
 
-def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = len(data)
-    p, inv = tk.powers("byte", n + 1)
-    s = np.zeros(n + 1, np.uint64)
-    v = tk.BYTE_AS_IS[data]
-    v *= p[:n]
-    np.cumsum(v, out=s[1:])
-    return tk.mix((s[end] - s[start]) * inv[start] + (end - start).astype(np.uint64))
-
-
 class Splitter:
     """Words of a text as the tokenizer file splits it, and ids of a word."""
 
@@ -178,18 +172,17 @@ class Splitter:
     def normal(self, text: str) -> str:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower() if self.lower else text
 
-    def chunk(self, texts: list[str | None], plain: bool) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, list[int]]]:
-        """Bytes of all texts; starts, ends and hashes of their words; offsets of the rows into these; ids of the texts that the library has to encode."""
+    def chunk(self, texts: list[str | None], plain: bool) -> tuple[pa.Array, np.ndarray, dict[int, list[int]]]:
+        """The words of all texts; offsets of the rows into them; ids of the texts that the library has to encode."""
         parts, own = [], {}
         for r, text in enumerate(texts):
             if text and ((not plain and _unknown().search(text)) or ("<|" in text and any(x in text for x in self.hints))):
                 own[r] = self.whole(text)
                 text = ""
             parts.append(self.normal(text).encode() if text else b"")
-        raw = b"".join(parts)
-        data, offsets = np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+        data, offsets = np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
         start, end = word_bounds(data, offsets, self.lower)
-        return raw, start, end, run_hashes(data, start, end), np.searchsorted(start, offsets), own
+        return tk.packed_runs(data, start, end), np.searchsorted(start, offsets), own
 
     def ids_of(self, word: bytes) -> list[int]:
         if word.isalnum():  # such bytes stand for themselves, and a space for one other letter
@@ -211,37 +204,40 @@ def splitter(path: str) -> Splitter:
 
 
 class Cache:
-    """Ids of words by hash; resolve(hashes, words) gives those of new ones."""
+    """Ids of words, by their bytes."""
 
-    def __init__(self, resolve: Callable[[np.ndarray, list[bytes]], list[list[int]]], most: int = 600_000) -> None:
-        self.resolve, self.most = resolve, most
+    def __init__(self, split: Splitter, most: int = 200_000) -> None:
+        self.split, self.most = split, most
         self.reset()
 
     def reset(self) -> None:
-        self.places: dict[int, int] = {}
+        self.places: dict[bytes, int] = {}
         self.flat, self.off = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
-    def look(self, h: np.ndarray, raw: bytes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def look(self, words: pa.Array) -> np.ndarray:
         """Places of the words in flat and off."""
         if len(self.places) > self.most:
             self.reset()
-        known, first, back = np.unique(h, return_index=True, return_inverse=True)
-        at = np.fromiter(map(self.places.get, known.tolist(), repeat(-1)), np.int64, len(known))
+        coded = words.dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        at = np.fromiter(map(self.places.get, known, repeat(-1)), np.int64, len(known))
         new = np.flatnonzero(at < 0)
         if len(new):
-            hashes, first = known[new], first[new]
-            ids = self.resolve(hashes, [raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)])
+            words = [known[i] for i in new.tolist()]
             base = len(self.places)
-            self.places.update(zip(hashes.tolist(), range(base, base + len(hashes)), strict=True))
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
-            self.off = np.concatenate([self.off, self.off[-1] + np.cumsum(sizes)])
+            self.places.update(zip(words, range(base, base + len(words)), strict=True))
+            flat, off = encode_words(self.split, words)
+            self.flat = np.concatenate([self.flat, flat])
+            self.off = np.concatenate([self.off, self.off[-1] + off[1:]])
             at[new] = np.arange(base, base + len(new))
-        return at[back]
+        return at[coded.indices.to_numpy()]
 
 
-def by_model(split: Splitter) -> Callable[[np.ndarray, list[bytes]], list[list[int]]]:
-    return lambda _, words: [split.ids_of(w) for w in words]
+def encode_words(split: Splitter, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all words, and offsets."""
+    ids = [split.ids_of(w) for w in words]
+    off = np.concatenate([[0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))])
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(off[-1])), off
 
 
 def gather(flat: np.ndarray, off: np.ndarray, index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,8 +251,8 @@ def gather(flat: np.ndarray, off: np.ndarray, index: np.ndarray, rows: np.ndarra
 
 def encode_chunk(split: Splitter, cache: Cache, texts: list[str | None], plain: bool) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, and offsets."""
-    raw, start, end, h, rows, own = split.chunk(texts, plain)
-    at = cache.look(h, raw, start, end)
+    words, rows, own = split.chunk(texts, plain)
+    at = cache.look(words)
     ids, rows = gather(cache.flat, cache.off, at, rows)
     if own:
         parts = [np.array(own[r], np.int32) if r in own else ids[rows[r] : rows[r + 1]] for r in range(len(texts))]
@@ -309,125 +305,153 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def distinct_words(docs: DataFrame, path: str) -> DataFrame:
-    """Every distinct word of the texts once: word, its hash, its ids packed as int32, and in how many chunks it stands."""
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, seen = splitter(path), set()
-        for b in batches:
-            for _, _, texts, plain in text_chunks(b.column("text")):
-                raw, start, end, h, _, _ = s.chunk(texts, plain)
-                h, first = np.unique(h, return_index=True)
-                new = np.fromiter((x not in seen for x in h.tolist()), bool, len(h))
-                seen.update(h[new].tolist())
-                first = first[new]
-                yield pa.RecordBatch.from_arrays([pa.array([raw[i:j] for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)], pa.binary()).cast(pa.string())], names=["word"])
-                if len(seen) > 300_000:
-                    seen.clear()
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = splitter(path)
-        for b in batches:
-            ids = [s.ids_of(w.encode()) for w in b.column("word").to_pylist()]
-            off = np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
-            data, bounds = tk.buffers(b.column("word"))
-            h = run_hashes(data, bounds[:-1], bounds[1:])
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(h.view(np.int64)), tk.pack(np.array([i for x in ids for i in x], np.int32), off), b.column("chunks")], names=["word", "h", "ids", "chunks"])
-
-    return docs.select("text").mapInArrow(split, "word string").groupBy("word").agg(F.count("*").alias("chunks")).mapInArrow(encode, "word string, h long, ids binary, chunks long")
-
-
-def encode(docs: DataFrame, path: str, table_bytes: int = TABLE_BYTES, join: bool = False) -> DataFrame:
-    """docs(doc_id, text) to doc_id and ids, packed as int32. join: never send the table."""
-    docs = _texts(docs)
-    table = cut(distinct_words(docs, path))
-    clash = table.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()  # two words of one hash
-    if join or clash:
-        return _by_join(docs, path, table)
-    # as sent: a hash, an offset, and ids of 2 bytes (4 in a vocabulary beyond 65,536)
-    width = 2 if splitter(path).library.get_vocab_size() <= 65536 else 4
-    level = F.floor(F.log2("chunks")).cast("int").alias("level")
-    sizes = table.groupBy(level).agg((F.count("*") * 12 + F.sum(F.length("ids")) / 4 * width).alias("bytes")).collect()  # a row for each power of two
-    least, total = None, 0
-    for r in sorted(sizes, key=lambda r: -r.level):
-        total += r.bytes
-        if total > table_bytes:
-            break
-        least = r.level
-    common = table.filter(F.col("chunks") >= (1 << least)) if least is not None else table.limit(0)
-    return _by_broadcast(docs, path, common.select("h", "ids").orderBy("h").toArrow())
-
-
-def _by_broadcast(docs: DataFrame, path: str, got: pa.Table) -> DataFrame:
-    """No two words of the corpus have one hash, so a hash tells the word; words that aren't in the table are encoded where they stand."""
-    keys = got.column("h").to_numpy()  # sorted already
-    flat, off = [np.zeros(0, np.uint16)], [np.zeros(1, np.int64)]
-    for part in got.column("ids").chunks:
-        ids, rows = tk.blobs(part, np.int32)
-        flat.append(ids.astype(np.uint16) if not len(ids) or ids.max() < 65536 else ids)
-        off.append(rows[1:] + off[-1][-1])
-    del got
-    sent = docs.sparkSession.sparkContext.broadcast((keys, np.concatenate(flat), np.concatenate(off).astype(np.uint32)))
-    del flat, off
+def split_words(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, text and words of docs(doc_id, text); words is null, and text isn't, where Python has to split or the library to encode the text, as `own` tells."""
+    s = splitter(path)
+    text = F.coalesce("text", F.lit(""))
+    if s.lower:
+        return docs.select("doc_id", text.alias("text"), F.lit(None).cast("array<string>").alias("words"), F.lit(False).alias("own"))
+    own = text.rlike(r"\p{Cn}")
+    for token in s.hints:
+        own = own | text.contains(token)
+    plain = ~own & (F.length(text) <= LONG_TEXT)
+    words = F.when(plain, F.regexp_extract_all(text, F.lit("(?U)" + BYTE_SPLIT), F.lit(0)))
+    return docs.select("doc_id", F.when(~plain, text).alias("text"), words.alias("words"), own.alias("own"))
+
+
+_ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("path", pa.string()), ("batch", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
+_ASKED = "bucket int, chunk long, path string, batch int, at binary, sizes binary, words binary"
+_CHUNK = pa.schema([("doc_id", pa.list_(pa.int64())), ("sizes", pa.list_(pa.uint32())), ("at", pa.list_(pa.uint32())), ("ids", pa.list_(pa.int32()))])
+_TOLD = pa.schema([("chunk", pa.int64()), ("path", pa.string()), ("batch", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+
+
+class _Writer:
+    """Numbers the words of chunks, keeps their positions in a file, and yields the words by bucket."""
+
+    def __init__(self, folder: str, buckets: int) -> None:
+        disk, root = fs.FileSystem.from_uri(folder)
+        disk.create_dir(root)
+        name = f"{root}/{uuid.uuid4().hex}.arrow"
+        self.path = (folder.split("://")[0] + "://" if "://" in folder else "") + name
+        self.out = pa.ipc.new_file(disk.open_output_stream(name), _CHUNK, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+        self.chunk, self.n, self.buckets = TaskContext.get().partitionId() << 32, 0, buckets
+
+    def head(self) -> pa.RecordBatch:
+        cells = [[self.n % self.buckets], [self.chunk + self.n], [self.path], [self.n], [None], [None], [None]]
+        self.n += 1
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cells, _ASK, strict=True)], schema=_ASK)
+
+    def given(self, doc_id: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
+        """A chunk whose ids are known."""
+        cells = [doc_id.to_pylist()], [[len(x) for x in ids]], [None], [list(chain.from_iterable(ids))]
+        self.out.write_batch(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cells, _CHUNK, strict=True)], schema=_CHUNK))
+        return self.head()
+
+    def add(self, doc_id: pa.Array, sizes: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+        coded = words.dictionary_encode()
+        data, off = tk.buffers(coded.dictionary)
+        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
+        self.out.write_batch(pa.RecordBatch.from_arrays([one(doc_id, pa.int64()), one(pa.array(sizes), pa.uint32()), one(coded.indices, pa.uint32()), pa.array([None], pa.list_(pa.int32()))], schema=_CHUNK))
+        bucket = (tk.hash_runs(data, off[:-1], off[1:]) % np.uint64(self.buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0])) if len(order) else order
+        rows = np.append(first, len(order))
+        length = np.diff(off)[order]
+        sent = coded.dictionary.take(pa.array(order))
+        flat, bounds = tk.buffers(sent)
+        n, empty = len(first), pa.nulls(len(first))
+        cells = [pa.array(bucket[order][first]), pa.array(np.full(n, self.chunk + self.n)), empty.cast(pa.string()), empty.cast(pa.int32()), tk.pack(order.astype(np.uint32), rows), tk.pack(length.astype(np.uint32), rows), tk.pack(flat, bounds[rows])]
+        yield self.head()
+        yield pa.RecordBatch.from_arrays(cells, schema=_ASK)
+
+
+def asked_words(docs: DataFrame, path: str, buckets: int) -> DataFrame:
+    """Of each chunk of texts, its distinct words by bucket, and a row that names its positions."""
+    folder = work_folder(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s = splitter(path)
-        keys, flat, off = sent.value
+        s, out = splitter(path), _Writer(folder, buckets)
+        hold: list[tuple[pa.Array, np.ndarray, pa.Array]] = []
+        held = 0
 
-        def look(h: np.ndarray, words: list[bytes]) -> list[list[int]]:
-            h = h.view(np.int64)
-            k = np.minimum(keys.searchsorted(h), max(0, len(keys) - 1))
-            known = keys[k] == h if len(keys) else np.zeros(len(h), bool)
-            k[~known] = 0
-            return [flat[i:j].tolist() if there else s.ids_of(w) for i, j, there, w in zip(off[k].tolist(), off[np.minimum(k + 1, len(off) - 1)].tolist(), known.tolist(), words, strict=True)]
+        def put() -> Iterator[pa.RecordBatch]:
+            ids, sizes, words = zip(*hold, strict=True)
+            yield from out.add(pa.concat_arrays(ids), np.concatenate(sizes), pa.concat_arrays(words))
+            hold.clear()
+            tk.trim()
 
-        cache = Cache(look, 300_000)
         for b in batches:
-            for i, j, texts, plain in text_chunks(b.column("text")):
-                ids, rows = encode_chunk(s, cache, texts, plain)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), tk.pack(ids.astype(np.int32), rows)], names=["doc_id", "ids"])
-
-    return docs.mapInArrow(run, "doc_id long, ids binary")
-
-
-def _by_join(docs: DataFrame, path: str, table: DataFrame) -> DataFrame:
-    """A chunk sends each of its distinct words once, and its words' positions as one row."""
-    kind = "chunk long, at int, word string, docs binary, sizes binary, words binary, own binary"
-    schema = pa.schema([("chunk", pa.int64()), ("at", pa.int32()), ("word", pa.string()), *[(n, pa.binary()) for n in ("docs", "sizes", "words", "own")]])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, n = splitter(path), TaskContext.get().partitionId() << 40
-        for b in batches:
-            for i, j, texts, plain in text_chunks(b.column("text")):
-                raw, start, end, h, bounds, own = s.chunk(texts, plain)
-                _, first, words = np.unique(h, return_index=True, return_inverse=True)
-                seen = [raw[x:y].decode() for x, y in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-                ids = pa.ipc.new_stream(sink := pa.BufferOutputStream(), pa.schema([("d", pa.int64())]))
-                ids.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i)], names=["d"]))
-                ids.close()
-                head = [sink.getvalue().to_pybytes(), np.diff(bounds).astype(np.uint32).tobytes(), words.astype(np.uint32).tobytes(), repr([*own.items()]).encode()]
-                rows = [pa.array([n] * (len(seen) + 1), pa.int64()), pa.array([-1, *range(len(seen))], pa.int32()), pa.array([None, *seen], pa.string()), *[pa.array([x] + [None] * len(seen), pa.binary()) for x in head]]
-                yield pa.RecordBatch.from_arrays(rows, schema=schema)
-                n += 1
+            split = b.filter(b.column("words").is_valid())
+            if split.num_rows:
+                words = split.column("words")
+                hold.append((split.column("doc_id"), words.value_lengths().to_numpy(), words.flatten().cast(pa.binary())))
+                held += len(hold[-1][2])
+            rest = b.filter(b.column("words").is_null())
+            whole = rest.filter(rest.column("own"))
+            if whole.num_rows:
+                yield out.given(whole.column("doc_id"), [s.whole(x) for x in whole.column("text").to_pylist()])
+            rest = rest.filter(pc.invert(rest.column("own")))
+            for i, j, texts, plain in text_chunks(rest.column("text")):
+                words, rows, own = s.chunk(texts, plain)
+                doc_id = rest.column("doc_id").slice(i, j - i)
+                if own:
+                    yield out.given(doc_id.take(pa.array([*own])), [*own.values()])
+                mine = np.setdiff1d(np.arange(j - i), [*own])
+                hold.append((doc_id.take(pa.array(mine)), np.diff(rows)[mine], words))
+                held += len(words)
+            if held > CHUNK_WORDS:
+                yield from put()
+                held = 0
+        if hold:
+            yield from put()
+        out.out.close()
+
+    return split_words(docs, path).mapInArrow(run, _ASKED)
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """docs(doc_id, text) to doc_id and ids, packed as int32."""
+    spark = docs.sparkSession
+    asked = asked_words(_texts(docs), path, 4 * partitions(spark))
+
+    def table(t: pa.Table) -> pa.Table:
+        """A partition of the table of distinct words: each is encoded once and goes to all chunks that asked."""
+        named = t.filter(t.column("path").is_valid()).select(["chunk", "path", "batch"])
+        t = t.filter(t.column("path").is_null()).combine_chunks()
+        cells: list[pa.Array] = [pa.nulls(named.num_rows).cast(pa.binary())] * 3
+        if t.num_rows:
+            sizes, rows = tk.blobs(t.column("sizes").combine_chunks(), np.uint32)
+            words = tk.pack(tk.buffers(t.column("words").combine_chunks())[0], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])).dictionary_encode()
+            flat, off = encode_words(splitter(path), words.dictionary.to_pylist())
+            ids, bounds = gather(flat, off, words.indices.to_numpy(), np.arange(len(words) + 1))
+            told = [t.column("at").combine_chunks(), tk.pack(np.diff(bounds).astype(np.uint32), rows), tk.pack(ids.astype(np.int32), bounds[rows])]
+            cells = [pa.concat_arrays([x.cast(pa.binary()), y.cast(pa.binary())]) for x, y in zip(cells, told, strict=True)]
+        none = pa.nulls(t.num_rows)
+        heads = [pa.concat_arrays([named.column(n).combine_chunks() if named.num_rows else pa.array([], k), x]) for n, k, x in (("chunk", pa.int64(), t.column("chunk").combine_chunks()), ("path", pa.string(), none.cast(pa.string())), ("batch", pa.int32(), none.cast(pa.int32())))]
+        return pa.Table.from_arrays([*heads, *cells], schema=_TOLD)
 
     def join(t: pa.Table) -> pa.Table:
-        import ast
-
-        t = t.sort_by("at")
-        head = t.slice(0, 1).to_pylist()[0]
-        flat, off = tk.blobs(t.slice(1).column("ids").combine_chunks() if t.num_rows > 1 else pa.array([], pa.binary()), np.int32)
-        rows = np.concatenate([[0], np.cumsum(np.frombuffer(head["sizes"], np.uint32), dtype=np.int64)])
-        ids, rows = gather(flat, off, np.frombuffer(head["words"], np.uint32).astype(np.int64), rows)
-        parts = [ids[a:b] for a, b in zip(rows[:-1], rows[1:], strict=True)]
-        for r, x in ast.literal_eval(head["own"].decode()):
-            parts[r] = np.array(x, np.int32)
-        docs = pa.ipc.open_stream(head["docs"]).read_all().column("d").combine_chunks()
-        return pa.table({"doc_id": docs, "ids": pa.array([x.astype(np.int32).tobytes() for x in parts], pa.binary())})
+        """Ids of a chunk's words come back to their positions."""
+        named = t.filter(t.column("path").is_valid()).to_pylist()
+        if len(named) != 1:
+            raise RuntimeError("the texts have changed while they were encoded; write them to a table first")
+        disk, name = fs.FileSystem.from_uri(named[0]["path"])
+        file = pa.ipc.open_file(pa.memory_map(name) if isinstance(disk, fs.LocalFileSystem) else disk.open_input_file(name))
+        chunk = file.get_batch(named[0]["batch"])
+        doc_id, sizes = chunk.column("doc_id").flatten(), chunk.column("sizes").flatten().to_numpy().astype(np.int64)
+        if chunk.column("at").is_valid()[0].as_py():
+            t = t.filter(t.column("path").is_null()).combine_chunks()
+            at, many, ids = (tk.blobs(t.column(n).combine_chunks() if t.num_rows else pa.array([], pa.binary()), k)[0] for n, k in (("at", np.uint32), ("sizes", np.uint32), ("ids", np.int32)))
+            place = np.empty(len(at), np.int64)
+            place[at] = np.arange(len(at))
+            words = place[chunk.column("at").flatten().to_numpy()]
+            ids, rows = gather(ids, np.concatenate([[0], np.cumsum(many, dtype=np.int64)]), words, np.concatenate([[0], np.cumsum(sizes)]))
+        else:
+            ids, rows = chunk.column("ids").flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+        return pa.table({"doc_id": doc_id, "ids": tk.pack(ids.astype(np.int32), rows).cast(pa.binary())})
 
-    both = cut(docs.mapInArrow(split, kind))
-    words = both.filter("at >= 0").select("chunk", "at", "word").join(table.select("word", "ids").hint("shuffle_merge"), "word").select("chunk", "at", "ids", *[F.lit(None).cast("binary").alias(n) for n in ("docs", "sizes", "words", "own")])
-    heads = both.filter("at < 0").select("chunk", "at", F.lit(None).cast("binary").alias("ids"), "docs", "sizes", "words", "own")
-    return heads.unionByName(words).groupBy("chunk").applyInArrow(join, "doc_id long, ids binary")
+    told = asked.groupBy("bucket").applyInArrow(table, "chunk long, path string, batch int, at binary, sizes binary, ids binary")
+    return told.groupBy("chunk").applyInArrow(join, "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -461,5 +485,3 @@ def digests(encoded: DataFrame, path: str) -> DataFrame:
 
 def _valid(x: bytes) -> bytes:
     return x.decode("utf-8", "replace").encode()
-
-

@@ -1,11 +1,12 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
-A document is the set of its distinct 3-word shingles. Documents whose sets are equal form
-a class, and only the class's smallest doc_id goes on. Its signature has 125 minima, in 25
-bands of 5; a link of similarity 0.85 or more shares no band once in 2 million. Candidates
-are compared by batches of 25 minima: after each, a pair goes once the posterior
-probability (from a uniform prior) that its similarity reaches the threshold is below
-MISS; survivors are verified exactly on the sets of their whole texts.
+A document is the set of its distinct 3-word shingles. Documents whose sets are equal (by
+number and two sums over independent hashes, 128 bits) form a class, and one row of it goes
+on. Its signature has 125 minima, in 25 bands of 5; a link of similarity 0.85 or more shares
+no band once in 2 million. Candidates are compared by batches of 25 minima: after each, a
+pair goes once the posterior probability (from a uniform prior) that its similarity reaches
+the threshold is below MISS; survivors are verified on the sets of their whole texts, whose
+shingles are compared by their words' bytes, not by hashes.
 
 No bucket is turned into all its pairs. First every member meets the smallest id of its
 bucket, and the links found are joined to components. Only buckets that still hold more
@@ -16,8 +17,9 @@ still apart. Links inside a component can't change the result.
 
 Results for odd input: a text without words has no shingles and no link; one of fewer
 than 3 words is one shingle; a null doc_id takes part in nothing, has no component and is
-kept; rows that repeat a doc_id are judged by their texts; an empty table gives an empty
-result; ties go to the smallest doc_id.
+kept; rows that repeat a doc_id are judged by their own texts, so that an unrelated text
+under a removed copy's doc_id stays; an empty table gives an empty result; ties go to the
+smallest doc_id.
 """
 
 from __future__ import annotations
@@ -27,29 +29,38 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
 from .components import components
-from .shared import cut, partitions
+from .shared import BROADCAST_IDS, ROW_KEY, cut, keyed, on_key, partitions, without_rows
 
 SHINGLE, BANDS, ROWS, BATCH = 3, 25, 5, 25
 NUMERATOR, DENOMINATOR = 85, 100
-MISS, TILE, BROADCAST_IDS = 1e-9, 512, 1_000_000
+MISS, TILE, GROUP = 1e-9, 2048, 16_384
 _SIZE = BANDS * ROWS
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(0, 2**31, _SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
 
-def shingles(c: tk.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, shingle hash), in that order."""
-    at, h = c.windows(size)
-    n = np.diff(c.doc)
-    short = np.flatnonzero((n > 0) & (n < size))
-    row = np.concatenate([c.row[at], short])
-    h = np.concatenate([h, c.runs(c.doc[short], c.doc[short + 1])])
-    return tk.distinct_by_row(row, h)
+def shingles(c: tk.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (row, shingle) by row, as two independent hashes of the shingle's bytes."""
+    n, at = np.diff(c.doc), c.window_starts(size)
+    short = [np.flatnonzero(n == k) for k in range(1, size)]
+    row = np.concatenate([c.row[at], *short])
+    both = []
+    for seed in (0, 1):
+        few = [tk.mix(c.grams(k, seed)[c.doc[r]] ^ np.uint64(k)) for k, r in enumerate(short, 1)]
+        both.append(np.concatenate([c.grams(size, seed)[at], *few]))
+    order = np.argsort(both[0])
+    r = row[order].astype(np.uint16 if len(n) < 65536 else np.uint32)
+    order = order[np.argsort(r, kind="stable")]
+    row, h, g = row[order], both[0][order], both[1][order]
+    new = np.ones(len(row), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1]) | (g[1:] != g[:-1])
+    return row[new], h[new], g[new]
 
 
 def _signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -92,25 +103,30 @@ def survivors(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray)
     return alive
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, row_keys: bool = False) -> DataFrame:
     """doc_id, n_shingles, two sums that tell the set, and the signature (null without shingles)."""
+    docs = keyed(docs) if row_keys else docs
+    kind = "doc_id long, n_shingles long, s1 long, s2 long, sig binary" + ", __k1 long, __k2 long" * row_keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, c in tk.chunks(b.column("text"), tk.SPACED, tk.BYTE_LOWER):
-                row, h = shingles(c)
+            for i, j, c in tk.chunks(b.column("text"), tk.SPACED, True):
+                row, h, g = shingles(c)
                 n = np.bincount(row, minlength=j - i)
                 some = n > 0
                 first = (np.cumsum(n) - n)[some]
                 s1, s2 = np.zeros((2, j - i), np.uint64)
-                sig: list[bytes | None] = [None] * (j - i)
+                sig = np.zeros((0, _SIZE), np.uint32)
                 if len(first):
-                    s1[some], s2[some] = np.add.reduceat(tk.mix(h), first), np.add.reduceat(tk.mix(h ^ _SALT), first)
-                    for r, x in zip(np.flatnonzero(some).tolist(), _signatures(h, first), strict=True):
-                        sig[r] = x.tobytes()
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "s1", "s2", "sig"])
+                    s1[some], s2[some] = np.add.reduceat(tk.mix(h), first), np.add.reduceat(tk.mix(g ^ _SALT), first)
+                    sig = _signatures(h, first)
+                size = np.concatenate([[0], np.cumsum(some) * _SIZE])
+                packed = tk.pack(sig.ravel(), size)
+                cells = pc.if_else(pa.array(some), packed, pa.scalar(None, pa.binary()))
+                keys = {k: b.column(k).slice(i, j - i) for k in ("__k1", "__k2")[: 2 * row_keys]}
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, j - i), "n_shingles": pa.array(n), "s1": pa.array(s1.view(np.int64)), "s2": pa.array(s2.view(np.int64)), "sig": cells} | keys)
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.mapInArrow(run, kind)
 
 
 def _sig(column: pa.Array) -> np.ndarray:
@@ -121,9 +137,9 @@ def _buckets(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keys = _bands(_sig(b.column("sig")))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("doc_id").to_numpy(), BANDS)), pa.array(keys.ravel().view(np.int64))], names=["doc_id", "bucket"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column("node").to_numpy(), BANDS)), pa.array(keys.ravel().view(np.int64))], names=["node", "bucket"])
 
-    return reps.select("doc_id", "sig").mapInArrow(run, "doc_id long, bucket long")
+    return reps.select("node", "sig").mapInArrow(run, "node long, bucket long")
 
 
 def _prune(pairs: DataFrame) -> DataFrame:
@@ -149,7 +165,7 @@ def _across(rows: DataFrame, groups: int, forest: bool) -> DataFrame:
         keys = np.stack([t.column(n).to_numpy() for n in ("bucket", "i", "j")])
         order = np.lexsort(keys)
         keys = keys[:, order]
-        ids, part, tile = (t.column(n).to_numpy()[order] for n in ("doc_id", "label", "tile"))
+        ids, part, tile = (t.column(n).to_numpy()[order] for n in ("node", "label", "tile"))
         part = part.copy()
         sig = _sig(t.column("sig").combine_chunks())[order]
         edge = np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(0)]))
@@ -174,63 +190,110 @@ def _across(rows: DataFrame, groups: int, forest: bool) -> DataFrame:
     return rows.groupBy(F.pmod(F.hash("bucket", "i", "j"), F.lit(groups))).applyInArrow(run, "a long, b long").distinct()
 
 
-def _verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def exact_sets(c: tk.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, shingle) by row; shingles are numbered by their words' bytes, without a hash."""
+    word = np.append(c.word_ids() + 1, np.zeros(size, np.int64))  # 0: no word
+    n = np.diff(c.doc)
+    at = np.concatenate([c.window_starts(size), *[c.doc[:-1][n == k] for k in range(1, size)]])
+    row = np.searchsorted(c.doc, at, "right") - 1
+    have = c.doc[row + 1] - at
+    key = word[at]
+    for k in range(1, size):
+        key = np.unique(key << 32 | np.where(have > k, word[at + k], 0), return_inverse=True)[1]
+    both = np.unique(row << 32 | key)
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose whole texts are similar enough, exactly."""
     pairs = cut(pairs)
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    if pairs.count() * 2 <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    texts = cut(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"))
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    nodes = cut(reps.select("node", "doc_id", F.col("s1").alias("own")).join(nodes, "node", "left_semi"))
+    if nodes.count() <= BROADCAST_IDS:
+        nodes = F.broadcast(nodes)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Where rows repeat a doc_id, those with the class's set."""
+        for b in batches:
+            for i, j, c in tk.chunks(b.column("text"), tk.SPACED, True):
+                row, h, _ = shingles(c)
+                n = np.bincount(row, minlength=j - i)
+                s1, some = np.zeros(j - i, np.uint64), n > 0
+                if some.any():
+                    s1[some] = np.add.reduceat(tk.mix(h), (np.cumsum(n) - n)[some])
+                yield b.slice(i, j - i).select(["node", "text"]).filter(pa.array(s1.view(np.int64) == b.column("own").slice(i, j - i).to_numpy()))
+
+    texts = cut(docs.join(nodes, "doc_id").select("node", "own", "text").mapInArrow(own, "node long, text string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes = np.diff(tk.buffers(b.column("ta"))[1]) + np.diff(tk.buffers(b.column("tb"))[1])
             for i, j in tk.pieces(np.concatenate([[0], np.cumsum(sizes)])):
                 both = pa.concat_arrays([b.column(n).slice(i, j - i) for n in ("ta", "tb")])
-                _, _, c = next(tk.chunks(both, tk.SPACED, tk.BYTE_LOWER, 1 << 62))
-                row, h = shingles(c)
+                _, _, c = next(tk.chunks(both, tk.SPACED, True, 1 << 62))
+                row, key = exact_sets(c)
                 n = np.bincount(row, minlength=2 * (j - i))
-                row %= j - i  # a shingle of both is there twice
-                order = np.argsort(h)
-                order = order[np.argsort(row[order], kind="stable")]
-                row, h = row[order], h[order]
-                twice = np.flatnonzero((h[1:] == h[:-1]) & (row[1:] == row[:-1]))
-                shared = np.bincount(row[twice], minlength=j - i)
+                found, times = np.unique((row % (j - i)) << 32 | key, return_counts=True)
+                shared = np.bincount(found[times == 2] >> 32, minlength=j - i)  # a shingle of both is there twice
                 union = n[: j - i] + n[j - i :] - shared
                 yield b.slice(i, j - i).select(["a", "b"]).filter(pa.array(DENOMINATOR * shared >= NUMERATOR * union))
 
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long")
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, tile: int = TILE, local_edges: int | None = None) -> DataFrame:
-    """One row for each of docs(doc_id, text): doc_id, n_shingles, component_id, kept, class_id (the smallest doc_id with the same set)."""
+def near_duplicates(docs: DataFrame, tile: int = TILE, local_edges: int | None = None, row_keys: bool = False) -> DataFrame:
+    """One row for each of docs(doc_id, text): doc_id, n_shingles, component_id, kept, class_id (the smallest doc_id with the same set); row_keys adds the keys of shared.keyed() and a number for each group."""
     spark = docs.sparkSession
     more = {} if local_edges is None else {"local_edges": local_edges}
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    told = cut(signatures(docs))
-    some = told.filter("n_shingles > 0 and doc_id is not null")
-    reps = cut(some.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("s1", "s2", "n_shingles", "x.doc_id", "x.sig"))
-    rows = _buckets(reps)
-    shared = rows.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"), F.count("*").alias("members")).filter("centre <> last").select("bucket", "centre", "members")
+    set_ = ["s1", "s2", "n_shingles"]
+    told = cut(signatures(docs, row_keys))
+    least = told.filter("n_shingles > 0 and doc_id is not null").groupBy(*set_).agg(F.min(F.struct("doc_id", "sig")).alias("x"))
+    # numbered once, as they are written; a doc_id may stand for several sets
+    reps = cut(least.select(F.monotonically_increasing_id().alias("node"), *set_, "x.doc_id", "x.sig"))
+    rows = cut(_buckets(reps))
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("members")).filter("centre <> last").select("bucket", "centre", "members")
     members = cut(rows.join(shared, "bucket"))
-    sigs = cut(reps.select("doc_id", "sig").join(members.select("doc_id").distinct(), "doc_id", "left_semi"))
-    pairs = members.filter("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    pairs = pairs.join(sigs.select(F.col("doc_id").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("doc_id").alias("b"), F.col("sig").alias("sb")), "b")
-    links = cut(_verify(_prune(pairs), docs))
+    sigs = cut(reps.select("node", "sig").join(members.select("node").distinct(), "node", "left_semi"))
+    pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
+    links = cut(_verify(_prune(pairs), docs, reps))
     tiles = F.ceil(F.col("members") / tile)
     # a pair left out by the forest may be needed where one of the forest fails: a second round takes all
     for forest in (True, False):
         label = components(links, **more)
         # members of buckets that hold several components; the centre has met all others
-        labelled = cut(members.filter("members > 2").join(label.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "centre", "members", F.coalesce("component", "doc_id").alias("label")).filter("doc_id <> centre"))
+        labelled = cut(members.filter("members > 2").join(label.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", "centre", "members", F.coalesce("component", "node").alias("label")).filter("node <> centre"))
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
-        open_ = labelled.join(mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64("doc_id"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        open_ = open_.select("bucket", "doc_id", "label", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")).join(sigs, "doc_id")
-        links = cut(links.union(_verify(_across(open_, 4 * partitions(spark), forest), docs)))
-    label = components(links, **more)
-    classes = reps.select("s1", "s2", "n_shingles", F.col("doc_id").alias("class_id")).join(label.withColumnRenamed("id", "class_id"), "class_id", "left")
-    out = told.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2", "n_shingles"], "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+        open_ = labelled.join(mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+        open_ = cut(open_.select("bucket", "node", "label", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
+        groups = max(partitions(spark), -(-open_.count() // GROUP))
+        links = cut(links.union(_verify(_across(open_.join(sigs, "node"), groups, forest), docs, reps)))
+    label = components(links, **more).withColumnRenamed("id", "node")
+    classes = reps.select("node", *set_, F.col("doc_id").alias("class_id")).join(label, "node", "left")
+    classes = classes.withColumn("component", F.coalesce("component", "node"))
+    lowest = classes.join(label.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("class_id").alias("lowest"))
+    classes = classes.join(lowest, "component", "left").select(*set_, "component", "class_id", F.coalesce("lowest", "class_id").alias("lowest"))
+    out = told.drop("sig").join(classes, set_, "left")
+    known = F.col("doc_id").isNotNull()
+    own = F.when(known, F.coalesce("lowest", "doc_id"))
+    keys = ["__k1", "__k2", F.when(known, F.col("component")).alias("component")] if row_keys else []
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"), F.when(known, F.coalesce("class_id", "doc_id")).alias("class_id"), *keys)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with all its columns, of each group of near duplicates one row: that of the smallest doc_id, and of several such rows the first by a hash of text and other columns. Rows without doc_id or words stay."""
+    found = cut(near_duplicates(docs, row_keys=True))
+    left = without_rows(docs, found.filter("not kept"))
+    same = found.filter("kept and component is not null").select(*ROW_KEY, "component")
+    again = cut(same.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component"))
+    if not again.limit(1).count():  # no doc_id stands for two rows of a group
+        return left
+    named = [c for c, kind in left.dtypes if not kind.startswith("map")]
+    marked = keyed(left)
+    marked = marked.join(same.join(again, "component").distinct().toDF("__d", "__x1", "__x2", "__c"), on_key(marked, "__d", "__x1", "__x2"), "left")
+    place = F.row_number().over(Window.partitionBy("__c").orderBy("__k1", "__k2", F.xxhash64(*[F.col(f"`{c}`") for c in named])))
+    one = marked.filter("__c is not null").withColumn("__n", place).filter("__n = 1")
+    return marked.filter("__c is null").select(*[F.col(f"`{c}`") for c in left.columns]).unionByName(one.select(*[F.col(f"`{c}`") for c in left.columns]))

@@ -1,19 +1,17 @@
 """Quality classifier by importance resampling.
 
-Two bag-of-n-grams models over SLOTS hashed unigrams and bigrams: one of the raw text,
-counted over all documents, and one of the target, counted over documents labelled as good
-(at most MOST_LABELS of them, by hash order). A word that repeats within two tokens is an
-n-gram of its own. A document's log-weight is the mean log ratio of the two models over its
-n-grams and PRIOR neutral ones, times STRENGTH; log-weights above 0 count as 0, since text
-that fits the target better than raw text does is simply good. Gumbel noise, fixed by
-doc_id, times NOISE, turns the k largest sums into a sample without replacement. k is the
-number of documents whose log-weight reaches the cut that best tells the two labels apart
-on the labelled sample (or a given share of all documents).
+Two bag-of-n-grams models over SLOTS hashed unigrams and bigrams of words and punctuation,
+lower-cased: one of the raw text, counted over all documents, and one of the target, counted
+over documents labelled as good (at most MOST_GOOD of them, the first by hash). A document's
+log-weight is the log ratio of its probabilities under the two, the sum over its n-grams.
+Standard Gumbel noise, fixed by doc_id and seed, turns the k largest sums of log-weight and
+noise into a sample without replacement with these weights. k is the share of good documents
+among all labelled ones, taken of all documents (or a given share).
 
 Results for odd input: a text without n-grams has log-weight 0; labels of unknown or null
-documents count for nothing; without good labels all weights are 0 and all rows stay;
-without bad ones the cut is the smallest weight among the good; rows that repeat a doc_id
-and text share their key, and rows whose key equals the k-th largest all stay; a null
+documents count for nothing, and a document labelled both ways is bad; without good labels
+all weights are 0 and all rows stay, and so they do without bad ones; rows that repeat a
+doc_id and text share their key, and rows whose key equals the k-th largest all stay; a null
 doc_id has its own fixed noise; an empty table gives an empty result.
 """
 
@@ -27,46 +25,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .shared import cut
+from .shared import cut, keyed, without_rows
 
-SLOTS, STRENGTH, PRIOR, NOISE, MOST_LABELS = 1 << 14, 64.0, 20, 0.05, 50_000
+SLOTS, MOST_GOOD = 1 << 16, 25_000
 
 
 def _grams(c: tk.Chunk, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and slot of each unigram and bigram."""
-    mask = np.uint64(slots - 1)
-    at = c.window_starts(2)
-    row = c.row
-    two = tk.mix(c.hash[at] ^ tk.mix(c.hash[at + 1])) & mask if len(at) else np.zeros(0, np.uint64)
-    # a word that follows itself, at once or after one other token, is one feature whatever the word
-    two[c.hash[at] == c.hash[at + 1]] = 0
-    at3 = c.window_starts(3)
-    at3 = at3[(c.hash[at3] == c.hash[at3 + 2]) & tk.ALNUM[c.data[c.start[at3]]]]
-    return np.concatenate([row, row[at], row[at3]]), np.concatenate([c.hash & mask, two, np.ones(len(at3), np.uint64)]).astype(np.int64)
+    mask, row = np.uint64(slots - 1), c.row
+    at, two = c.windows(2)
+    return np.concatenate([row, row[at]]), np.concatenate([c.hash & mask, two & mask]).astype(np.int64)
 
 
-def labelled_sample(labels: DataFrame, most: int = MOST_LABELS) -> DataFrame:
-    """(doc_id, good): of each label, at most half of `most` documents, the first by hash; a document with both is bad."""
-    known = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1).cast("int")).alias("good"))
-    part = [known.filter(F.col("good") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most // 2) for g in (1, 0)]
-    return part[0].union(part[1])
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, good)."""
+    return labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1).cast("int")).alias("good"))
+
+
+def target_sample(labels: DataFrame, most: int = MOST_GOOD) -> DataFrame:
+    """(doc_id) of at most `most` documents labelled as good, the first by hash."""
+    return known_labels(labels).filter("good = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
 def models(docs: DataFrame, sample: DataFrame, slots: int = SLOTS) -> np.ndarray:
     """log P(slot | target) - log P(slot | raw)."""
-    flagged = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce(F.col("good") == 1, F.lit(False)).alias("good"))
+    sample = sample.select("doc_id", F.lit(True).alias("good"))  # at most MOST_GOOD rows
+    flagged = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, slots), np.int64)
         for b in batches:
             good = b.column("good").to_numpy(zero_copy_only=False)
-            for i, j, c in tk.chunks(b.column("text"), tk.TOKENS, tk.BYTE_LOWER):
+            for i, j, c in tk.chunks(b.column("text"), tk.TOKENS, True):
                 row, slot = _grams(c, slots)
                 total[0] += np.bincount(slot, minlength=slots)
                 total[1] += np.bincount(slot[good[i:j][row]], minlength=slots)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(slots, dtype=np.int32)), pa.array(total[0]), pa.array(total[1])], names=["slot", "raw", "good"])
+        seen = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(total[0, seen]), pa.array(total[1, seen])], names=["slot", "raw", "good"])
 
-    rows = flagged.mapInArrow(count, "slot int, raw long, good long").groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()
+    rows = flagged.mapInArrow(count, "slot int, raw long, good long").groupBy("slot").agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).toArrow()  # at most `slots` rows
     n = np.zeros((2, slots))
     if rows.num_rows:
         at = rows.column("slot").to_numpy()
@@ -90,29 +87,14 @@ def weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, c in tk.chunks(b.column("text"), tk.TOKENS, tk.BYTE_LOWER):
+            for i, j, c in tk.chunks(b.column("text"), tk.TOKENS, True):
                 row, slot = _grams(c, slots)
                 n = np.bincount(row, minlength=j - i)
                 s = np.bincount(row, sent.value[slot], minlength=j - i)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(n), pa.array(np.minimum(0.0, STRENGTH * s / (n + PRIOR)))], names=["doc_id", "n_grams", "log_weight"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_grams long, log_weight double")
+                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, j - i), "n_grams": pa.array(n), "log_weight": pa.array(s, pa.float64())} | {k: b.column(k).slice(i, j - i) for k in keys})
 
-
-def best_cut(weight: np.ndarray, good: np.ndarray) -> float:
-    """The weight from which on rows count as good: most balanced accuracy, in the middle of the gap."""
-    if not good.any() or good.all():
-        return float(weight.min()) if len(weight) else 0.0
-    order = np.argsort(weight, kind="stable")
-    w, g = weight[order], good[order]
-    bad_below = np.concatenate([[0], np.cumsum(~g)]) / (~g).sum()
-    good_below = np.concatenate([[0], np.cumsum(g)]) / g.sum()
-    gain = bad_below - good_below
-    gain[1:-1][w[1:] == w[:-1]] = -1
-    k = int(gain.argmax())
-    if k == 0:
-        return float(w[0])
-    return float((w[k - 1] + w[k]) / 2) if k < len(w) else float(np.nextafter(w[-1], np.inf))
+    keys = [c for c in ("__k1", "__k2") if c in docs.columns]
+    return docs.select("doc_id", "text", *keys).mapInArrow(run, "doc_id long, n_grams long, log_weight double" + "".join(f", {k} long" for k in keys))
 
 
 def kth_largest(df: DataFrame, name: str, k: int, bins: int = 4096, few: int = 10_000) -> float:
@@ -138,16 +120,19 @@ def kth_largest(df: DataFrame, name: str, k: int, bins: int = 4096, few: int = 1
         low, high = new
 
 
-def select(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1) -> DataFrame:
-    """One row for each of docs(doc_id, text): doc_id, n_grams, log_weight, sample_key, kept."""
+def select(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1, row_keys: bool = False) -> DataFrame:
+    """One row for each of docs(doc_id, text): doc_id, n_grams, log_weight, sample_key, kept; row_keys adds those of shared.keyed()."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = cut(labelled_sample(labels))
-    scored = cut(weights(docs, models(docs, sample)).withColumn("sample_key", F.col("log_weight") + NOISE * gumbel(F.col("doc_id"), seed)))
+    ratio = models(docs, cut(target_sample(labels)))
+    scored = cut(weights(keyed(docs) if row_keys else docs, ratio).withColumn("sample_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
+    good, known, n = scored.join(known_labels(labels), "doc_id", "left").agg(F.sum("good"), F.count("good"), F.count("*")).first()
     if share is None:
-        seen = scored.join(F.broadcast(sample), "doc_id").select("log_weight", "good").limit(4 * MOST_LABELS).toArrow()
-        line = best_cut(seen.column("log_weight").to_numpy(), seen.column("good").to_numpy() == 1)
-        k = scored.filter(F.col("log_weight") >= line).count()
-    else:
-        k = round(share * scored.count())
+        share = good / known if good else 1.0
+    k = round(share * n)
     least = kth_largest(scored, "sample_key", k) if k else float("inf")
     return scored.withColumn("kept", F.col("sample_key") >= least)
+
+
+def selected(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = 1) -> DataFrame:
+    """The rows of docs, with all their columns, that the sample holds."""
+    return without_rows(docs, select(docs, labels, share, seed, row_keys=True).filter("not kept"))

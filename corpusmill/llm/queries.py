@@ -90,13 +90,15 @@ left join (select doc_id, min(doc_id) over (partition by shingles) as class_id f
     "op3_decontamination": r"""
 with dw as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
 bw as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark),
-win as (select distinct item_id, least(10, len(words)) as size, unnest(list_transform(range(1, greatest(2, len(words) - 8)), lambda i: array_to_string(words[i:i + 9], ' '))) as w from bw where len(words) > 0),
+win as (select item_id, least(10, len(words)) as size, unnest(range(1, greatest(2, len(words) - 8))) as j, unnest(list_transform(range(1, greatest(2, len(words) - 8)), lambda i: array_to_string(words[i:i + 9], ' '))) as w from bw where len(words) > 0),
 pos as (select doc_id, size, unnest(range(1, len(words) - size + 2)) as i, words from dw, (select distinct size from win) z where len(words) >= size),
-occ as (select pos.doc_id, pos.i, pos.size, win.item_id from pos join win on win.size = pos.size and win.w = array_to_string(pos.words[pos.i:pos.i + pos.size - 1], ' ')),
+occ as (select pos.doc_id, pos.i, pos.size, win.item_id, win.j from pos join win on win.size = pos.size and win.w = array_to_string(pos.words[pos.i:pos.i + pos.size - 1], ' ')),
 hit as (select doc_id, count(distinct i) as n from (select doc_id, unnest(range(i, i + size)) as i from occ) group by doc_id),
-items as (select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from occ) group by doc_id)
-select dw.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(hit.n, 0) as bigint) as n_hit, cast(coalesce(items.n, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
-from dw left join hit using (doc_id) left join items using (doc_id)
+items as (select doc_id, count(*) as n, string_agg(id, ',' order by id) as ids from (select distinct doc_id, cast(item_id as varchar) as id from occ) group by doc_id),
+runs as (select doc_id, count(*) + min(size) - 1 as n from (select *, i - row_number() over (partition by doc_id, item_id, i - j order by i) as island from occ) group by doc_id, item_id, i - j, island),
+long as (select doc_id, max(n) as n from runs group by doc_id)
+select dw.doc_id, cast(len(words) as bigint) as n_words, cast(coalesce(hit.n, 0) as bigint) as n_hit, cast(coalesce(items.n, 0) as bigint) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated, cast(coalesce(long.n, 0) as bigint) as longest
+from dw left join hit using (doc_id) left join items using (doc_id) left join long using (doc_id)
 """,
     "op5_url_filter": r"""
 with u as (select page_id, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -61,12 +62,24 @@ def clean_columns(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 500_000
+ROW_KEY = ("doc_id", "__k1", "__k2")
 
 
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id is in gone(doc_id); up to BROADCAST_IDS of them, counted first, are broadcast."""
-    gone = cut(gone.select(F.col("doc_id").alias("__gone")).filter("__gone is not null").distinct())
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with two hashes of the text, which with doc_id tell rows (but for exact repeats) apart."""
+    return docs.withColumn("__k1", F.xxhash64("text")).withColumn("__k2", F.xxhash64(F.lit(17), "text"))
+
+
+def on_key(left: DataFrame, *names: str) -> Column:
+    """Equality of ROW_KEY of left with the named columns; nulls are equal."""
+    return reduce(lambda x, y: x & y, (left[k].eqNullSafe(F.col(n)) for k, n in zip(ROW_KEY, names, strict=True)))
+
+
+def without_rows(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs without the rows whose ROW_KEY is in gone; up to BROADCAST_IDS keys, counted first, are broadcast."""
+    gone = cut(gone.select(*ROW_KEY).distinct().toDF("__g0", "__g1", "__g2"))
     if gone.count() <= BROADCAST_IDS:
         gone = F.broadcast(gone)
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    rows = keyed(docs)
+    return rows.join(gone, on_key(rows, "__g0", "__g1", "__g2"), "left_anti").drop("__k1", "__k2")

@@ -1,31 +1,38 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
-A suffix starts at every word; two documents share a passage of WINDOW words or more
-where the suffix tree of all texts has an internal node at that depth. The tree is built
-in parts. Suffixes go to a group by a prefix of one, two, four or all WINDOW words: one
-word where few suffixes start with it, more where more do, so that groups fit in memory
-(`prefix_plan`, counted over all texts). A group sorts its suffixes; equal runs at depth
-WINDOW are its deep internal nodes, and the smallest doc_id below a node keeps the words.
-
-Most suffixes have no partner. A cheap first pass finds which can: a window's anchor is
-the smallest hash among its runs of GRAM words, equal windows have equal anchors, and
-anchors of one document alone rule out their windows. Only the rest enter the tree, by
-hashes of 96 bits. Copies inside one chunk of texts are joined before the shuffle.
+Two documents share a passage of WINDOW words or more where the suffix tree of all texts has
+an internal node at that depth. The tree is sparse and built in parts. Of every WINDOW words
+the anchor is the leftmost run of GRAM words with the smallest hash; equal windows have equal
+anchors at equal places, so suffixes need to start at anchors only, if each carries the words
+before it that its windows reach. These suffixes go to a group by a prefix of variable
+length: the anchor, or where many suffixes start with it all words of the window
+(`prefix_plan`, counted over all texts, which also sets the number of groups so that each
+holds about GROUP suffixes). A group numbers its words by their bytes and ranks its suffixes
+by prefix doubling; runs of equal rank at depth WINDOW are its deep internal nodes. The
+smallest doc_id below a node keeps the words, all others lose them. Nodes that follow each
+other in a text and in its source make up a maximal repeat.
+
+Most suffixes have no partner, and a first pass finds which can: anchors of one document
+alone rule out their windows. Copies inside the texts that a task holds at a time are joined
+before the shuffle, by two independent 64-bit hashes of the window's bytes: only the smallest
+doc_id's suffixes enter a group, the others know already what they lose and to whom.
 
 Results for odd input: a null text has no words; a null doc_id is neither source nor
 target of a removal; rows that repeat a doc_id are the same document, so none of them is
-removed on the other's account; an empty table gives an empty result.
+removed on the other's account; words and texts may have any length; of equal windows in
+the smallest doc_id the first place counts as the source; an empty table gives an empty
+result. Rows that repeat both doc_id and text meet in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,37 +40,47 @@ from . import textkernel as tk
 from .shared import partitions
 
 WINDOW, GRAM = 13, 6
-LEVELS, SLOTS = (1, 2, 4), 4096
+SLOTS, HEAVY, GROUP, PART_BYTES, HOLD = 1 << 16, 1_000_000, 100_000, 4 << 20, 1_500_000
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-BLOB = "bucket int, known boolean, docs binary, keys binary, extra binary"
+ANCHORS = "bucket int, known boolean, docs binary, parts binary, keys binary"
+SHARED = "part int, docs binary, keys binary"
+SUFFIXES = "bucket int, docs binary, parts binary, rows binary, places binary, sizes binary, text binary"
+REPEATS = "part int, docs binary, rows binary, runs binary, sources binary"
+_PLACE = np.dtype([("first", "<u4"), ("windows", "<u4")])
+_RUN = np.dtype([("first", "<u4"), ("windows", "<u4"), ("source_first", "<u4")])
+FOUND = "array<struct<first:long,n_words:long,source_id:long,source_first:long>>"
 
 
-def _anchors(c: tk.Chunk, window: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Start and anchor of every window: the smallest hash of its runs of `gram` words."""
+def _anchors(c: tk.Chunk, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start of every window, and place and hash of its anchor."""
     at = c.window_starts(window)
     if not len(at):
-        return at, np.zeros(0, np.uint64)
-    g_at, g = c.windows(gram)
-    low = np.full(len(c.hash), _TOP)
-    low[g_at] = g
-    span, need = 1, window - gram + 1
+        return at, at, np.zeros(0, np.uint64)
+    low = c.grams(gram)
+    place, span, need = np.arange(len(low)), 1, window - gram + 1
     while span < need:
         step = min(span, need - span)
-        low[: len(low) - step] = np.minimum(low[: len(low) - step], low[step:])
+        less = low[step:] < low[: len(low) - step]
+        low, place = np.where(less, low[step:], low[: len(low) - step]), np.where(less, place[step:], place[: len(place) - step])
         span += step
-    return at, low[at]
+    return at, place[at], low[at]
 
 
-def _emit(bucket: np.ndarray, docs: np.ndarray, keys: np.ndarray, extra: np.ndarray, known: np.ndarray, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """One row of packed arrays for each (bucket, known)."""
-    if not len(bucket):
-        return
-    group = bucket.astype(np.int64) * 2 + known
-    order = np.argsort(group.astype(np.uint16) if group.max() < 65536 else group, kind="stable")
-    group = group[order]
-    first = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    off = np.append(first, len(group))
-    yield pa.RecordBatch.from_arrays([pa.array((group[first] >> 1).astype(np.int32)), pa.array((group[first] & 1).astype(bool)), _docs_packed(docs[order], off), tk.pack(keys[order], off), tk.pack(extra[order], off)], schema=schema)
+def _arrow_schema(kind: str) -> pa.Schema:
+    types = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
+    return pa.schema([(n, types[t]) for n, t in (x.split() for x in kind.split(", "))])
+
+
+def _edges(sorted_: np.ndarray) -> np.ndarray:
+    """Where runs of equal numbers begin."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
+
+
+def _by(group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of entries by small numbers, where each group begins (and the end), and the groups."""
+    order = np.argsort(group.astype(np.uint16) if len(group) and group.max() < 65536 else group, kind="stable")
+    first = _edges(group[order])
+    return order, np.append(first, len(group)), group[order][first]
 
 
 def _docs_packed(docs: np.ndarray, off: np.ndarray) -> pa.Array:
@@ -78,257 +95,347 @@ def _docs_packed(docs: np.ndarray, off: np.ndarray) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _docs_unpacked(blob: bytes) -> np.ndarray:
-    low, width = np.frombuffer(blob, np.int64, 2)
-    return np.frombuffer(blob, f"u{width}", offset=16).astype(np.int64) + low
+def _docs(column: pa.ChunkedArray) -> np.ndarray:
+    out = [np.zeros(0, np.int64)]
+    for x in column.to_pylist():
+        low, width = np.frombuffer(x, np.int64, 2)
+        out.append(np.frombuffer(x, f"u{width}", offset=16).astype(np.int64) + low)
+    return np.concatenate(out)
 
 
-def _arrow_schema(kind: str) -> pa.Schema:
-    types = {"int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary(), "long": pa.int64(), "string": pa.string()}
-    return pa.schema([(n, types[t]) for n, t in (x.split() for x in kind.split(", "))])
+def _flat(column: pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-def _preaggregate(docs: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For (doc, key) pairs, each once: which entries are the least doc of their key, and which keys more than one doc has."""
-    order = np.argsort(keys)
-    k, d = keys[order], docs[order]
-    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-    low, high = np.minimum.reduceat(d, first), np.maximum.reduceat(d, first)
-    size = np.diff(np.append(first, len(k)))
-    least, many = np.empty(len(k), bool), np.empty(len(k), bool)
-    least[order] = d == np.repeat(low, size)
-    many[order] = np.repeat(low != high, size)
-    return least, many
+def _least(docs: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of (doc, key) entries: order by key and doc, where keys begin, and the place in the order of each entry's key."""
+    order = np.lexsort((docs, *keys[::-1]))
+    edge = np.zeros(len(order), bool)
+    edge[:1] = True
+    for k in keys:
+        edge[1:] |= k[order][1:] != k[order][:-1]
+    first = np.flatnonzero(edge)
+    return order, first, np.repeat(first, np.diff(np.append(first, len(order))))
 
 
-def _part_of(docs: np.ndarray, n: int) -> np.ndarray:
-    d = docs.astype(np.int64).view(np.uint64)
-    return ((d ^ (d >> np.uint64(15)) ^ (d >> np.uint64(33))) % np.uint64(n)).astype(np.int32)
-
-
-def _part(doc_id: Column, n: int) -> Column:
-    """The same in the JVM."""
-    d = F.coalesce(doc_id, F.lit(0).cast("long"))
-    mixed = d.bitwiseXOR(F.shiftrightunsigned(d, 15)).bitwiseXOR(F.shiftrightunsigned(d, 33))
-    # ids below 0 as unsigned: 2**63 mod n twice
-    return F.when(mixed >= 0, F.pmod(mixed, F.lit(n))).otherwise(F.pmod(F.pmod(mixed, F.lit(n)) + F.lit((1 << 64) % n), F.lit(n))).cast("int")
-
-
-def prefix_plan(docs: DataFrame, window: int, budget: int) -> dict[int, np.ndarray]:
-    """For each level, the prefix slots that hold more than `budget` suffixes, over all texts."""
+def prefix_plan(docs: DataFrame, window: int, gram: int, heavy: int) -> tuple[np.ndarray, int, int]:
+    """Slots of anchors that more than `heavy` suffixes start with, how many suffixes there are, and the bytes of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(LEVELS), SLOTS), np.int64)
+        total, size = np.zeros(SLOTS, np.int64), 0
         for b in batches:
             for _, _, c in tk.chunks(b.column("text")):
-                s = c.sums()
-                at = c.window_starts(window)
-                for i, level in enumerate(LEVELS):
-                    total[i] += np.bincount((c.runs(at, at + level, sums=s) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-        level, slot = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(level.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[level, slot])], names=["level", "slot", "n"])
-
-    heavy = docs.select("text").mapInArrow(count, "level int, slot int, n long").groupBy("level", "slot").agg(F.sum("n").alias("n")).filter(F.col("n") > budget).collect()
-    return {level: np.array(sorted(r.slot for r in heavy if r.level == i), np.int64) for i, level in enumerate(LEVELS)}
-
-
-def _prefix_code(c: tk.Chunk, at: np.ndarray, sums: np.ndarray, plan: dict[int, np.ndarray], full: np.ndarray) -> np.ndarray:
-    """Hash of the shortest prefix that isn't heavy."""
-    code, open_ = full.copy(), np.ones(len(at), bool)
-    for level in LEVELS:
-        h = c.runs(at, at + level, sums=sums)
-        heavy = np.zeros(SLOTS, bool)
-        heavy[plan[level]] = True
-        light = open_ & ~heavy[(h % np.uint64(SLOTS)).astype(np.int64)]
-        code[light] = h[light]
-        open_ &= ~light
-    return code
-
-
-def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, budget: int = 0, carry: bool = False) -> tuple[DataFrame, DataFrame, int]:
-    """(texts by part, keys of windows to remove by part, number of parts) of docs(doc_id, text); carry keeps the other columns, as `rest`."""
+                size += len(c.data)
+                _, place, key = _anchors(c, window, gram)
+                total += np.bincount((key[_edges(place)] % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(slot, -1).astype(np.int32)), pa.array(np.append(total[slot], size))], names=["slot", "n"])
+
+    found = docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS + 1 rows
+    slot, n = found.column("slot").to_numpy(), found.column("n").to_numpy()
+    return np.sort(slot[(n > heavy) & (slot >= 0)]), int(n[slot >= 0].sum()), int(n[slot < 0].sum())
+
+
+class _Texts:
+    """Rows of batches, with null doc_ids told apart."""
+
+    def __init__(self, b: pa.RecordBatch) -> None:
+        self.valid = b.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+        self.ids = b.column("doc_id").fill_null(0).to_numpy()
+        self.part, self.key = b.column("part").to_numpy(), b.column("row").to_numpy()
+
+
+def _ranks(word: np.ndarray, size: int) -> np.ndarray:
+    """Ranks of the `size` words from each word on, by prefix doubling."""
+
+    def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n = min(len(a), len(b))
+        return np.unique(a[:n] << 32 | b[:n], return_inverse=True)[1]
+
+    part, width, out, done = word, 1, None, 0
+    while True:
+        if size & width:
+            out = part if out is None else pair(out, part[done:])
+            done += width
+        if done == size:
+            return out
+        part = pair(part, part[width:])
+        width *= 2
+
+
+def _normal(c: tk.Chunk) -> tuple[np.ndarray, np.ndarray]:
+    """The words' bytes, each followed by a space, and where words begin (and the end)."""
+    size = c.end - c.start
+    off = np.concatenate([[0], np.cumsum(size + 1)])
+    out = np.full(off[-1], 0x20, np.uint8)
+    inner = np.ones(off[-1], bool)
+    inner[off[1:] - 1] = False
+    out[inner] = tk.buffers(c.packed())[0]
+    return out, off
+
+
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each range."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def _told(part: np.ndarray, doc: np.ndarray, row: np.ndarray, first: np.ndarray, source: np.ndarray, source_first: np.ndarray, chain: np.ndarray) -> pa.RecordBatch:
+    """Windows to remove, in the order of their texts, as runs by part: chain tells which texts' windows may follow each other."""
+    new = np.ones(len(doc), bool)
+    new[1:] = (chain[1:] != chain[:-1]) | (first[1:] != first[:-1] + 1) | (source[1:] != source[:-1]) | (source_first[1:] != source_first[:-1] + 1)
+    at = np.flatnonzero(new)
+    run = np.zeros(len(at), _RUN)
+    run["first"], run["windows"], run["source_first"] = first[at], np.diff(np.append(at, len(doc))), source_first[at]
+    order, off, parts = _by(part[at])
+    at = at[order]
+    return pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), _docs_packed(doc[at], off), tk.pack(row[at], off), tk.pack(run[order], off), tk.pack(source[at], off)], schema=_arrow_schema(REPEATS))
+
+
+def _lookup(have: tuple[np.ndarray, ...], want: tuple[np.ndarray, ...]) -> np.ndarray:
+    """The place in have (unique pairs) of each of want (pairs), or -1."""
+    mixed, wanted = (tk.mix(b.astype(np.uint64) ^ tk.mix(a.astype(np.uint64))) for a, b in (have, want))
+    out = np.full(len(wanted), -1)
+    if len(mixed):
+        order = np.argsort(mixed)
+        at = order[np.minimum(np.searchsorted(mixed[order], wanted), len(order) - 1)]
+        ok = (have[0][at] == want[0]) & (have[1][at] == want[1])
+        out[ok] = at[ok]
+    return out
+
+
+def removals(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, heavy: int = HEAVY, carry: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(texts by part, runs of windows to remove by part) of docs(doc_id, text); carry keeps the other columns, as `rest`."""
     spark = docs.sparkSession
-    n_parts = n_buckets = 4 * partitions(spark)
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if carry else []
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*rest).alias("rest")] if rest else []))
-    docs = texts.select("doc_id", "text")
-    plan = prefix_plan(docs, window, budget or 1_000_000)
-    blob = _arrow_schema(BLOB)
-    found = "part int, docs binary, keys binary"
-    found_schema = _arrow_schema(found)
-
-    def send(d: np.ndarray, k: np.ndarray, x: np.ndarray, where: np.ndarray, drop: Callable) -> Iterator[pa.RecordBatch]:
-        least, many = _preaggregate(d, k)
-        known = drop(least, many)
-        yield from _emit(where[least], d[least], k[least], x[least], np.zeros(int(least.sum()), bool), blob)
-        yield from _emit(_part_of(d[known], n_parts) % n_buckets, d[known], k[known], x[known], np.ones(int(known.sum()), bool), blob)
+    slots, suffixes, size = prefix_plan(texts, window, gram, heavy)
+    n_buckets = max(partitions(spark), suffixes // GROUP + 1)
+    n_parts = max(partitions(spark), size // PART_BYTES + 1)
+    row = F.xxhash64("text")
+    texts = texts.withColumns({"row": row, "part": F.pmod(F.xxhash64("doc_id", row), F.lit(n_parts)).cast("int")})
+    anchor_schema, suffix_schema = _arrow_schema(ANCHORS), _arrow_schema(SUFFIXES)
+    narrow = np.uint16 if n_parts < 65536 else np.uint32
+
+    def emit(bucket: np.ndarray, known: bool, d: np.ndarray, p: np.ndarray, k: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(bucket):
+            order, off, buckets = _by(bucket)
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(np.full(len(buckets), known)), _docs_packed(d[order], off), tk.pack(p[order].astype(narrow), off), tk.pack(k[order], off)], schema=anchor_schema)
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Anchors of each text: those that another text here has are known to be shared, and of each the smallest doc_id asks the others."""
+        hold: list[tuple[np.ndarray, ...]] = []
+
+        def put() -> Iterator[pa.RecordBatch]:
+            d, p, k = (np.concatenate(x) for x in zip(*hold, strict=True))
+            hold.clear()
+            order, first, low = _least(d, k)
+            last = np.append(first[1:], len(order))[np.searchsorted(first, low)] - 1 if len(first) else low
+            d, p, k = d[order], p[order], k[order]
+            many = d[low] != d[last]
+            yield from emit(p[many] % n_buckets, True, d[many], p[many], k[many])
+            least = np.zeros(len(d), bool)
+            least[first] = True
+            # one entry speaks for all rows of its doc_id, unless it is the only doc_id here
+            least |= ~many
+            yield from emit((k[least] % np.uint64(n_buckets)).astype(np.int64), False, d[least], p[least], k[least])
+            tk.trim()
+
+        held = 0
         for b in batches:
-            ids = b.column("doc_id")
-            valid = ids.is_valid().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy()
-            hold: list[tuple[np.ndarray, np.ndarray]] = []
+            rows = _Texts(b)
+            for i, j, c in tk.chunks(b.column("text")):
+                _, place, key = _anchors(c, window, gram)
+                at = _edges(place)
+                r = np.searchsorted(c.doc, place[at], "right") - 1
+                ok = rows.valid[i:j][r]
+                r, k = tk.distinct_by_row(r[ok], key[at][ok])
+                hold.append((rows.ids[i:j][r], rows.part[i:j][r], k))
+                held += len(k)
+                if held > HOLD:
+                    yield from put()
+                    held = 0
+        if held:
+            yield from put()
+
+    def shared(t: pa.Table) -> pa.Table:
+        known = t.filter(t.column("known"))
+        t = t.filter(pa.compute.invert(t.column("known")))
+        d, p, k = _docs(t.column("docs")), _flat(t.column("parts"), narrow), _flat(t.column("keys"), np.uint64)
+        if len(k):
+            order, first, low = _least(d, k)
+            last = np.append(first[1:], len(order))[np.searchsorted(first, low)] - 1
+            d, p, k = d[order], p[order], k[order]
+            hit = d[low] != d[last]
+            d, p, k = d[hit], p[hit], k[hit]
+        d, p, k = np.concatenate([d, _docs(known.column("docs"))]), np.concatenate([p, _flat(known.column("parts"), narrow)]), np.concatenate([k, _flat(known.column("keys"), np.uint64)])
+        order, off, parts = _by(p)
+        return pa.Table.from_arrays([pa.array(parts.astype(np.int32)), _docs_packed(d[order], off), tk.pack(k[order], off)], schema=_arrow_schema(SHARED))
+
+    def candidates(left: pa.Table, right: pa.Table) -> Iterator[tuple[pa.RecordBatch | None, pa.RecordBatch | None]]:
+        want = np.unique(np.rec.fromarrays([_docs(right.column("docs")), _flat(right.column("keys"), np.uint64)], names="d,k"))
+        want = np.ascontiguousarray(want["d"]), np.ascontiguousarray(want["k"])
+        left = left.filter(pa.compute.is_in(left.column("doc_id"), pa.array(np.unique(want[0])))) if len(want[0]) else left.slice(0, 0)
+        for b in left.to_batches():
+            rows = _Texts(b)
             for i, j, c in tk.chunks(b.column("text")):
-                at, key = _anchors(c, window, gram)
-                row = c.row[at]
-                keep = valid[i:j][row]
-                keep[1:] &= (key[1:] != key[:-1]) | (row[1:] != row[:-1])
-                row, key = tk.distinct_by_row(row[keep], key[keep])
-                hold.append((ids[i:j][row], key))
-                if sum(len(k) for _, k in hold) > 1_000_000 or j == len(ids):
-                    d, k = (np.concatenate(x) for x in zip(*hold, strict=True))
-                    hold = []
-                    if len(k):
-                        yield from send(d, k, np.zeros(len(k), np.uint8), (k % np.uint64(n_buckets)).astype(np.int32), lambda least, many: many)
-
-    def back(d: np.ndarray, k: np.ndarray) -> pa.Table:
-        part = _part_of(d, n_parts)
-        order = np.argsort(part, kind="stable")
-        part, d, k = part[order], d[order], k[order]
-        first = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else np.zeros(0, np.int64)
-        off = np.append(first, len(part))
-        return pa.Table.from_arrays([pa.array(part[first]), _docs_packed(d, off), tk.pack(k, off)], schema=found_schema)
-
-    def merge(t: pa.Table, later: bool) -> pa.Table:
-        known = t.column("known").to_numpy()
-        d = [_docs_unpacked(x.as_py()) for x in t.column("docs")]
-        k = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("keys")]
-        empty = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-        old = [np.concatenate(e + [x for x, y in zip(v, known, strict=True) if y]) for v, e in zip((d, k), empty, strict=True)]
-        new = [np.concatenate(e + [x for x, y in zip(v, known, strict=True) if not y]) for v, e in zip((d, k), empty, strict=True)]
-        if len(new[1]):
-            same = new[1]
-            if later:
-                x = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x, y in zip(t.column("extra"), known, strict=True) if not y])
-                order = np.lexsort((x, new[1]))
-                same, x = new[1][order], x[order]
-                edge = np.concatenate([[True], (same[1:] != same[:-1]) | (x[1:] != x[:-1])])
-            else:
-                order = np.argsort(new[1])
-                same = new[1][order]
-                edge = np.concatenate([[True], same[1:] != same[:-1]])
-            doc = new[0][order]
-            first = np.flatnonzero(edge)
-            size = np.diff(np.append(first, len(doc)))
-            low = np.repeat(np.minimum.reduceat(doc, first), size)
-            hit = doc > low if later else np.repeat(np.maximum.reduceat(doc, first), size) != low
-            old = [np.concatenate([old[0], doc[hit]]), np.concatenate([old[1], same[hit]])]
-        return back(*old)
-
-    texts = texts.withColumn("part", _part(F.col("doc_id"), n_parts))
-    shared = docs.mapInArrow(anchors, BLOB).groupBy("bucket").applyInArrow(lambda t: merge(t, False), found)
-
-    def candidates(left: pa.Table, right: pa.Table) -> pa.Table:
+                at, place, key = _anchors(c, window, gram)
+                row = np.searchsorted(c.doc, at, "right") - 1
+                d = rows.ids[i:j][row]
+                keep = rows.valid[i:j][row]
+                keep[keep] = _lookup(want, (d[keep], key[keep])) >= 0
+                at, place, key, row, d = at[keep], place[keep], key[keep], row[keep], d[keep]
+                if not len(at):
+                    continue
+                both = [c.grams(window, seed)[at] for seed in (0, 1)]
+                order, _, low = _least(d, *both)  # of equal doc_ids the first place comes first
+                source = np.empty(len(at), np.int64)
+                source[order] = order[low]
+                first = at - c.doc[row]
+                lost = d[source] < d
+                told = None
+                if lost.any():
+                    src = source[lost]
+                    told = _told(rows.part[i:j][row[lost]], d[lost], rows.key[i:j][row[lost]], first[lost], d[src], first[src], row[lost])
+                at, place, key, row, full, first = at[~lost], place[~lost], key[~lost], row[~lost], both[0][~lost], first[~lost]
+                hot = np.isin((key % np.uint64(SLOTS)).astype(np.int64), slots)
+                new = np.ones(len(at), bool)
+                new[1:] = hot[1:] | (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)
+                begin = np.flatnonzero(new)
+                windows = np.diff(np.append(begin, len(at)))
+                bucket = np.where(hot, full, key)[begin] % np.uint64(n_buckets)
+                raw, off = _normal(c)
+                x, y = off[at[begin]], off[at[begin] + windows + window - 1]
+                order, bounds, buckets = _by(bucket.astype(np.int64))
+                begin, windows, x, y = begin[order], windows[order], x[order], y[order]
+                spot = np.zeros(len(begin), _PLACE)
+                spot["first"], spot["windows"] = first[begin], windows
+                size = np.concatenate([[0], np.cumsum(y - x)])
+                r = row[begin]
+                cells = [pa.array(buckets.astype(np.int32)), _docs_packed(rows.ids[i:j][r], bounds), tk.pack(rows.part[i:j][r].astype(narrow), bounds), tk.pack(rows.key[i:j][r], bounds), tk.pack(spot, bounds), tk.pack((y - x).astype(np.uint32), bounds), tk.pack(raw[_ranges(x, y - x)], size[bounds])]
+                yield pa.RecordBatch.from_arrays(cells, schema=suffix_schema), told
+
+    def suffix_rows(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Suffixes by group, and what is lost already, by part (as groups below 0)."""
         out = []
-        for ids, valid, i, j, c, want, _ in _both(left, right, only_wanted=True):
-            at, anchor = _anchors(c, window, gram)
-            row = c.row[at]
-            keep = valid[i:j][row]
-            keep[keep] = _member(ids[i:j][row[keep]], anchor[keep], want)
-            at, row = at[keep], row[keep]
-            if not len(at):
-                continue
-            sums = c.sums()
-            h = c.runs(at, at + window, sums=sums)
-            code = _prefix_code(c, at, sums, plan, h)
-            x = (c.runs(at, at + window, "word2") >> np.uint64(32)).astype(np.uint32)
-            d = ids[i:j][row]
-            once = np.zeros(len(h), bool)
-            order = np.lexsort((d, h))
-            hs, ds = h[order], d[order]
-            once[order] = np.concatenate([[True], (hs[1:] != hs[:-1]) | (ds[1:] != ds[:-1])])
-            out.extend(send(d[once], h[once], x[once], (code[once] % np.uint64(n_buckets)).astype(np.int32), lambda least, many: many & ~least))
-        return pa.Table.from_batches(out, schema=blob)
-
-    suffixes = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(candidates, BLOB)
-    later = suffixes.groupBy("bucket").applyInArrow(lambda t: merge(t, True), found)
-    return texts, later, n_parts
-
-
-def _member(docs: np.ndarray, keys: np.ndarray, want: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which (doc, key) are among the wanted pairs."""
-    have = want[0]
-    both = tk.mix(keys ^ tk.mix(docs.astype(np.uint64)))
-    if not len(have):
-        return np.zeros(len(keys), bool)
-    at = np.searchsorted(have, both)
-    at[at == len(have)] = 0
-    return (have[at] == both) & (want[1][at] == docs)
-
-
-def _both(left: pa.Table, right: pa.Table, only_wanted: bool) -> Iterator[tuple]:
-    """Chunks of the texts of a part, with the wanted (doc, key) pairs."""
-    d = np.concatenate([np.zeros(0, np.int64), *(_docs_unpacked(x.as_py()) for x in right.column("docs"))])
-    k = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("keys"))])
-    both = tk.mix(k ^ tk.mix(d.astype(np.uint64)))
-    order = np.argsort(both)
-    want = (both[order], d[order])
-    if only_wanted:
-        left = left.select(["doc_id", "text"]).filter(pa.compute.is_in(left.column("doc_id"), pa.array(np.unique(d))))
-    for b in left.to_batches():
-        ids = b.column("doc_id")
-        valid = ids.is_valid().to_numpy(zero_copy_only=False)
-        ids = ids.fill_null(0).to_numpy()
-        there = b.column("text").is_valid().to_numpy(zero_copy_only=False)
-        for i, j, c in tk.chunks(b.column("text")):
-            yield ids, valid, i, j, c, want, there
-
-
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False, budget: int = 0, carry: bool = False) -> DataFrame:
+        for rows, told in candidates(left, right):
+            out.append(rows)
+            if told is not None:
+                out.append(pa.RecordBatch.from_arrays([pa.array(-1 - told.column("part").to_numpy()), told.column("docs"), pa.nulls(told.num_rows, pa.binary()), told.column("rows"), told.column("runs"), told.column("sources"), pa.nulls(told.num_rows, pa.binary())], schema=suffix_schema))
+        return pa.Table.from_batches(out, schema=suffix_schema)
+
+    def tree(t: pa.Table) -> pa.Table:
+        """The nodes of a group."""
+        d, p, key = _docs(t.column("docs")), _flat(t.column("parts"), narrow).astype(np.int64), _flat(t.column("rows"), np.int64)
+        spot, size = _flat(t.column("places"), _PLACE), _flat(t.column("sizes"), np.uint32).astype(np.int64)
+        c = tk.words(np.frombuffer(b"".join(t.column("text").to_pylist()), np.uint8), np.concatenate([[0], np.cumsum(size)]))
+        at = c.window_starts(window)
+        rank = _ranks(c.word_ids(), window)[at]
+        row = np.searchsorted(c.doc, at, "right") - 1
+        first = spot["first"][row].astype(np.int64) + at - c.doc[row]
+        order = np.lexsort((first, d[row], rank))
+        edge = _edges(rank[order])
+        source = np.empty(len(at), np.int64)
+        source[order] = order[np.repeat(edge, np.diff(np.append(edge, len(order))))]
+        lost = np.flatnonzero(d[row[source]] < d[row])
+        src, row = source[lost], row[lost]
+        return pa.Table.from_batches([_told(p[row], d[row], key[row], first[lost], d[np.searchsorted(c.doc, at[src], "right") - 1], first[src], row)])
+
+    found = texts.select("doc_id", "text", "row", "part").mapInArrow(anchors, ANCHORS).groupBy("bucket").applyInArrow(shared, SHARED)
+    sent = texts.select("doc_id", "text", "row", "part").groupBy("part").cogroup(found.groupBy("part")).applyInArrow(suffix_rows, SUFFIXES)
+
+    def nodes(t: pa.Table) -> pa.Table:
+        if t.column("bucket")[0].as_py() >= 0:
+            return tree(t)
+        return pa.Table.from_arrays([pa.array(-1 - t.column("bucket").to_numpy()), t.column("docs"), t.column("rows"), t.column("places"), t.column("sizes")], schema=_arrow_schema(REPEATS))
+
+    return texts, sent.groupBy("bucket").applyInArrow(nodes, REPEATS)
+
+
+def _repeats(first: np.ndarray, windows: np.ndarray, source: np.ndarray, source_first: np.ndarray, window: int) -> list[dict]:
+    """Maximal repeats of one text: runs that follow each other here and in their source."""
+    out: list[dict] = []
+    order = np.lexsort((first, first - source_first, source))
+    for f, n, s, x in zip(*(v[order].tolist() for v in (first, windows, source, source_first)), strict=True):
+        if out and out[-1]["source_id"] == s and out[-1]["source_first"] - out[-1]["first"] == x - f and out[-1]["first"] + out[-1]["n_words"] - window + 1 == f:
+            out[-1]["n_words"] += n
+        else:
+            out.append({"first": f, "n_words": n + window - 1, "source_id": s, "source_first": x})
+    return sorted(out, key=lambda x: x["first"])
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, digest: bool = False, heavy: int = HEAVY, carry: bool = False) -> DataFrame:
     """One row for each row of docs(doc_id, text).
 
     With digest: doc_id, n_words, n_removed, kept_sha256. Else doc_id, n_words, n_removed,
-    kept_text (the text itself where nothing goes, else the kept words joined by a space)
-    and spans (word ranges removed, as "first-last" joined by commas). carry adds the other
-    columns of docs as a struct `rest`.
+    kept_text (the text itself where nothing goes, else the kept words joined by a space),
+    spans (word ranges removed, as "first-last" joined by commas) and repeats (the maximal
+    repeats with their sources). carry adds the other columns of docs as a struct `rest`.
     """
-    texts, later, _ = removals(docs, window, gram, budget, carry)
+    texts, lost = removals(docs, window, gram, heavy, carry)
     kind = "doc_id long, n_words long, n_removed long, " + ("kept_sha256 string" if digest else "kept_text string, spans string")
     schema = _arrow_schema(kind)
+    if not digest:
+        one = pa.struct([(n, pa.int64()) for n in ("first", "n_words", "source_id", "source_first")])
+        schema = schema.append(pa.field("repeats", pa.list_(one)))
+        kind += f", repeats {FOUND}"
     out_type = T._parse_datatype_string(kind)
     carry = "rest" in texts.columns
     if carry:
         out_type = out_type.add(texts.schema["rest"])
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = []
-        rest = left.column("rest") if carry else None
-        for ids, valid, i, j, c, want, there in _both(left, right, only_wanted=False):
-            at, h = c.windows(window)
-            row = c.row[at]
-            bad = valid[i:j][row] & _member(ids[i:j][row], h, want)
-            step = np.zeros(len(c.hash) + 1, np.int64)
-            np.add.at(step, at[bad], 1)
-            np.add.at(step, at[bad] + window, -1)
-            gone = np.cumsum(step[:-1]) > 0
-            raw, total = c.data.tobytes(), np.concatenate([[0], np.cumsum(gone)])
-            removed = total[c.doc[1:]] - total[c.doc[:-1]]
-            cells: list[list] = [[], []]
-            for r in range(j - i):
-                a, b = c.doc[r], c.doc[r + 1]
-                whole = not removed[r]
-                if whole and not digest:
-                    cells[0].append(raw[c.offsets[r] : c.offsets[r + 1]].decode() if there[i + r] else None)
-                    cells[1].append("")
-                    continue
-                if whole:
-                    text = b" ".join(raw[c.offsets[r] : c.offsets[r + 1]].split())  # bytes.split() has the same six separators
-                else:
-                    keep = ~gone[a:b]
-                    text = b" ".join([raw[s:e] for s, e in zip(c.start[a:b][keep].tolist(), c.end[a:b][keep].tolist(), strict=True)])
-                if digest:
-                    cells[0].append(hashlib.sha256(text).hexdigest())
-                else:
-                    flips = np.flatnonzero(np.diff(np.concatenate([[0], gone[a:b].view(np.int8), [0]])))
-                    cells[0].append(text.decode())
-                    cells[1].append(",".join(f"{x}-{y - 1}" for x, y in zip(flips[::2], flips[1::2], strict=True)))
-            cols = [pa.array(ids[i:j], mask=~valid[i:j]), pa.array(np.diff(c.doc)), pa.array(removed)] + [pa.array(x, pa.string()) for x in cells[: 1 if digest else 2]]
-            out.append(pa.RecordBatch.from_arrays(cols, schema=schema))
+        have = _docs(right.column("docs")), _flat(right.column("rows"), np.int64)
+        run, source = _flat(right.column("runs"), _RUN), _flat(right.column("sources"), np.int64)
+        order = np.lexsort((have[1], have[0]))
+        have, run, source = (have[0][order], have[1][order]), run[order], source[order]
+        edge = np.flatnonzero(np.concatenate([[True], (have[0][1:] != have[0][:-1]) | (have[1][1:] != have[1][:-1])])) if len(run) else np.zeros(0, np.int64)
+        off, heads = np.append(edge, len(run)), (have[0][edge], have[1][edge])
+        out, rest = [], left.column("rest") if carry else None
+        for b in left.to_batches():
+            rows = _Texts(b)
+            there = b.column("text").is_valid().to_numpy(zero_copy_only=False)
+            mine = _lookup(heads, (rows.ids, rows.key))
+            mine[~rows.valid] = -1
+            for i, j, c in tk.chunks(b.column("text")):
+                step = np.zeros(len(c.start) + 1, np.int64)
+                hit = np.flatnonzero(mine[i:j] >= 0)
+                h = mine[i:j][hit]
+                many = off[h + 1] - off[h]
+                at = _ranges(off[h], many)
+                begin = np.repeat(c.doc[hit], many) + run["first"][at]
+                np.add.at(step, begin, 1)
+                np.add.at(step, begin + run["windows"][at] + window - 1, -1)
+                gone = np.cumsum(step[:-1]) > 0
+                raw, total = c.data.tobytes(), np.concatenate([[0], np.cumsum(gone)])
+                removed = total[c.doc[1:]] - total[c.doc[:-1]]
+                cells: list[list] = [[], [], []]
+                for r in range(j - i):
+                    x, y = c.doc[r], c.doc[r + 1]
+                    whole = not removed[r]
+                    if whole and not digest:
+                        cells[0].append(raw[c.offsets[r] : c.offsets[r + 1]].decode() if there[i + r] else None)
+                        cells[1].append("")
+                        cells[2].append([])
+                        continue
+                    if whole:
+                        text = b" ".join(raw[c.offsets[r] : c.offsets[r + 1]].split())  # bytes.split() has the same six separators
+                    else:
+                        keep = ~gone[x:y]
+                        text = b" ".join([raw[s:e] for s, e in zip(c.start[x:y][keep].tolist(), c.end[x:y][keep].tolist(), strict=True)])
+                    if digest:
+                        cells[0].append(hashlib.sha256(text).hexdigest())
+                    else:
+                        flips = np.flatnonzero(np.diff(np.concatenate([[0], gone[x:y].view(np.int8), [0]])))
+                        k = slice(off[mine[i + r]], off[mine[i + r] + 1])
+                        cells[0].append(text.decode())
+                        cells[1].append(",".join(f"{s}-{e - 1}" for s, e in zip(flips[::2], flips[1::2], strict=True)))
+                        cells[2].append(_repeats(*(run[n][k].astype(np.int64) for n in ("first", "windows")), source[k], run["source_first"][k].astype(np.int64), window))
+                cols = [b.column("doc_id").slice(i, j - i), pa.array(np.diff(c.doc)), pa.array(removed)] + [pa.array(x, f.type) for x, f in zip(cells, list(schema)[3:], strict=False)]
+                out.append(pa.RecordBatch.from_arrays(cols, schema=schema))
         t = pa.Table.from_batches(out, schema=schema)
         return t.append_column("rest", rest) if carry else t
 
-    return texts.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(finish, out_type)
+    return texts.groupBy("part").cogroup(lost.groupBy("part")).applyInArrow(finish, out_type)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:

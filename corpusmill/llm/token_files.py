@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkernel as tk
-from .bpe import Cache, by_model, encode_chunk, splitter, text_chunks
+from .bpe import Cache, encode_chunk, splitter, text_chunks
 from .shared import partitions, work_folder
 
 LENGTH, BATCH = 1024, 256
@@ -40,7 +40,7 @@ _CACHES: dict[str, Cache] = {}
 def _cache(path: str) -> Cache:
     """Words that this Python process has encoded, kept from task to task up to a bound."""
     if path not in _CACHES:
-        _CACHES[path] = Cache(by_model(splitter(path)))
+        _CACHES[path] = Cache(splitter(path))
     return _CACHES[path]
 
 

@@ -41,18 +41,12 @@ def held_out(doc_id: Column) -> Column:
 def _terms(c: tk.Chunk) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, hash) of all words, and of all n-grams inside words."""
     yield c.row, c.hash
-    n = len(c.data)
-    p, inv = tk.powers("byte", n + 1)
-    s = np.zeros(n + 1, np.uint64)
-    v = tk.BYTE_LOWER[c.data]
-    v *= p[:n]
-    np.cumsum(v, out=s[1:])
     size = c.end - c.start
     for g in GRAMS:
         w = np.flatnonzero(size > g)  # the word itself is there already
         many = size[w] - g + 1
         at = np.repeat(c.start[w] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        yield np.repeat(c.row[w], many), tk.mix((s[at + g] - s[at]) * inv[at] + np.uint64(g))
+        yield np.repeat(c.row[w], many), tk.hash_runs(c.data, at, at + g)
 
 
 def examples(labels: DataFrame, most: int = MOST_EXAMPLES) -> tuple[DataFrame, dict[int, float]]:
@@ -71,7 +65,7 @@ def vocabulary(docs: DataFrame, sample: DataFrame, each: int = TERMS_EACH) -> np
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             toxic = b.column("toxic").to_numpy() == 1
-            for i, j, c in tk.chunks(b.column("text"), tk.ALNUM, tk.BYTE_LOWER):
+            for i, j, c in tk.chunks(b.column("text"), tk.ALNUM, True):
                 pairs = [tk.distinct_by_row(row, h) for row, h in _terms(c)]
                 row, h = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 term, at = np.unique(h, return_inverse=True)
@@ -93,7 +87,7 @@ def vocabulary(docs: DataFrame, sample: DataFrame, each: int = TERMS_EACH) -> np
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         term, value = sent.value
         for b in batches:
-            for _, _, c in tk.chunks(b.column("text"), tk.ALNUM, tk.BYTE_LOWER):
+            for _, _, c in tk.chunks(b.column("text"), tk.ALNUM, True):
                 pairs = [tk.distinct_by_row(row, h) for row, h in _terms(c)]
                 row, h = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 at = np.minimum(np.searchsorted(term, h), max(0, len(term) - 1))
@@ -117,7 +111,7 @@ def vectors(docs: DataFrame, vocab: np.ndarray) -> DataFrame:
         seen = np.zeros(1 << 20, bool)
         seen[(known & mask).astype(np.int64)] = True
         for b in batches:
-            for i, j, c in tk.chunks(b.column("text"), tk.ALNUM, tk.BYTE_LOWER):
+            for i, j, c in tk.chunks(b.column("text"), tk.ALNUM, True):
                 rows, terms = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
                 for row, h in _terms(c):
                     spot = np.flatnonzero(seen[(h & mask).astype(np.int64)])

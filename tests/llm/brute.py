@@ -66,8 +66,16 @@ def contaminated(docs, bench, size=10):
                 if (x := tuple(w[k : k + n])) in wins:
                     items |= wins[x]
                     hit[k : k + n] = [True] * n
-        ids = sorted(str(i) for i in items if i is not None)
-        out.append((d, len(w), sum(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), any(hit)))
+        ids, longest = sorted(str(i) for i in items if i is not None), 0
+        for _, x in bench:
+            x = ALNUM.findall(lower(x))
+            for i in range(len(w)):
+                for j in range(len(x)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(x) and w[i + n] == x[j + n]:
+                        n += 1
+                    longest = max(longest, n if n >= min(size, len(x)) else 0)
+        out.append((d, len(w), sum(hit), len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), any(hit), longest))
     return out
 
 

@@ -82,7 +82,7 @@ def test_decontamination(spark, texts):
     for block in (1_000_000, 20):
         got = decontaminate.digests(decontaminate.contamination(frame(spark, texts), df, block=block)).collect()
         assert sorted(map(tuple, got)) == sorted(brute.contaminated(texts, bench))
-    keep = {d for d, *_, bad in brute.contaminated(texts, bench) if not bad}
+    keep = {d for d, *_, bad, _ in brute.contaminated(texts, bench) if not bad}
     left = decontaminate.decontaminate(frame(spark, texts), df)
     assert left.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert {r.doc_id for r in left.collect()} == keep
@@ -92,7 +92,7 @@ def test_decontamination(spark, texts):
     assert decontaminate.contamination(frame(spark, texts), df.limit(0)).filter("contaminated").count() == 0
 
 
-def test_bpe(spark, texts):
+def test_bpe(spark, texts, monkeypatch):
     path = Q.tokenizer_path("byte_bpe_50k.json")
     library = bpe.splitter(path).library
     rows = [*texts, (500, "Ᲊ \U00010d50 " + "x" * 50), (None, "null id")]
@@ -100,8 +100,10 @@ def test_bpe(spark, texts):
     for d, t in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids
         want.append((d, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    for size, join in ((bpe.TABLE_BYTES, False), (2000, False), (0, False), (0, True)):
-        got = bpe.digests(bpe.encode(frame(spark, rows), path, size, join), path).collect()
+    for most in (500_000, 50):
+        monkeypatch.setattr(bpe, "CHUNK_WORDS", most)
+        monkeypatch.setattr(bpe, "LONG_TEXT", most)
+        got = bpe.digests(bpe.encode(frame(spark, rows), path), path).collect()
         assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
     back = bpe.decode(bpe.encode(frame(spark, rows), path), path).collect()
     assert sorted((r.doc_id or -1, r.text) for r in back) == sorted((d or -1, t or "") for d, t in rows)
@@ -177,8 +179,8 @@ def test_chat_format(spark):
 def test_substring_dedup(spark, texts):
     rows = [*texts, (None, next(t for _, t in texts if t and len(t) > 300))]
     want = sorted((d if d is not None else -1, n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for d, n, kept in brute.without_repeats(rows))
-    for budget in (0, 3):
-        got = remove_repeats(frame(spark, rows), digest=True, budget=budget).collect()
+    for heavy in (1_000_000, 3):
+        got = remove_repeats(frame(spark, rows), digest=True, heavy=heavy).collect()
         assert sorted((r.doc_id if r.doc_id is not None else -1, *tuple(r)[1:]) for r in got) == want
     assert remove_repeats(frame(spark, []), digest=True).count() == 0
     out = without_repeats(frame(spark, rows))

@@ -29,7 +29,7 @@ def test_run(spark, tmp_path):
     kept = brute.near(left)
     left = [(i, t) for i, t in left if kept[i][2]]
     left = [(i, b" ".join(w).decode()) for i, _, w in brute.without_repeats(left)]
-    leaks = {d for d, *_, hit in brute.contaminated(left, [(1, item)]) if hit}
+    leaks = {d for d, *_, hit, _ in brute.contaminated(left, [(1, item)]) if hit}
     library = bpe.splitter(tokenizer_path("byte_bpe_50k.json")).library
     want = {i: len(library.encode(t, add_special_tokens=False).ids) for i, t in left if i not in leaks}
     got = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
