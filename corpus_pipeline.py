@@ -1,7 +1,8 @@
 """From raw documents to token ids, in five stages.
 
 Each stage takes what its predecessor kept, written as Parquet and read again, and all but
-the last return the columns of documents.
+the last return the columns of documents. Extra columns stay, whatever their names (but for
+those that begin with two underscores, which the stages use).
 """
 
 from __future__ import annotations
@@ -10,33 +11,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from corpusmill.llm import bpe, decontaminate, near_dedup, quality
 from corpusmill.llm.queries import tokenizer_path
-from corpusmill.llm.shared import cut, table, without_ids
+from corpusmill.llm.shared import cut, table
 from corpusmill.llm.substring_dedup import without_repeats
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the importance sample rejects go."""
-    found = quality.select(docs, table(spark, sf_dir, "labels"))
-    return without_ids(docs, found.filter("not kept"))
+    """Rows that the importance sample rejects go; rows without n-grams or labels weigh 0 and are judged like others, exact repeats of a row alike; an empty table stays empty."""
+    return quality.selected(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
-    return without_ids(docs, near_dedup.near_duplicates(docs).filter("not kept"))
+    """Of each group of near duplicates the row with the smallest doc_id stays, one of equals; rows without doc_id or words stay, and so do unrelated texts under a doc_id of which a copy goes."""
+    return near_dedup.one_of_each(docs)
 
 
 def no_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that an earlier document has go; the documents stay."""
+    """Words of passages that a document with a smaller doc_id has go; all rows stay, those without doc_id or words as they are, and rows that share a doc_id don't count against each other."""
     return without_repeats(docs)
 
 
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of the benchmark go."""
+    """Rows that hold a window of the benchmark go; null and empty texts hold none, and an empty benchmark removes nothing."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of ids and decoded texts."""
+    """Digests of ids and decoded texts, one row a row; a null text has no ids."""
     path = tokenizer_path("byte_bpe_50k.json")
     return bpe.digests(bpe.encode(docs, path), path)
 
