@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,13 +136,47 @@ def test_knn(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)] + [(i, [0.5] * 6) for i in range(300, 420)]
     rows += [(1000, None), (1050, []), (1100, [float("nan")] * 6), (1150, [1.0, None] * 3), (None, [1.0] * 6), (1200, [1.0, 2.0])]
+    rows += [(7, rows[7][1]), (7, rows[7][1])]
     df = spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<float>, score int").repartition(3)
     plain = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
-    got = {tuple(r) for r in knn.top_k(df, "vec_id % 50 = 0").collect()}
-    assert got == brute.knn(plain, 50)
+    for more in ({}, {"group": 2, "block": 40}):
+        got = {tuple(r) for r in knn.top_k(df, "vec_id % 50 = 0", **more).collect()}
+        assert got == brute.knn(plain, 50)
     assert knn.top_k(df.limit(0), "vec_id % 50 = 0").count() == 0
 
 
+def test_knn_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, [1.0, 1.0]), (1, [9e6, 1.0]), (2, [1.0, 2.0]), (3, [-9e6, 3.0]), (4, [3e9, -7e9]), (5, [3e9, -7e9 + 4096]), (50, [1e9, 1e9])]
+    rows += [(100 + i, [float(x) for x in np.float32(rng.normal(size=2) * 1e7)]) for i in range(60)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = {(q, n, i, min(max(s, -(2**63)), 2**63 - 1)) for q, n, i, s in brute.knn(rows, 50)}
+    assert {tuple(r) for r in knn.top_k(df, "vec_id % 50 = 0").collect()} == want
+    huge = spark.createDataFrame([(0, [3e38, 0.0]), (1, [2e38, 0.0]), (2, [3e38, 1.0]), (3, [-3e38, 0.0]), (4, [1.0, 0.0]), (5, [-2e38, 0.0])], "vec_id long, embedding array<float>")
+    got = [(r.vec_id, r.score) for r in knn.top_k(huge, "vec_id = 0").orderBy("rank").collect()]
+    assert got == [(2, 2**63 - 1), (1, 2**63 - 1), (4, 2**63 - 1), (5, -(2**63)), (3, -(2**63))]
+
+
+def test_knn_needs_few_cells_of_clustered_vectors():
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(40, 16)) * 100
+    x = np.floor(np.concatenate([c + rng.normal(size=(50, 16)) for c in centres]))
+    pivots = x[::25]
+    cell, far = knn._nearest(x, pivots)
+    p, norm = pivots[cell], np.sqrt((x**2).sum(1))
+    angle = np.arccos(np.clip((x * p).sum(1) / norm / np.sqrt((p**2).sum(1)), -1, 1))
+    used = np.unique(cell)
+    pick = lambda f, v: [float(f(v[cell == c])) for c in used]
+    summary = pa.table({"cell": pa.array(used.astype(np.int32)), "n": [int((cell == c).sum()) for c in used], "u": pick(np.max, far), "angle": pick(np.max, angle), "low": pick(np.min, norm), "high": pick(np.max, norm)})
+    cells = knn.Cells(summary, pivots, np.arange(0, len(x), 25))
+    need = cells.needed(x, np.arange(len(x)), 5)
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    for q, top in enumerate(np.argsort(-scores, axis=1, kind="stable")[:, :5]):
+        assert need[q][np.searchsorted(used, cell[top])].all()
+    assert (need @ cells.size).mean() < 0.1 * len(x)
+
+
 def test_token_files(spark, texts, tmp_path):
     path = Q.tokenizer_path("word_bpe_49k.json")
     library = bpe.splitter(path).library
