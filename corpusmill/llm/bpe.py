@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .shared import partitions, work_folder
 
-CHUNK_WORDS, LONG_TEXT = 500_000, 1 << 22
+CHUNK_WORDS, LONG_TEXT = 2_000_000, 1 << 22
 #: How the two kinds of vocabulary split a text; word_bounds() follows them.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -319,10 +319,24 @@ def split_words(docs: DataFrame, path: str) -> DataFrame:
     return docs.select("doc_id", F.when(~plain, text).alias("text"), words.alias("words"), own.alias("own"))
 
 
-_ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("path", pa.string()), ("batch", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary())])
-_ASKED = "bucket int, chunk long, path string, batch int, at binary, sizes binary, words binary"
-_CHUNK = pa.schema([("doc_id", pa.list_(pa.int64())), ("sizes", pa.list_(pa.uint32())), ("at", pa.list_(pa.uint32())), ("ids", pa.list_(pa.int32()))])
-_TOLD = pa.schema([("chunk", pa.int64()), ("path", pa.string()), ("batch", pa.int32()), ("at", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_ASK = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("path", pa.string()), ("batch", pa.int32()), ("sizes", pa.binary()), ("words", pa.binary())])
+_ASKED = "bucket int, chunk long, path string, batch int, sizes binary, words binary"
+_TOLD = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("path", pa.string()), ("batch", pa.int32()), ("sizes", pa.binary()), ("ids", pa.binary())])
+_PLANES = ("p0", "p1", "p2", "p3")
+_CHUNK = pa.schema([("doc_id", pa.list_(pa.int64())), ("sizes", pa.list_(pa.uint32())), ("ids", pa.list_(pa.int32())), *[(p, pa.list_(pa.uint8())) for p in _PLANES]])
+
+
+def _narrow(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    """Small numbers as bytes, behind a byte that tells their width."""
+    out = []
+    for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+        wide = j > i and values[i:j].max() > 255
+        out.append((b"\4" + values[i:j].astype(np.uint32).tobytes()) if wide else (b"\1" + values[i:j].astype(np.uint8).tobytes()))
+    return pa.array(out, pa.binary())
+
+
+def _numbers(cells: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, f"u{x[0]}", offset=1).astype(np.int64) for x in cells]
 
 
 class _Writer:
@@ -337,30 +351,37 @@ class _Writer:
         self.chunk, self.n, self.buckets = TaskContext.get().partitionId() << 32, 0, buckets
 
     def head(self) -> pa.RecordBatch:
-        cells = [[self.n % self.buckets], [self.chunk + self.n], [self.path], [self.n], [None], [None], [None]]
+        cells = [[self.n % self.buckets], [self.chunk + self.n], [self.path], [self.n], [None], [None]]
         self.n += 1
         return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cells, _ASK, strict=True)], schema=_ASK)
 
+    def put(self, doc_id: pa.Array, sizes: np.ndarray, ids: np.ndarray | None, at: np.ndarray | None) -> None:
+        cells = {"doc_id": doc_id, "sizes": pa.array(sizes), "ids": None if ids is None else pa.array(ids)}
+        if at is not None:  # byte by byte, which compresses better
+            planes = np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            cells |= {p: pa.array(planes[k]) for k, p in enumerate(_PLANES)}
+        whole = [pa.array([None], f.type) if cells.get(f.name) is None else pa.ListArray.from_arrays(pa.array([0, len(cells[f.name])], pa.int32()), cells[f.name].cast(f.type.value_type)) for f in _CHUNK]
+        self.out.write_batch(pa.RecordBatch.from_arrays(whole, schema=_CHUNK))
+
     def given(self, doc_id: pa.Array, ids: list[list[int]]) -> pa.RecordBatch:
         """A chunk whose ids are known."""
-        cells = [doc_id.to_pylist()], [[len(x) for x in ids]], [None], [list(chain.from_iterable(ids))]
-        self.out.write_batch(pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(cells, _CHUNK, strict=True)], schema=_CHUNK))
+        self.put(doc_id, np.array([len(x) for x in ids]), np.array(list(chain.from_iterable(ids)), np.int32), None)
         return self.head()
 
     def add(self, doc_id: pa.Array, sizes: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+        """Words are numbered in the order of their buckets, so that answers need no numbers."""
         coded = words.dictionary_encode()
         data, off = tk.buffers(coded.dictionary)
-        one = lambda x, kind: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(kind))
-        self.out.write_batch(pa.RecordBatch.from_arrays([one(doc_id, pa.int64()), one(pa.array(sizes), pa.uint32()), one(coded.indices, pa.uint32()), pa.array([None], pa.list_(pa.int32()))], schema=_CHUNK))
         bucket = (tk.hash_runs(data, off[:-1], off[1:]) % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.put(doc_id, sizes, None, place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int64))
         first = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0])) if len(order) else order
         rows = np.append(first, len(order))
-        length = np.diff(off)[order]
-        sent = coded.dictionary.take(pa.array(order))
-        flat, bounds = tk.buffers(sent)
-        n, empty = len(first), pa.nulls(len(first))
-        cells = [pa.array(bucket[order][first]), pa.array(np.full(n, self.chunk + self.n)), empty.cast(pa.string()), empty.cast(pa.int32()), tk.pack(order.astype(np.uint32), rows), tk.pack(length.astype(np.uint32), rows), tk.pack(flat, bounds[rows])]
+        flat, bounds = tk.buffers(coded.dictionary.take(pa.array(order)))
+        none = pa.nulls(len(first))
+        cells = [pa.array(bucket[order][first]), pa.array(np.full(len(first), self.chunk + self.n)), none.cast(pa.string()), none.cast(pa.int32()), _narrow(np.diff(off)[order], rows), tk.pack(flat, bounds[rows])]
         yield self.head()
         yield pa.RecordBatch.from_arrays(cells, schema=_ASK)
 
@@ -414,21 +435,21 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     spark = docs.sparkSession
     asked = asked_words(_texts(docs), path, 4 * partitions(spark))
 
+    width = np.uint16 if splitter(path).library.get_vocab_size() <= 65536 else np.int32
+
     def table(t: pa.Table) -> pa.Table:
         """A partition of the table of distinct words: each is encoded once and goes to all chunks that asked."""
-        named = t.filter(t.column("path").is_valid()).select(["chunk", "path", "batch"])
+        heads = t.filter(t.column("path").is_valid())
         t = t.filter(t.column("path").is_null()).combine_chunks()
-        cells: list[pa.Array] = [pa.nulls(named.num_rows).cast(pa.binary())] * 3
-        if t.num_rows:
-            sizes, rows = tk.blobs(t.column("sizes").combine_chunks(), np.uint32)
-            words = tk.pack(tk.buffers(t.column("words").combine_chunks())[0], np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])).dictionary_encode()
-            flat, off = encode_words(splitter(path), words.dictionary.to_pylist())
-            ids, bounds = gather(flat, off, words.indices.to_numpy(), np.arange(len(words) + 1))
-            told = [t.column("at").combine_chunks(), tk.pack(np.diff(bounds).astype(np.uint32), rows), tk.pack(ids.astype(np.int32), bounds[rows])]
-            cells = [pa.concat_arrays([x.cast(pa.binary()), y.cast(pa.binary())]) for x, y in zip(cells, told, strict=True)]
-        none = pa.nulls(t.num_rows)
-        heads = [pa.concat_arrays([named.column(n).combine_chunks() if named.num_rows else pa.array([], k), x]) for n, k, x in (("chunk", pa.int64(), t.column("chunk").combine_chunks()), ("path", pa.string(), none.cast(pa.string())), ("batch", pa.int32(), none.cast(pa.int32())))]
-        return pa.Table.from_arrays([*heads, *cells], schema=_TOLD)
+        sizes = _numbers(t.column("sizes").to_pylist())
+        rows = np.concatenate([[0], np.cumsum([len(x) for x in sizes], dtype=np.int64)])
+        length = np.concatenate([np.zeros(0, np.int64), *sizes])
+        words = tk.pack(np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint8), np.concatenate([[0], np.cumsum(length)])).dictionary_encode()
+        flat, off = encode_words(splitter(path), words.dictionary.to_pylist())
+        ids, bounds = gather(flat, off, words.indices.to_numpy(), np.arange(len(words) + 1))
+        told = pa.Table.from_arrays([*(t.column(n) for n in ("bucket", "chunk", "path", "batch")), _narrow(np.diff(bounds), rows), tk.pack(ids.astype(width), bounds[rows])], schema=_TOLD)
+        empty = pa.nulls(heads.num_rows).cast(pa.binary())
+        return pa.concat_tables([told, pa.Table.from_arrays([*(heads.column(n) for n in ("bucket", "chunk", "path", "batch")), empty, empty], schema=_TOLD)])
 
     def join(t: pa.Table) -> pa.Table:
         """Ids of a chunk's words come back to their positions."""
@@ -438,19 +459,18 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         disk, name = fs.FileSystem.from_uri(named[0]["path"])
         file = pa.ipc.open_file(pa.memory_map(name) if isinstance(disk, fs.LocalFileSystem) else disk.open_input_file(name))
         chunk = file.get_batch(named[0]["batch"])
-        doc_id, sizes = chunk.column("doc_id").flatten(), chunk.column("sizes").flatten().to_numpy().astype(np.int64)
-        if chunk.column("at").is_valid()[0].as_py():
-            t = t.filter(t.column("path").is_null()).combine_chunks()
-            at, many, ids = (tk.blobs(t.column(n).combine_chunks() if t.num_rows else pa.array([], pa.binary()), k)[0] for n, k in (("at", np.uint32), ("sizes", np.uint32), ("ids", np.int32)))
-            place = np.empty(len(at), np.int64)
-            place[at] = np.arange(len(at))
-            words = place[chunk.column("at").flatten().to_numpy()]
-            ids, rows = gather(ids, np.concatenate([[0], np.cumsum(many, dtype=np.int64)]), words, np.concatenate([[0], np.cumsum(sizes)]))
+        doc_id, rows = chunk.column("doc_id").flatten(), np.concatenate([[0], np.cumsum(chunk.column("sizes").flatten().to_numpy(), dtype=np.int64)])
+        if chunk.column("ids").is_valid()[0].as_py():
+            ids = chunk.column("ids").flatten().to_numpy()
         else:
-            ids, rows = chunk.column("ids").flatten().to_numpy(), np.concatenate([[0], np.cumsum(sizes)])
+            t = t.filter(t.column("path").is_null()).sort_by("bucket")
+            many = np.concatenate([np.zeros(0, np.int64), *_numbers(t.column("sizes").to_pylist())])
+            flat = np.frombuffer(b"".join(t.column("ids").to_pylist()), width)
+            at = np.stack([chunk.column(p).flatten().to_numpy() for p in _PLANES], axis=1).view("<u4").ravel()
+            ids, rows = gather(flat, np.concatenate([[0], np.cumsum(many)]), at, rows)
         return pa.table({"doc_id": doc_id, "ids": tk.pack(ids.astype(np.int32), rows).cast(pa.binary())})
 
-    told = asked.groupBy("bucket").applyInArrow(table, "chunk long, path string, batch int, at binary, sizes binary, ids binary")
+    told = asked.groupBy("bucket").applyInArrow(table, "bucket int, chunk long, path string, batch int, sizes binary, ids binary")
     return told.groupBy("chunk").applyInArrow(join, "doc_id long, ids binary")
 
 

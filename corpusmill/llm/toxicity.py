@@ -14,7 +14,8 @@ probabilities. Neighbours are the evidence.
 Results for odd input: a text without terms of the vocabulary, as an empty or null one,
 gets the share of toxic documents among such examples; labels that are null, of null or
 unknown documents, or held out are not used; a document labelled both ways is toxic;
-without toxic examples all scores are 0; rows that repeat a doc_id are scored one by one;
+without toxic examples all scores are 0; rows that repeat a doc_id are scored one by one, and
+as an example it is the text whose vector comes first;
 an empty table gives an empty result.
 """
 
@@ -264,7 +265,8 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     vocab = vocabulary(docs, sample)
     vecs = cut(vectors(docs, vocab))
     idf = inverse_frequencies(vecs, len(vocab))
-    rows = [tuple(r) for r in vecs.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", F.col("terms"), F.col("counts")).dropDuplicates(["doc_id"]).collect()]  # at most twice MOST_EXAMPLES
+    own = vecs.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("terms", "counts", "toxic")).alias("x"))
+    rows = [tuple(r) for r in own.select("doc_id", "x.toxic", "x.terms", "x.counts").collect()]  # at most twice MOST_EXAMPLES
     built = Index([(d, t, bytes(a), bytes(b)) for d, t, a, b in rows], idf, weight)
     index = spark.sparkContext.broadcast(built)
 
@@ -288,5 +290,5 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             got = [known[key] for key in keys]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([x for x, _ in got], pa.float64()), pa.array([e for _, e in got], pa.list_(pa.int64()))], names=["doc_id", "score", "evidence"])
 
-    out = vecs.mapInArrow(run, "doc_id long, score double, evidence array<long>")
+    out = vecs.repartition(4 * partitions(spark)).mapInArrow(run, "doc_id long, score double, evidence array<long>")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
