@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,3 +85,24 @@ def md5_64(text: Column) -> Column:
     """The first 8 bytes of the MD5, as 16 hex digits of the little-endian number."""
     h = F.md5(text.cast("binary"))
     return F.concat(*[F.substring(h, 2 * k + 1, 2) for k in range(7, -1, -1)])
+
+
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word."""
+    known = words.cast(pa.binary()).to_pylist()
+    return tuple(np.array([xxhash.xxh3_64_intdigest(w, seed) for w in known], np.uint64) for seed in (0, 0x9E3779B97F4A7C15))
+
+
+def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
+    """Of the n words from each word on (0 where there are fewer)."""
+    out = np.zeros(len(h), np.uint64)
+    if len(h) >= n:
+        x = h[: len(h) - n + 1].copy()
+        for k in range(1, n):
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x += h[k : len(h) - n + 1 + k]
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        out[: len(x)] = x ^ (x >> np.uint64(32))
+    return out

@@ -8,8 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import small_side
 from ..schema import TITLECASE, UNRECOGNIZED
-from .language import small_side
 from .paragraphs import has
 
 KINDS = {"clanky": "article", "tvorivost": "blog", "diskuse": "discussion"}
@@ -33,6 +33,13 @@ def tagger_features(form: Column) -> Column:
     )
 
 
+def following_verb(tokens: Column, at: Column | int) -> Column:
+    """The first verb after a place in a token array: its lemma, or its form where there is none; null without one."""
+    rest = F.slice(tokens, F.lit(at) + 2, F.greatest(F.size(tokens) - F.lit(at) - 1, F.lit(0)))
+    verb = F.get(F.filter(rest, lambda t: F.coalesce(t["pos"].startswith("V"), F.lit(False))), F.lit(0))
+    return F.coalesce(verb["lemma"], verb["form"])
+
+
 def _per_sentence(texts: DataFrame, work: Callable[[list[dict]], list[dict]]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

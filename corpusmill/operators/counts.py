@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import unaccent
 from ..schema import NUMERIC, PARAGRAPH_START, PUNCT, SENTENCE_START
-from .paragraphs import has, paragraph_arrays
+from .paragraphs import forms_of, has, per_unit
+
+
+def observed(rows: DataFrame, name: str, **tests: Column) -> tuple[DataFrame, Observation]:
+    """rows, and what an action on them counts on its way: items, and those for which each test holds."""
+    seen = Observation(name)
+    return rows.observe(seen, F.count(F.lit(1)).alias("items"), *[F.count_if(t).alias(k) for k, t in tests.items()]), seen
 
 
 def word_count(texts: DataFrame, *keys: str) -> DataFrame:
@@ -29,10 +40,10 @@ def word_count(texts: DataFrame, *keys: str) -> DataFrame:
 
 def language_count(texts: DataFrame) -> DataFrame:
     """Words of each language, most first, with their percentage; texts without one count as '?'."""
-    codes = F.when(F.size(F.coalesce("language", F.array().cast("array<string>"))) > 0, F.col("language")).otherwise(F.array(F.lit("?")))
-    words = lambda p: F.size(F.filter(p, lambda x: ~has(x["flags"], PUNCT)))
-    parts = F.when(F.size(codes) == 1, F.array(F.col("tokens"))).otherwise(paragraph_arrays(F.col("tokens")))
-    rows = texts.select(F.explode(F.arrays_zip(codes.alias("lang"), F.transform(parts, words).alias("n"))).alias("x")).select(F.coalesce("x.lang", F.lit("?")).alias("lang"), "x.n")
+    words = per_unit(texts, PARAGRAPH_START, "n long", lambda t: {"n": pa.array(t.count(t.word))})
+    codes = texts.select("text_id", F.coalesce("language", F.array().cast("array<string>")).alias("language"))
+    code = F.when(F.size("language") == 1, F.get("language", F.lit(0))).when(F.size("language") > 1, F.get("language", F.col("unit")))
+    rows = words.join(codes, "text_id").select(F.coalesce(code, F.lit("?")).alias("lang"), "n")
     return with_percent(rows.groupBy("lang").agg(F.sum("n").alias("words")))
 
 
@@ -48,20 +59,38 @@ def merge_language_counts(counts: DataFrame, listed: list[str]) -> DataFrame:
     return with_percent(counts.groupBy(F.when(F.col("lang").isin(listed), F.col("lang")).otherwise("other").alias("lang")).agg(F.sum("words").alias("words")))
 
 
-def ngrams(sentences: Column, n: int) -> Column:
-    """Arrays of n forms of sentences padded with <S> and </S>."""
-    padded = F.concat(F.array(F.lit("<S>")), sentences, F.array(F.lit("</S>")))
-    at = F.when(F.size(padded) >= n, F.sequence(F.lit(1), F.size(padded) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(at, lambda i: F.slice(padded, i, n))
-
+def ngram_counts(sentences: DataFrame, most: int, column: str = "forms", least: int = 1) -> DataFrame:
+    """n, gram (forms joined by tabs) and count, for n from least to most; sentences(forms array) are padded with <S> and </S>.
 
-def ngram_counts(sentences: DataFrame, most: int, column: str = "forms") -> DataFrame:
-    """n, gram (forms joined by tabs) and count, for n from 1 to most; sentences(forms array)."""
-    def grams(n: int) -> Column:
-        return F.transform(ngrams(F.col(column), n), lambda g: F.struct(F.lit(n).alias("n"), F.array_join(g, "\t").alias("gram")))
-
-    every = F.concat(*[grams(n) for n in range(1, most + 1)])
-    return sentences.select(F.explode(every).alias("x")).groupBy("x.n", "x.gram").agg(F.count("*").alias("count"))
+    A batch numbers its forms and counts its n-grams as numbers, so only distinct n-grams of
+    a batch become strings and are shuffled.
+    """
+    kind = "n int, gram string, count long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(0).drop_null()
+            if not len(lists):
+                continue
+            size = lists.value_lengths().to_numpy().astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            known = pa.concat_arrays([pa.array(["<S>", "</S>"]), coded.dictionary])
+            end = np.cumsum(size + 2)
+            form = np.full(end[-1], -1, np.int64)
+            form[end - size - 2], form[end - 1] = 0, 1
+            form[form < 0] = coded.indices.to_numpy() + 2
+            key, last = form, np.repeat(end, size + 2)
+            for n in range(1, most + 1):
+                if n > 1:  # numbers of n-grams from those of the shorter ones
+                    key = np.unique(key[:-1] << 32 | form[n - 1 :], return_inverse=True)[1] if len(key) > 1 else key[:0]
+                at = np.flatnonzero(np.arange(len(key)) + n <= last[: len(key)])
+                if n >= least and len(at):
+                    _, first, count = np.unique(key[at], return_index=True, return_counts=True)
+                    parts = [known.take(pa.array(form[at[first] + k])) for k in range(n)]
+                    gram = pc.binary_join_element_wise(*parts, "\t") if n > 1 else parts[0]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), n, np.int32)), gram, pa.array(count)], names=["n", "gram", "count"])
+
+    return sentences.select(column).mapInArrow(run, kind).groupBy("n", "gram").agg(F.sum("count").alias("count"))
 
 
 def merge_counts(*parts: DataFrame, keys: tuple[str, ...] = ("n", "gram")) -> DataFrame:
@@ -74,11 +103,8 @@ def merge_counts(*parts: DataFrame, keys: tuple[str, ...] = ("n", "gram")) -> Da
 
 def sentence_forms(texts: DataFrame) -> DataFrame:
     """One row a sentence: text_id, sent_idx, forms."""
-    t = F.col("tokens")
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))), lambda i: (i == 0) | has(F.get(t, i)["flags"], SENTENCE_START | PARAGRAPH_START))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(t)))
-    cut = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.transform(F.slice(t, p["a"] + 1, p["b"] - p["a"]), lambda x: x["form"]))
-    return texts.filter(F.size("tokens") > 0).select("text_id", F.posexplode(cut).alias("sent_idx", "forms"))
+    found = per_unit(texts, SENTENCE_START | PARAGRAPH_START, "forms array<string>", lambda t: {"forms": forms_of(t, np.ones(len(t.flags), bool))})
+    return found.withColumnRenamed("unit", "sent_idx")
 
 
 def learnable_words(texts: DataFrame) -> DataFrame:

@@ -12,10 +12,12 @@ from math import ceil, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.hashes import murmur3, murmur3_words
+from ..functions.hashes import gram_hashes, murmur3, murmur3_words, word_hashes
 from ..schema import PARAGRAPH_START
 
 
@@ -25,15 +27,39 @@ def unit_grams(units: DataFrame, n: int = 8) -> DataFrame:
     return units.select("unit", F.posexplode(F.transform(at, lambda i: F.array_join(F.slice("words", i, n), " "))).alias("pos", "gram"))
 
 
+def hashed_grams(units: DataFrame, n: int = 8) -> DataFrame:
+    """unit, g1, g2: the distinct n-grams of each of units(unit, words array), as two hashes of their words."""
+    schema = T.StructType([units.schema["unit"], T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("words")
+            size = pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64)
+            coded = lists.flatten().dictionary_encode()
+            one, two = word_hashes(coded.dictionary)
+            at = coded.indices.to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            start = np.flatnonzero(np.arange(len(at)) + n <= np.repeat(np.cumsum(size), size))
+            g1, g2 = (gram_hashes(h[at], n)[start] for h in (one, two))
+            key = np.stack([row[start].astype(np.uint64), g1, g2])
+            order = np.lexsort(key)
+            key = key[:, order]
+            new = np.ones(len(order), bool)
+            new[1:] = (key[:, 1:] != key[:, :-1]).any(0)
+            yield pa.RecordBatch.from_arrays([b.column("unit").take(pa.array(key[0, new].astype(np.int64))), pa.array(key[1, new].view(np.int64)), pa.array(key[2, new].view(np.int64))], names=["unit", "g1", "g2"])
+
+    return units.select("unit", "words").mapInArrow(run, schema)
+
+
 def exact(units: DataFrame, n: int = 8, percent: int = 30) -> DataFrame:
     """unit, grams, seen, kept of units(unit, words array); order is that of unit.
 
-    A first aggregation finds the first (unit, pos) of each n-gram; all later ones are
-    seen. Units shorter than n have no n-gram and stay.
+    The first unit of each n-gram has it fresh, once; all else is seen. Only 16 bytes and
+    the unit of each distinct n-gram of a unit are shuffled. Units shorter than n have no
+    n-gram and stay.
     """
-    grams = unit_grams(units, n).select("unit", "pos", F.xxhash64("gram").alias("g1"), F.xxhash64(F.lit(1), "gram").alias("g2"))
-    first = grams.groupBy("g1", "g2").agg(F.min(F.struct("unit", "pos")).alias("first"))
-    fresh = first.groupBy("first.unit").agg(F.count("*").alias("fresh"))
+    first = hashed_grams(units, n).groupBy("g1", "g2").agg(F.min("unit").alias("unit"))
+    fresh = first.groupBy("unit").agg(F.count("*").alias("fresh"))
     total = units.select("unit", F.greatest(F.size("words") - n + 1, F.lit(0)).cast("long").alias("grams"))
     out = total.join(fresh, "unit", "left").withColumn("seen", F.col("grams") - F.coalesce("fresh", F.lit(0)))
     return out.select("unit", "grams", "seen", (100 * F.col("seen") <= percent * F.col("grams")).alias("kept"))

@@ -8,17 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import small_side
 from ..schema import PUNCT
 from .paragraphs import has, token_rows
 
-BROADCAST_WORDS = 2_000_000
-
-
-def small_side(df: DataFrame, most: int = BROADCAST_WORDS) -> DataFrame:
-    """df, broadcast if it has at most `most` rows; else the join shuffles."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
-
-
 def weights(table: DataFrame) -> DataFrame:
     """table(lang, word) to word, lang and evidence: 1 / number of the word's languages."""
     t = table.select("lang", F.lower("word").alias("word")).distinct()

@@ -1,16 +1,22 @@
 """Tokens as rows, and filters that drop paragraphs.
 
 A paragraph starts at a token with PARAGRAPH_START, and at the first token. A text that
-loses all its tokens, or had none, is dropped. Filters decide per text with higher-order
-functions on its own token array, so they need no shuffle.
+loses all its tokens, or had none, is dropped. Filters decide per text on its own token
+array, so they need no shuffle; they run over flat Arrow columns, since array slices in the
+JVM copy the whole array each time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import is_accented
+from ..functions.text import is_accented, small_side
 from ..schema import PARAGRAPH_START, PUNCT, SENTENCE_START, UNRECOGNIZED
 
 
@@ -26,57 +32,105 @@ def token_rows(texts: DataFrame) -> DataFrame:
     return rows.withColumn("para_idx", start(PARAGRAPH_START) - 1).withColumn("sent_idx", start(SENTENCE_START | PARAGRAPH_START) - 1)
 
 
-def paragraph_arrays(tokens: Column) -> Column:
-    """The token array cut into paragraphs."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - 1, F.lit(0))), lambda i: (i == 0) | has(F.get(tokens, i)["flags"], PARAGRAPH_START))
-    ends = F.concat(F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(tokens)))
-    cut = F.transform(F.arrays_zip(starts.alias("a"), ends.alias("b")), lambda p: F.slice(tokens, p["a"] + 1, p["b"] - p["a"]))
-    return F.when(F.size(tokens) > 0, cut).otherwise(F.filter(cut, lambda x: F.lit(False)))
+class Flat:
+    """The tokens of a batch of texts as flat columns, with the row and paragraph (or other unit) of each."""
+
+    def __init__(self, b: pa.RecordBatch, starts: int = PARAGRAPH_START) -> None:
+        lists = b.column("tokens")
+        self.size = pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64)
+        self.tokens = lists.flatten()
+        self.flags = pc.fill_null(self.tokens.field("flags"), 0).to_numpy()
+        self.form = self.tokens.field("form")
+        self.row = np.repeat(np.arange(len(self.size)), self.size)
+        begin = (self.flags & starts) != 0
+        begin[(np.cumsum(self.size) - self.size)[self.size > 0]] = True
+        self.unit = np.cumsum(begin) - 1
+        self.first = np.flatnonzero(begin)
+        self.word = (self.flags & PUNCT) == 0
+
+    @property
+    def place(self) -> np.ndarray:
+        """The number of each unit in its text."""
+        row = self.row[self.first]
+        return np.arange(len(row)) - np.searchsorted(row, row)
+
+    def count(self, test: np.ndarray) -> np.ndarray:
+        return np.bincount(self.unit[test], minlength=len(self.first))
+
+    def accented(self) -> np.ndarray:
+        return self.word & pc.fill_null(pc.greater(pc.binary_length(self.form), pc.utf8_length(self.form)), False).to_numpy(zero_copy_only=False)
+
+
+def keep_paragraphs(texts: DataFrame, judge: Callable[[Flat, pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """texts with the paragraphs that judge(flat, batch) keeps; empty ones go."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = Flat(b)
+            keep = judge(flat, b)[flat.unit] if len(flat.first) else np.zeros(0, bool)
+            size = np.bincount(flat.row[keep], minlength=b.num_rows)
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), flat.tokens.filter(pa.array(keep)))
+            at = b.schema.get_field_index("tokens")
+            cells = [tokens if k == at else c for k, c in enumerate(b.columns)]
+            yield pa.RecordBatch.from_arrays(cells, names=b.schema.names).filter(pa.array(size > 0))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
+def per_unit(texts: DataFrame, starts: int, kind: str, make: Callable[[Flat], dict[str, pa.Array]]) -> DataFrame:
+    """text_id, unit and what make(flat) tells of each paragraph, or sentence."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = Flat(b, starts)
+            yield pa.RecordBatch.from_pydict({"text_id": b.column("text_id").take(pa.array(flat.row[flat.first])), "unit": pa.array(flat.place.astype(np.int32))} | make(flat))
 
-def keep_paragraphs(texts: DataFrame, keep: Column | None = None, by=None) -> DataFrame:
-    """texts whose paragraphs satisfy by(paragraph, index); empty ones go."""
-    kept = F.flatten(F.filter(paragraph_arrays(F.col("tokens")), by))
-    return texts.withColumn("tokens", kept).filter(F.size("tokens") > 0)
+    return texts.select("text_id", "tokens").mapInArrow(run, f"text_id string, unit int, {kind}")
 
 
-def _count(paragraph: Column, test) -> Column:
-    return F.size(F.filter(paragraph, test))
+def forms_of(flat: Flat, which: np.ndarray) -> pa.Array:
+    """The forms of each unit's tokens for which a test holds."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(flat.count(which))]), pa.int32()), flat.form.filter(pa.array(which)))
 
 
 def filter_unaccented(texts: DataFrame, min_percent: int = 10, reverse: bool = False) -> DataFrame:
     """Drops paragraphs in which at most min_percent of the words hold accents."""
+    return keep_paragraphs(texts, lambda t, _: (100 * t.count(t.accented()) > min_percent * t.count(t.word)) != reverse)
 
-    def accented(p: Column, _: Column) -> Column:
-        words = _count(p, lambda t: ~has(t["flags"], PUNCT))
-        ok = 100 * _count(p, lambda t: ~has(t["flags"], PUNCT) & is_accented(t["form"])) > min_percent * words
-        return ~ok if reverse else ok
 
-    return keep_paragraphs(texts, by=accented)
+def missing_accents(words: DataFrame, listed: DataFrame, *keys: str) -> DataFrame:
+    """keys, bad, good of words(keys, word): how many words are among listed(word), and how many hold accents."""
+    found = words.join(small_side(listed.select(F.lower("word").alias("word"), F.lit(1).alias("hit")).distinct()), "word", "left")
+    return found.groupBy(*keys).agg(F.count("hit").alias("bad"), F.count_if(is_accented(F.col("word"))).alias("good"))
 
 
-def filter_missing_accents(texts: DataFrame, word_list: list[str]) -> DataFrame:
-    """Drops paragraphs with two or more words of the list, if these outnumber accented words."""
-    listed = F.array(*[F.lit(w) for w in sorted(set(word_list))]) if word_list else F.array().cast("array<string>")
+def filter_missing_accents(texts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Drops paragraphs with two or more words of listed(word), if these outnumber accented words."""
+    words = per_unit(texts, PARAGRAPH_START, "words array<string>", lambda t: {"words": forms_of(t, t.word)})
+    rows = words.select("text_id", "unit", F.explode("words").alias("word")).withColumn("word", F.lower("word"))
+    bad = missing_accents(rows, listed, "text_id", "unit").filter("bad >= 2 and good < bad")
+    gone = bad.groupBy("text_id").agg(F.collect_set("unit").alias("__gone"))  # at most the paragraphs of a text
+    marked = texts.join(gone, "text_id", "left")
 
-    def fine(p: Column, _: Column) -> Column:
-        bad = _count(p, lambda t: ~has(t["flags"], PUNCT) & F.array_contains(listed, F.lower(t["form"])))
-        good = _count(p, lambda t: ~has(t["flags"], PUNCT) & is_accented(t["form"]))
-        return ~((bad >= 2) & (good < bad))
+    def fine(t: Flat, b: pa.RecordBatch) -> np.ndarray:
+        lists = b.column("__gone")
+        row = np.repeat(np.arange(b.num_rows), pc.fill_null(lists.value_lengths(), 0).to_numpy())
+        first = np.searchsorted(t.row[t.first], row)  # a text that lost a paragraph has one
+        keep = np.ones(len(t.first), bool)
+        keep[first + lists.flatten().to_numpy()] = False
+        return keep
 
-    return keep_paragraphs(texts, by=fine)
+    return keep_paragraphs(marked, fine).drop("__gone")
 
 
 def filter_unrecognized(texts: DataFrame, max_percent: int = 10, reverse: bool = False) -> DataFrame:
     """Drops paragraphs with two or more unknown words that are over max_percent of its words."""
 
-    def fine(p: Column, _: Column) -> Column:
-        words = _count(p, lambda t: ~has(t["flags"], PUNCT))
-        bad = _count(p, lambda t: ~has(t["flags"], PUNCT) & has(t["flags"], UNRECOGNIZED))
-        ok = ~((bad >= 2) & (100 * bad > max_percent * words))
-        return ~ok if reverse else ok
+    def fine(t: Flat, _: pa.RecordBatch) -> np.ndarray:
+        bad = t.count(t.word & ((t.flags & UNRECOGNIZED) != 0))
+        return ~((bad >= 2) & (100 * bad > max_percent * t.count(t.word))) != reverse
 
-    return keep_paragraphs(texts, by=fine)
+    return keep_paragraphs(texts, fine)
 
 
 def language_passes(code: Column, allow: list[str] | None, deny: list[str] | None) -> Column:
@@ -95,11 +149,18 @@ def filter_language(texts: DataFrame, allow: list[str] | None = None, deny: list
     """
     codes = F.coalesce(F.col("language"), F.array().cast("array<string>"))
     ok = lambda c: F.coalesce(language_passes(c, allow, deny), F.lit(False))
-    many = F.size(codes) > 1
-    kept = F.flatten(F.filter(paragraph_arrays(F.col("tokens")), lambda p, i: ok(F.get(codes, i))))
-    out = texts.filter((F.size(codes) != 1) | ok(F.get(codes, F.lit(0))))
-    out = out.withColumn("tokens", F.when(many, kept).otherwise(F.col("tokens"))).withColumn("language", F.when(many, F.filter(codes, ok)).otherwise(codes))
-    return out.filter(~many | (F.size("tokens") > 0))
+    out = texts.withColumn("__ok", F.transform(codes, ok)).filter((F.size(codes) != 1) | ok(F.get(codes, F.lit(0))))
+
+    def passes(t: Flat, b: pa.RecordBatch) -> np.ndarray:
+        lists = b.column("__ok")
+        size = pc.fill_null(lists.value_lengths(), 0).to_numpy()
+        row, flat = t.row[t.first], np.append(lists.flatten().to_numpy(zero_copy_only=False), False)
+        at = (np.cumsum(size) - size)[row] + t.place
+        return (size[row] < 2) | ((t.place < size[row]) & flat[np.minimum(at, len(flat) - 1)])
+
+    many = F.size("__ok") > 1
+    judged = keep_paragraphs(out.filter(many), passes).withColumn("language", F.filter("language", ok))
+    return out.filter(~many).withColumn("language", codes).unionByName(judged).drop("__ok")
 
 
 def delete_words(texts: DataFrame, drop) -> DataFrame:

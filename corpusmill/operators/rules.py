@@ -1,14 +1,18 @@
 """A small rule language for records, compiled to one SQL expression.
 
-A line is `condition && condition => action, action`. The first line whose conditions all
-hold decides; its actions run in order. Conditions:
+A line is `condition && condition => action, action`; a backslash at its end continues it on
+the next. The first line whose conditions all hold decides; its actions run in order.
+Conditions:
 
-    name == "x"   name != "x"   name =~ /re/i   name !~ /re/   (whole value for =~ ^...$)
-    name == 3     <  <=  >  >=  !=      name == 10.0.0.0/8      exists(name)   true
-    name =~ s/re/text/g   replaces in the record and holds if the pattern was found
+    *   true   exists(name)
+    name == "x"   name != "x"   <   <=   >   >=   and the same with whole numbers
+    name =~ /re/i   name !~ /re/   the pattern has to match the whole value
+    name =~ s/re/text/gi   replaces in the record and holds if the pattern was found anywhere
+    name =~ 10.0.0.0/8   name !~ fe80::/10   the address lies in the network (== and != as well)
 
 and actions: ACCEPT, DROP, CONTINUE, name = "x", name = 3, clear(name). Names are columns,
-or map entries as headers->Name. Without a decision a record is accepted.
+or map entries as headers->Name. Without a decision a record is accepted. A null value equals
+and matches nothing.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import ip_in_prefix
+from ..functions.text import full_match, ip6_in_prefix, ip_in_prefix
 
-_CONDITION = re.compile(r"\s*(?:(true)|exists\((\w+(?:->[\w-]+)?)\)|(\w+(?:->[\w-]+)?)\s*(==|!=|<=|>=|<|>|=~|!~)\s*(.+?))\s*$", re.DOTALL)
+_CONDITION = re.compile(r"\s*(?:(true|\*)|exists\((\w+(?:->[\w-]+)?)\)|(\w+(?:->[\w-]+)?)\s*(==|!=|<=|>=|<|>|=~|!~)\s*(.+?))\s*$", re.DOTALL)
 
 
 @dataclass
@@ -33,7 +37,7 @@ class Rule:
 
 def parse(text: str) -> list[Rule]:
     rules = []
-    for line in text.splitlines():
+    for line in re.sub(r"\\\n", " ", text).splitlines():
         line = line.strip()
         if not line or line.startswith("#"):
             continue
@@ -75,12 +79,15 @@ def condition(text: str) -> Column:
     if m[2]:
         return _value(m[2]).isNotNull()
     left, op, right = _value(m[3]), m[4], m[5].strip()
+    equal = op in ("==", "=~")
+    if op in ("=~", "!~", "==", "!=") and (network := re.fullmatch(r"([0-9.]+|[0-9A-Fa-f:]*:[0-9A-Fa-f:]*)(?:/(\d+))?", right)) and re.search(r"\..*\.|:", right):
+        six = ":" in network[1]
+        found = (ip6_in_prefix if six else ip_in_prefix)(left, network[1], int(network[2] or (128 if six else 32)))
+        return F.coalesce(found if equal else ~found, F.lit(not equal))
     if op in ("=~", "!~"):
-        found = left.rlike(_regex(right)[0])
-        return F.coalesce(found if op == "=~" else ~found, F.lit(op == "!~"))
-    if network := re.fullmatch(r"(\d+\.\d+\.\d+\.\d+)/(\d+)", right):
-        found = F.coalesce(ip_in_prefix(left, network[1], int(network[2])), F.lit(False))
-        return found if op == "==" else ~found
+        pattern, new, _ = _regex(right)
+        found = left.rlike(pattern) if new is not None else full_match(left, pattern)
+        return F.coalesce(found if equal else ~found, F.lit(not equal))
     other = F.lit(right[1:-1]) if right[:1] == '"' else F.lit(int(right)) if re.fullmatch(r"[+-]?\d+", right) else F.lit(right)
     got = {"==": left == other, "!=": left != other, "<": left < other, "<=": left <= other, ">": left > other, ">=": left >= other}[op]
     return F.coalesce(got, F.lit(op == "!="))
@@ -96,7 +103,7 @@ def apply(records: DataFrame, text: str) -> DataFrame:
         for c in rule.conditions:
             holds = holds & condition(c)
             m = _CONDITION.match(c)
-            if m and m[4] == "=~" and (parts := _regex(m[5].strip()))[1] is not None:
+            if m and m[4] == "=~" and m[5].startswith("s/") and (parts := _regex(m[5].strip())):
                 target = F.regexp_replace(_value(m[3]), parts[0] if "g" in parts[2] else f"^(?s)(.*?){parts[0]}", parts[1] if "g" in parts[2] else "$1" + parts[1])
                 edits.append((m[3], target))
         out = out.withColumn("__holds", holds)

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import cut
+
 
 def update(original: DataFrame, updated: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Updated rows, the first of each key, and original rows that have none."""
@@ -74,8 +76,6 @@ def dictionary(words: DataFrame, column: str = "word") -> DataFrame:
     """
     counts = words.groupBy(F.col(column).alias("word")).agg(F.count("*").alias("n"))
     ranked = counts.repartitionByRange(F.desc("n"), F.asc("word")).sortWithinPartitions(F.desc("n"), F.asc("word")).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33))
-    from ..plans.storage import cut
-
     ranked = cut(ranked)  # the two uses below must see the same partitions
     sizes = ranked.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.withColumn("before", F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")

@@ -9,14 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import urls
 from ..operators import annotate, counts, crawl, dedup, language, paragraphs, rules, tables, tokenizer
+from ..schema import PARAGRAPH_START, PUNCT, SENTENCE_START
 from ..sources import files
-from .storage import cut
+from ..storage import cut
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -50,6 +51,30 @@ def words(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return documents(spark, sf_dir).select(*keys, F.explode(tx.words(F.lower("text"))).alias("word"))
 
 
+def tokenised(docs: DataFrame) -> DataFrame:
+    """doc_id as text_id, language and tokens of documents, by pattern: each line with tokens is a paragraph."""
+    text = F.filter(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: x != "")
+    nothing = {k: F.lit(None).cast(t).alias(k) for k, t in (("lemma", "string"), ("pos", "string"), ("head", "int"), ("deprel", "string"))}
+
+    def token(form: Column, i: Column) -> Column:
+        flags = F.when(form.rlike(r"^[\p{P}\p{S}]$"), PUNCT).otherwise(0) + F.when(i == 0, PARAGRAPH_START | SENTENCE_START).otherwise(0)
+        return F.struct(flags.alias("flags"), form.alias("form"), *nothing.values())
+
+    found = F.flatten(F.transform(text, lambda x: F.transform(F.regexp_extract_all(x, F.lit(tx.TOKEN_PATTERN), F.lit(0)), token)))
+    return docs.select("*", F.col("doc_id").cast("string").alias("text_id"), F.array("lang").alias("language"), found.alias("tokens"))
+
+
+def kept_forms(texts: DataFrame) -> DataFrame:
+    """doc_id, tokens left and the MD5 of their forms."""
+    return texts.select("doc_id", F.size("tokens").cast("long").alias("tokens"), F.md5(F.array_join(F.transform("tokens", lambda t: t["form"]), " ").cast("binary")).alias("forms_md5"))
+
+
+def sql_kept(test: str, more: str = "") -> str:
+    """SQL of kept_forms() for the lines that pass a test on w (words) and t (tokens)."""
+    lines_ = f"(select doc_id, para, regexp_extract_all(text, '{WORD}') as w, regexp_extract_all(text, '{TOKEN}') as t from {P})"
+    return f"select doc_id, cast(sum(len(t)) as bigint) as tokens, md5(string_agg(array_to_string(t, ' '), ' ' order by para)) as forms_md5 from {lines_} {more} where len(t) > 0 and {test} group by doc_id"
+
+
 WORD, TOKEN = r"[\p{L}\p{N}]+", r"[\p{L}\p{N}]+|[\p{P}\p{S}]"
 W = f"(select doc_id, lang, source, unnest(regexp_extract_all(lower(text), '{WORD}')) as word from documents)"
 P = "(select doc_id, lang, source, cast(i - 1 as integer) as para, line as text from (select doc_id, lang, source, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null) where line <> '')"
@@ -84,12 +109,10 @@ SITE, PATH = sql_md5(f"({U['scheme']}) || ' ' || {U['host']} || ' ' || ({U['port
 # --- counts ------------------------------------------------------------------------------
 
 
-@query(f"""select source, count(*) as docs, cast(sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> ''))) as bigint) as paragraphs,
+@query(f"""select source, count(*) as docs, cast(sum(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{TOKEN}')))) as bigint) as paragraphs,
 cast(sum(len(regexp_extract_all(coalesce(text, ''), '{WORD}'))) as bigint) as words, cast(sum(len(regexp_extract_all(coalesce(text, ''), '{TOKEN}'))) as bigint) as tokens from documents group by source""")
 def word_count_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.coalesce("text", F.lit(""))
-    per = documents(spark, sf_dir).select("source", F.size(F.filter(F.split(t, "\n", -1), lambda x: x != "")).alias("p"), F.size(tx.words(t)).alias("w"), F.size(tx.tokens(t)).alias("k"))
-    return per.groupBy("source").agg(F.count("*").alias("docs"), F.sum("p").alias("paragraphs"), F.sum("w").alias("words"), F.sum("k").alias("tokens"))
+    return counts.word_count(tokenised(documents(spark, sf_dir)), "source").select("source", "docs", "paragraphs", "words", "tokens")
 
 
 @query(f"select lang, words, round(100.0 * words / sum(words) over (), 2) as percent from (select coalesce(lang, '?') as lang, count(*) as words from {W} group by 1)")
@@ -131,8 +154,7 @@ select gram, count(*) as count from (select unnest(list_transform(range(1, len(w
 def _ngrams(n: int) -> Callable:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         forms = lines(spark, sf_dir).select(tx.words(F.lower("text")).alias("forms"))
-        grams = F.transform(counts.ngrams(F.col("forms"), n), lambda g: F.array_join(g, "\t"))
-        return forms.select(F.explode(grams).alias("gram")).groupBy("gram").agg(F.count("*").alias("count"))
+        return counts.ngram_counts(forms, n, least=n).select("gram", "count")
 
     run.__name__ = f"ngram_counts_{n}"
     return run
@@ -146,7 +168,7 @@ for _n in (1, 2, 3):
 def ngram_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of each language's lines, then their sum."""
     rows = lines(spark, sf_dir, "lang").select("lang", tx.words(F.lower("text")).alias("forms"))
-    one = [counts.ngram_counts(rows.filter(c), 2).filter("n = 2") for c in ("lang = 'en'", "lang <> 'en' or lang is null")]
+    one = [counts.ngram_counts(rows.filter(c), 2, least=2) for c in ("lang = 'en'", "lang <> 'en' or lang is null")]
     return counts.merge_counts(*one).select("gram", "count")
 
 
@@ -158,39 +180,32 @@ def unaccent_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", tx.unaccent(F.col("text")).alias("plain"), tx.is_accented(F.col("text")).alias("accented"))
 
 
-def _accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = tx.words(F.col("text"))
-    return lines(spark, sf_dir).select("doc_id", "para", "text", F.size(w).alias("words"), F.size(F.filter(w, tx.is_accented)).alias("accented"))
-
-
-@query(f"select doc_id, para from (select doc_id, para, regexp_extract_all(text, '{WORD}') as w from {P}) where 10 * len(list_filter(w, lambda x: regexp_matches(x, '[^\\x00-\\x7F]'))) > len(w)")
+@query(sql_kept("10 * len(list_filter(w, lambda x: regexp_matches(x, '[^\\x00-\\x7F]'))) > len(w)"))
 def filter_unaccented_paras(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _accents(spark, sf_dir).filter("10 * accented > words").select("doc_id", "para")
+    return kept_forms(paragraphs.filter_unaccented(tokenised(documents(spark, sf_dir))))
 
 
 @query(f"""{MISSING}, w as (select doc_id, para, unnest(regexp_extract_all(lower(text), '{WORD}')) as word from {P}),
-b as (select doc_id, para, count(missing.word) as bad, count(*) filter (regexp_matches(w.word, '[^\\x00-\\x7F]')) as good from w left join missing on missing.word = w.word group by doc_id, para)
-select doc_id, para, bad, good from b where not (bad >= 2 and good < bad)""")
+b as (select doc_id, para from w left join missing on missing.word = w.word group by doc_id, para having count(missing.word) >= 2 and count(*) filter (regexp_matches(w.word, '[^\\x00-\\x7F]')) < count(missing.word))
+{sql_kept("b.doc_id is null", "left join b using (doc_id, para)")}""")
 def filter_missing_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = language.small_side(missing_accent_words(spark, sf_dir).select("word", F.lit(1).alias("hit")))
-    rows = lines(spark, sf_dir).select("doc_id", "para", F.explode(tx.words(F.lower("text"))).alias("word")).join(listed, "word", "left")
-    n = rows.groupBy("doc_id", "para").agg(F.count("hit").alias("bad"), F.count_if(tx.is_accented(F.col("word"))).alias("good"))
-    return n.filter("not (bad >= 2 and good < bad)")
+    listed = cut(missing_accent_words(spark, sf_dir).select("word"))
+    return kept_forms(paragraphs.filter_missing_accents(tokenised(documents(spark, sf_dir)), listed))
 
 
-@query("select doc_id, lang from documents where lang in ('en', 'fr') and lang not in ('de')")
+@query(f"select doc_id, lang, cast(len(regexp_extract_all(text, '{TOKEN}')) as bigint) as tokens from documents where lang in ('en', 'fr') and lang not in ('de')")
 def filter_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return documents(spark, sf_dir).filter(paragraphs.language_passes(F.col("lang"), ["en", "fr"], ["de"])).select("doc_id", "lang")
+    found = paragraphs.filter_language(tokenised(documents(spark, sf_dir)), ["en", "fr"], ["de"])
+    return found.select("doc_id", F.get("language", F.lit(0)).alias("lang"), F.size("tokens").cast("long").alias("tokens"))
 
 
-@query(f"""with t as (select lang, word from (select lang, word, row_number() over (partition by lang order by count(*) desc, word) as k from {W} where doc_id % 2 = 0 group by lang, word) where k <= 1000),
+@query(f"""with t as (select lang, word from (select lang, word, row_number() over (partition by lang order by count(*) desc, word) as k from {W} group by lang, word) where k <= 1000),
 v as (select lang, word, 2520 // count(*) over (partition by word) as e from t),
 s as (select doc_id, v.lang, sum(e) as score from {W} w join v on v.word = w.word group by doc_id, v.lang),
 b as (select doc_id, lang, row_number() over (partition by doc_id order by score desc, lang <> 'en', lang) as k from s)
 select d.doc_id, coalesce(b.lang, 'en') as language from (select distinct doc_id from {W}) d left join b on b.doc_id = d.doc_id and k = 1""")
 def detect_language_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The table is learned from documents with even ids, the operator's own split; all documents are judged."""
-    table = language.train(words(spark, sf_dir, "doc_id", "lang").filter("doc_id % 2 = 0"), 1000)
+    table = language.train(words(spark, sf_dir, "lang"), 1000)
     return language.detect(words(spark, sf_dir, "doc_id"), cut(table), "en", "doc_id")
 
 
@@ -243,7 +258,7 @@ b as (select distinct unnest(list_transform(range(1, len(w) - 6), lambda i: arra
 select doc_id, count(*) as hits from g where gram in (select gram from b) group by doc_id""")
 def benchmark_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     grams = lambda df, key: dedup.unit_grams(df.select(F.col(key).alias("unit"), tx.words(F.lower("text")).alias("words")))
-    probe = language.small_side(grams(read(spark, sf_dir, "benchmark"), "item_id").select("gram").distinct())
+    probe = tx.small_side(grams(read(spark, sf_dir, "benchmark"), "item_id").select("gram").distinct())
     return grams(documents(spark, sf_dir), "doc_id").join(probe, "gram", "left_semi").groupBy(F.col("unit").alias("doc_id")).agg(F.count("*").alias("hits"))
 
 
@@ -342,16 +357,10 @@ def fair_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.fair_order(read(spark, sf_dir, "pages").select("page_id", urls.host(F.col("url")).alias("host")), "host", "page_id")
 
 
-@query(f"select page_id, {SITE} as site_md5, first_page from pages join (select site_md5 as s, min(page_id) as first_page from {HASHED} where page_id % 4 <> 0 group by 1) on s = {SITE}")
-def attach_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _hashed(spark, sf_dir)
-    return p.select("page_id", "site_md5").join(p.filter("page_id % 4 <> 0").groupBy("site_md5").agg(F.min("page_id").alias("first_page")), "site_md5")
-
-
 @query(f"""with s as (select site_md5, min(page_id) as first_page from {HASHED} group by 1)
 select site_md5, path_md5, first_page, first_page % 100 < 50 as needs_dns, first_page % 60 < 50 as needs_robots, cast(row_number() over (partition by site_md5 order by path_md5) as integer) as turn
 from (select distinct site_md5, path_md5 from {HASHED}) join s using (site_md5)""")
-def attach_all_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+def attach_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The operator over all pages and their sites, with made-up times of expiry."""
     sites = _hashed(spark, sf_dir).groupBy("site_md5").agg(F.min("page_id").alias("first_page"))
     sites = sites.select("site_md5", "first_page", (F.col("first_page") % 100).alias("ip_expires"), (F.col("first_page") % 60).alias("robots_expires"))
@@ -399,17 +408,15 @@ def fix_redirect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with e as (select event_id, user_id % 5 as errors, (event_id * 7919) % 4294967296 as h from events),
-b as (select *, case when h // 16777216 = 0 then 37 else h // 16777216 end as a, case when h // 65536 % 256 = 0 then 37 else h // 65536 % 256 end as b, case when h // 256 % 256 = 0 then 37 else h // 256 % 256 end as c, case when h % 256 = 0 then 37 else h % 256 end as d from e)
-select event_id, case when errors = 0 then floor(log10(pow(1.5, (a + 2 * b + 3 * c + 4 * d) // 10)) * 1000) else floor(log10(pow(1.5, 25 + 3 * errors)) * 1000) end as log_wait from b""")
+b as (select *, case when h // 16777216 = 0 then 37 else h // 16777216 end as a, case when h // 65536 % 256 = 0 then 37 else h // 65536 % 256 end as b, case when h // 256 % 256 = 0 then 37 else h // 256 % 256 end as c, case when h % 256 = 0 then 37 else h % 256 end as d from e),
+w as (select event_id, case when event_id % 3 = 2 then 0 when errors = 0 then floor(pow(1.5, (a + 2 * b + 3 * c + 4 * d) // 10)) else floor(pow(1.5, 25 + 3 * errors)) end as wait from b)
+select event_id, case when wait > 0 then floor(log10(least(wait, 9223372036854775807::double)) * 1000) else -1 end as log_wait from w""")
 def next_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As 1000 times the decimal logarithm, since the waits reach beyond what two engines round alike."""
-    h = F.pmod(F.col("event_id") * 7919, F.lit(1 << 32))
-    rows = read(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 5).alias("errors"), h.alias("h"))
-    byte = [F.shiftright("h", 8 * k).bitwiseAND(F.lit(0xFF)) for k in (3, 2, 1, 0)]
-    known = [F.when(b == 0, 37).otherwise(b) for b in byte]
-    power = F.floor((known[0] + 2 * known[1] + 3 * known[2] + 4 * known[3]) / 10)
-    wait = F.when(F.col("errors") == 0, F.pow(F.lit(1.5), power.cast("double"))).otherwise(F.pow(F.lit(1.5), (25 + 3 * F.col("errors")).cast("double")))
-    return rows.select("event_id", F.floor(F.log10(wait) * 1000).cast("double").alias("log_wait"))
+    history = F.pmod(F.col("event_id") * 7919, F.lit(1 << 32))
+    status = F.element_at(F.array(*[F.lit(x) for x in ("OK", "ERROR", "DISABLED")]), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = read(spark, sf_dir, "events").select("event_id", crawl.next_refresh(status, F.col("user_id") % 5, history).alias("wait"))
+    return rows.select("event_id", F.when(F.col("wait") > 0, F.floor(F.log10("wait") * 1000)).otherwise(-1).cast("double").alias("log_wait"))
 
 
 @query("select event_id, cast(1700000 + greatest(1, floor(value)) as bigint) as bucket from (select event_id, abs(value) as value from events)")
@@ -433,20 +440,28 @@ def path_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with recursive r as (select page_id as p, case when page_id % 4 = 3 then null else page_id + 1 end as t from pages), c as (select p, t, 1 as h from r where t is not null union all select c.p, r.t, h + 1 from c join r on r.p = c.t where r.t is not null)
-select 'u' || p as url, 'u' || max(t) as target from c group by p""")
+select 'u' || p as url, 'u' || max(t) as target from c group by p union all select 'u' || p, null from r where t is null""")
 def redirect_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each page points to the next, except every fourth."""
-    p = read(spark, sf_dir, "pages").filter("page_id % 4 <> 3").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), F.concat(F.lit("u"), (F.col("page_id") + 1).cast("string")).alias("location"))
-    return crawl.follow(p).select("url", "target")
+    """Each page points to the next, except every fourth, which points nowhere."""
+    target = F.when(F.col("page_id") % 4 != 3, F.concat(F.lit("u"), (F.col("page_id") + 1).cast("string")))
+    return crawl.follow(read(spark, sf_dir, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), target.alias("location"))).select("url", "target")
 
 
-@query(f"""select page_id, case when ends_with({U["host"]}, '.org') then '1' else '0' end as org from pages where not (contains(url, 'spam') or {U["port"]} = 443 and contains(url, 'utm_'))""")
+@query(f"""select page_id, case when regexp_full_match({U["host"]}, '.*\\.org') then '1' else '0' end as org from pages
+where not (regexp_full_match(url, 'spam') or regexp_full_match(url, '.*/es/[0-9]+') or {U["port"]} = 443 and regexp_full_match(url, '.*utm_.*') or page_id % 256 >= 192 or page_id % 4 = 3)""")
 def rule_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.port(F.col("url")).alias("port"), F.lit("0").alias("org"))
+    """Patterns match whole values (no URL is `spam`); the addresses are made up from page_id."""
+    ip = F.concat(F.lit("10."), (F.col("page_id") % 256).cast("string"), F.lit(".0.1"))
+    ip6 = F.concat(F.lit("fe80::"), (F.col("page_id") % 4).cast("string"), F.lit(":1"))
+    p = read(spark, sf_dir, "pages").select("page_id", "url", urls.host(F.col("url")).alias("host"), urls.port(F.col("url")).alias("port"), ip.alias("ip"), ip6.alias("ip6"), F.lit("0").alias("org"))
     text = """
 url =~ /spam/ => DROP
-port == 443 && url =~ /utm_/ => DROP
-host =~ /\\.org$/ => org = "1", ACCEPT
+url =~ /.*\\/es\\/[0-9]+/ => DROP
+port == 443 && \\
+    url =~ /.*utm_.*/ => DROP
+ip =~ 10.192.0.0/10 => DROP
+ip6 =~ fe80::3:0/112 => DROP
+host =~ /.*\\.org/ => org = "1", ACCEPT
 """
     return rules.apply(p, text).select("page_id", "org")
 
@@ -454,10 +469,10 @@ host =~ /\\.org$/ => org = "1", ACCEPT
 # --- tables ------------------------------------------------------------------------------
 
 
-@query("select doc_id, source || '/' as prefix, cast(dense_rank() over (order by source) - 1 as integer) as status from documents where source is not null")
+@query("select doc_id, coalesce(source, '') || '/' as prefix, cast(dense_rank() over (order by coalesce(source, '')) - 1 as integer) as status from documents")
 def split_by_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).filter("source is not null").select("doc_id", F.concat(F.col("source"), F.lit("/x")).alias("text_id"))
-    return tables.prefix_to_status(d, "text_id", r"^([^/]+/)").select("doc_id", "prefix", "status")
+    d = documents(spark, sf_dir).select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit("/x")).alias("text_id"))
+    return tables.prefix_to_status(d, "text_id", r"^([^/]*/)").select("doc_id", "prefix", "status")
 
 
 @query(f"select word, row_number() over (order by n desc, word) as id from (select word, count(*) as n from {W} group by word)")
@@ -465,10 +480,10 @@ def word_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.dictionary(words(spark, sf_dir))
 
 
-@query("select doc_id, lang from documents where lang = 'en' union all select doc_id, lang from documents where lang <> 'en'")
+@query("select doc_id, lang from documents where lang = 'en' union all select doc_id, lang from documents where lang is distinct from 'en'")
 def concat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = documents(spark, sf_dir).select("doc_id", "lang")
-    return tables.concat(d.filter("lang = 'en'"), d.filter("lang <> 'en'"))
+    return tables.concat(d.filter("lang = 'en'"), d.filter("not lang <=> 'en'"))
 
 
 @query()

@@ -100,7 +100,11 @@ def test_paragraph_filters(spark):
     assert [len(r.tokens) for r in paragraphs.filter_unaccented(t, 10, reverse=True).orderBy("text_id").collect()] == [2, 1]
     kept = paragraphs.filter_language(t, allow=["en"]).orderBy("text_id").collect()
     assert [(len(r.tokens), r.language) for r in kept] == [(2, ["en"]), (1, [])]
-    assert paragraphs.filter_missing_accents(t, ["second", "line"]).orderBy("text_id").first().tokens[-1].form == "."
+    listed = spark.createDataFrame([("Second",), ("line",), ("line",)], "word string")
+    assert paragraphs.filter_missing_accents(t, listed).orderBy("text_id").first().tokens[-1].form == "."
+    assert paragraphs.filter_missing_accents(t, listed.limit(0)).count() == 2
+    unknown = t.withColumn("tokens", F.transform("tokens", lambda x: x.withField("flags", x["flags"].bitwiseOR(256))))
+    assert paragraphs.filter_unrecognized(unknown).orderBy("text_id").collect()[0].text_id == "b"
     assert paragraphs.filter_unrecognized(t).count() == 2
     rows = paragraphs.token_rows(t).filter("text_id = 'a'").orderBy("tok_idx").collect()
     assert [r.para_idx for r in rows] == [0, 0, 0, 1, 1]
@@ -194,13 +198,24 @@ def test_streaming_state(spark, tmp_path):
 
 def test_rules(spark):
     df = spark.createDataFrame([(1, "abc", {"h": "v"}, "10.1.1.1"), (2, "xbc", {}, "11.1.1.1"), (3, None, None, None)], "n int, s string, m map<string,string>, ip string")
-    got = rules.apply(df, '# c\ns =~ /^x/ => DROP\nip == 10.0.0.0/8 && m->h == "v" => s = "net", clear(m->h), ACCEPT\nn > 2 => s = "big"\n').orderBy("n").collect()
+    got = rules.apply(df, '# c\ns =~ /x.*/ => DROP\nip =~ 10.0.0.0/8 && m->h == "v" => s = "net", clear(m->h), ACCEPT\nn > 2 => s = "big"\n').orderBy("n").collect()
     assert [(r.n, r.s) for r in got] == [(1, "net"), (3, "big")]
     assert got[0].m == {}
     assert rules.apply(df, "s =~ s/b/B/g => CONTINUE\n").orderBy("n").first().s == "aBc"
     with pytest.raises(ValueError):
         rules.parse("nothing here")
     assert rules.where(df, "n > 1").count() == 2
+    holds = lambda rule: [r.n for r in rules.apply(df, rule + " => DROP").orderBy("n").collect()]
+    assert holds("s =~ /b/") == [1, 2, 3]  # a pattern has to match the whole value
+    assert holds("s =~ /.*BC/i") == [3]
+    assert holds("s !~ /a.*/") == [1]
+    assert holds("ip !~ 10.0.0.0/8") == [1]
+    assert holds("* && \\\n n > 1") == [1]
+    six = spark.createDataFrame([(1, "fe80::1:2"), (2, "2001:db8:0:0:1::7"), (3, "::1"), (4, "1::2::3"), (5, None)], "n int, ip string")
+    kept = lambda rule: [r.n for r in rules.apply(six, rule + " => DROP").orderBy("n").collect()]
+    assert kept("ip =~ fe80::/10") == [2, 3, 4, 5]
+    assert kept("ip =~ 2001:db8::/33") == [1, 3, 4, 5]
+    assert kept("ip == ::1") == [1, 2, 4, 5]
 
 
 def test_tables(spark, tmp_path):
@@ -228,7 +243,37 @@ def test_sources(spark, tmp_path):
     assert files.read_wiki(spark, f"{tmp_path}/w.xml").first().text == "a b"
 
 
+def test_arrays_and_counters(spark):
+    row = spark.createDataFrame([(["a", "b"], None)], "x array<string>, y array<string>")
+    x = F.col("x")
+    got = row.select(text.array_get(x, 1), text.array_get(x, 5, "?"), text.array_set(x, 0, "z"), text.array_set(x, 3, "z", "-"), text.array_add(x, "c"), text.array_add(F.col("y"), "c")).first()
+    assert list(got) == ["b", "?", ["z", "b"], ["a", "b", "-", "z"], ["a", "b", "c"], ["c"]]
+    rows, seen = counts.observed(spark.range(10), "pass", even=F.col("id") % 2 == 0)
+    rows.collect()
+    assert seen.get == {"items": 10, "even": 5}
+
+
+def test_collocations(spark):
+    rows = [("d1", 0, 0, "dog", "NN", 2, "Sb"), ("d1", 0, 1, "bite", "VB", 0, "Pred"), ("d1", 0, 2, "man", "NN", 2, "Obj"), ("d2", 0, 0, "dog", "NN", 2, "Sb"), ("d2", 0, 1, "bite", "VB", 0, "Pred")]
+    t = spark.createDataFrame(rows, "doc string, sent int, tok int, lemma string, pos string, head int, deprel string")
+    one = counts.collocations(t.filter("doc = 'd1'"))
+    both = counts.merge_collocations(one, counts.collocations(t.filter("doc = 'd2'")))
+    got = {(r.key, r.relation, r.other): (r["count"], [(p.doc, p.position) for p in r.positions]) for r in both.collect()}
+    assert got["dog-N", "Sb", "bite"] == (2, [("d1", 1), ("d2", 1)])
+    assert got["bite-V", "-Obj", "man"] == (1, [("d1", 2)])
+    assert got == {(r.key, r.relation, r.other): (r["count"], [(p.doc, p.position) for p in r.positions]) for r in counts.collocations(t).collect()}
+
+
+def test_ngrams_with_repeats_and_nulls(spark):
+    rows = spark.createDataFrame([(["a", "b", "a", "b"],), ([],), (None,)], "forms array<string>")
+    got = {(r.n, r.gram): r["count"] for r in counts.ngram_counts(rows, 3).collect()}
+    assert got[1, "a"] == 2 and got[1, "<S>"] == 2 and got[2, "a\tb"] == 2 and got[2, "<S>\t</S>"] == 1
+    assert got[3, "<S>\ta\tb"] == 1 and got[3, "a\tb\ta"] == 1 and sum(v for (n, _), v in got.items() if n == 3) == 4
+
+
 def test_annotations(spark):
+    verb = texts(spark).withColumn("tokens", F.transform("tokens", lambda x, i: x.withField("pos", F.when(i == 1, "VB"))))
+    assert verb.orderBy("text_id").select(annotate.following_verb(F.col("tokens"), 0)).first()[0] == "věta"
     t = texts(spark)
     got = annotate.tag(t, lambda forms: [(f.lower(), "NN", False) for f in forms]).first().tokens
     assert got[0].lemma == "první"
