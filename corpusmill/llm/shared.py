@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import storage
+
+
+_RECORDERS: list[list[str]] = []
+
+
+@contextmanager
+def recorded(made: list[str]) -> Iterator[None]:
+    """Enters the folders that work_folder() gives in the meantime into a list."""
+    _RECORDERS.append(made)
+    try:
+        yield
+    finally:
+        _RECORDERS.remove(made)
+
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder below the one that all executors share.
-
-    The cluster names it in spark.checkpoint.dir; only where that is unset (tests, one
-    machine) a temporary folder of this machine serves.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = known.get() if known.isDefined() else "file://" + tempfile.mkdtemp(prefix="corpusmill-")
-        spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    """A new folder below the one that all executors share; on a cluster that names none this fails."""
+    path = storage.work_folder(spark)
+    for made in _RECORDERS:
+        made.append(path)
+    return path
 
 
 #: Rows in a batch to or from Python, so that a batch of long texts fits in a worker.

@@ -7,12 +7,13 @@ slice of one buffer, so a memory-mapped shard gives any sequence without a copy.
 it, an index file holds doc_id, the first token in the shard, and the number of tokens.
 The manifest has one row a shard, with the tokens before it.
 
-Order comes from quantiles of doc_id and a sort inside each range, so no task holds more
-than a range and no shard waits for another. A task writes to a name of its own and only
+Order comes from ranges of doc_id, then of the text's length and hash, and a sort inside each
+range, so no task holds more than a range, however many rows share a doc_id or have none,
+and no shard waits for another. A task writes to a name of its own and only
 those of tasks that succeeded are in the manifest, so lost executors leave no trace in it.
 
 Results for odd input: a null text has no ids but the end id; null doc_ids come first;
-rows that repeat a doc_id follow each other, shorter ids first; an empty table gives a
+rows that repeat a doc_id follow each other, shorter texts first; an empty table gives a
 dataset without shards.
 """
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,21 +46,11 @@ def _cache(path: str) -> Cache:
     return _CACHES[path]
 
 
-def encode_ids(docs: DataFrame, path: str, end_id: int | None) -> DataFrame:
-    """docs(doc_id, text) to doc_id and ids packed as uint16, or uint32 for large vocabularies."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        s, cache = splitter(path), _cache(path)
-        kind = np.uint16 if s.library.get_vocab_size() <= 65536 and (end_id or 0) < 65536 else np.uint32
-        for b in batches:
-            for i, j, texts, plain in text_chunks(b.column("text")):
-                ids, rows = encode_chunk(s, cache, texts, plain)
-                if end_id is not None:
-                    ids = np.insert(ids, rows[1:], end_id)
-                    rows = rows + np.arange(len(rows))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), tk.pack(ids.astype(kind), rows)], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+def with_end(ids: np.ndarray, rows: np.ndarray, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and offsets of texts with an id at the end of each."""
+    if end_id is None:
+        return ids, rows
+    return np.insert(ids, rows[1:], end_id), rows + np.arange(len(rows))
 
 
 def width(path: str, end_id: int | None) -> int:
@@ -68,13 +60,6 @@ def width(path: str, end_id: int | None) -> int:
 def write_dataset(docs: DataFrame, path: str, folder: str, end_id: int | None = 1, length: int = LENGTH) -> DataFrame:
     """Writes the shards; returns the manifest: MANIFEST and start, the tokens in earlier shards."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    bounds = docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 0.2 / n)
-    edges = sorted({int(x) for x in bounds})
-    part = F.lit(0)
-    if edges:
-        # the number of edges at or below doc_id, by binary search in a constant array
-        part = _search(F.col("doc_id"), edges)
     w = width(path, end_id)
     kind = pa.uint16() if w == 2 else pa.uint32()
     schema = pa.schema([("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))])
@@ -86,29 +71,28 @@ def write_dataset(docs: DataFrame, path: str, folder: str, end_id: int | None =
         name = f"{root}/{uuid.uuid4().hex}"
         dtype = np.uint16 if w == 2 else np.uint32
         out = index = None
-        rest, total, n_docs, at = np.zeros(0, dtype), 0, 0, -1
+        rest, total, n_docs = np.zeros(0, dtype), 0, 0
+        s, cache = splitter(path), _cache(path)
 
         def put(flat: np.ndarray, real: int) -> None:
             mask = np.arange(len(flat)) < real
             out.write_batch(pa.RecordBatch.from_arrays([pa.FixedSizeListArray.from_arrays(pa.array(flat), length), pa.FixedSizeListArray.from_arrays(pa.array(mask), length)], schema=schema))
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                at = b.column("part")[0].as_py()
+            if b.num_rows and out is None:
                 out = pa.ipc.new_file(disk.open_output_stream(f"{name}.arrow"), schema)
                 index = pa.ipc.new_file(disk.open_output_stream(f"{name}.index"), pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]))
-            ids, rows = tk.blobs(b.column("ids"), dtype)
-            index.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows[:-1] + total), pa.array(np.diff(rows))], names=["doc_id", "start", "n_tokens"]))
-            total += len(ids)
-            n_docs += b.num_rows
-            rest = np.concatenate([rest, ids])
-            step = length * BATCH
-            full = len(rest) // step * step
-            for k in range(0, full, step):
-                put(rest[k : k + step], step)
-            rest = rest[full:]
+            for i, j, texts, plain in text_chunks(b.column("text")):
+                ids, rows = with_end(*encode_chunk(s, cache, texts, plain), end_id)
+                index.write_batch(pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(rows[:-1] + total), pa.array(np.diff(rows))], names=["doc_id", "start", "n_tokens"]))
+                total += len(ids)
+                n_docs += j - i
+                rest = np.concatenate([rest, ids.astype(dtype)])
+                step = length * BATCH
+                full = len(rest) // step * step
+                for k in range(0, full, step):
+                    put(rest[k : k + step], step)
+                rest = rest[full:]
         if out is None:
             return
         if len(rest):
@@ -116,24 +100,18 @@ def write_dataset(docs: DataFrame, path: str, folder: str, end_id: int | None =
         out.close()
         index.close()
         scheme = folder.split("://")[0] + "://" if "://" in folder else ""
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((at, f"{scheme}{name}.arrow", f"{scheme}{name}.index", n_docs, total), manifest.types, strict=True)], schema=manifest)
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((TaskContext.get().partitionId(), f"{scheme}{name}.arrow", f"{scheme}{name}.index", n_docs, total), manifest.types, strict=True)], schema=manifest)
 
-    ids = encode_ids(docs, path, end_id).withColumn("part", F.coalesce(part, F.lit(0)).cast("int"))
-    rows = ids.repartitionById(len(edges) + 1, F.col("part")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.length("ids"), "ids").mapInArrow(write, MANIFEST).collect()  # a row a shard
+    text = F.col("text").cast("string")
+    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.length(text).alias("size"), F.xxhash64(text).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.asc_nulls_first("doc_id"), F.asc_nulls_first("size"), F.asc("hash"), F.asc("row")]
+    ranges = keys.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    rows = ranges.select("doc_id", "text").mapInArrow(write, MANIFEST).collect()  # a row a shard
     rows.sort(key=lambda r: r.part)
     starts = np.concatenate([[0], np.cumsum([r.n_tokens for r in rows], dtype=np.int64)]).tolist()
     return spark.createDataFrame([(*r, s) for r, s in zip(rows, starts, strict=False)], MANIFEST + ", start long").repartition(max(1, len(rows)), "part")
 
 
-def _search(x: F.Column, edges: list[int]) -> F.Column:
-    if not edges:
-        return F.lit(0)
-    k = len(edges) // 2
-    low = _search(x, edges[:k]) if k else F.lit(0)
-    high = _search(x, edges[k + 1 :]) + F.lit(k + 1) if k + 1 < len(edges) else F.lit(k + 1)
-    return F.when(x < F.lit(edges[k]), low).otherwise(high)
-
-
 def open_shard(path: str) -> pa.ipc.RecordBatchFileReader:
     """The shard's reader; on a local disk it is memory-mapped."""
     disk, name = fs.FileSystem.from_uri(path)
