@@ -7,7 +7,10 @@ and HTTP come from injected functions, so nothing here opens a connection.
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterator
+from heapq import heapify, heappop, heappush
+from time import monotonic, sleep
 
 import pandas as pd
 import pyarrow as pa
@@ -199,19 +202,40 @@ def resolve_dns(sites: DataFrame, resolver: Callable[[str], tuple[str, int] | No
 MAX_TTL = 1 << 30
 
 
-def fetch(pages: DataFrame, fetcher: Callable[[str], tuple[int, dict[str, str], str] | None], most_content: int = 1 << 20, types: tuple[str, ...] = ("text/html", "text/plain", "application/msword")) -> DataFrame:
-    """pages(id, url, site_md5) with status, headers and content.
-
-    Pages of a site are one group of a task, so that a fetcher can be polite.
+def _polite(rows: list[dict], fetcher: Callable, ready: dict[str, float], relax: float | None, clock: Callable[[], float], sleep: Callable[[float], None]) -> Iterator[tuple[dict, object]]:
+    """Each row with its answer. An address rests ten times as long as its last answer took, `relax` seconds at least; meanwhile others have their turn."""
+    waiting: dict[str, deque[dict]] = {}
+    for r in rows:
+        waiting.setdefault(r["ip"] or r["site_md5"] or "", deque()).append(r)
+    heap = [(ready.get(k, 0.0), n, k) for n, k in enumerate(waiting)]
+    heapify(heap)
+    while heap:
+        due, n, k = heappop(heap)
+        if relax is not None and (rest := due - clock()) > 0:
+            sleep(rest)
+        began, r = clock(), waiting[k].popleft()
+        yield r, fetcher(r["url"])
+        if relax is not None:
+            ready[k] = clock() + max(10 * (clock() - began), relax)
+        if waiting[k]:
+            heappush(heap, (ready.get(k, 0.0), n, k))
+
+
+def fetch(pages: DataFrame, fetcher: Callable[[str], tuple[int, dict[str, str], str] | None], most_content: int = 1 << 20, types: tuple[str, ...] = ("text/html", "text/plain", "application/msword"), relax: float | None = None, clock: Callable[[], float] = monotonic, sleep: Callable[[float], None] = sleep) -> DataFrame:
+    """pages(id, url, site_md5, perhaps ip) with status, headers and content.
+
+    Pages of an address (of a site, where it is unknown) are in one task; with relax, the
+    least seconds between two visits, it is polite to each address.
     fetcher(url) gives (status, headers, content), or None for a failure that may pass.
     """
     schema = pa.schema([("id", pa.int64()), ("url", pa.string()), ("site_md5", pa.string()), ("status", pa.int32()), ("headers", pa.map_(pa.string(), pa.string())), ("content", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready: dict[str, float] = {}
         for b in batches:
             rows = []
-            for r in b.to_pylist():
-                got = fetcher(r["url"])
+            for r, got in _polite(b.to_pylist(), fetcher, ready, relax, clock, sleep):
+                del r["ip"]
                 if got is None:
                     rows.append(r | {"status": 1, "headers": [], "content": None})
                     continue
@@ -222,7 +246,9 @@ def fetch(pages: DataFrame, fetcher: Callable[[str], tuple[int, dict[str, str],
                 rows.append(r | {"status": 2 if refused or large else 0, "headers": list(headers.items()), "content": None if refused else content[:most_content]})
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return pages.select(F.col("id").cast("long").alias("id"), "url", "site_md5").repartition("site_md5").sortWithinPartitions("site_md5", "id").mapInArrow(run, "id long, url string, site_md5 string, status int, headers map<string,string>, content string")
+    ip = F.col("ip").cast("string") if "ip" in pages.columns else F.lit(None).cast("string")
+    source = pages.select(F.col("id").cast("long").alias("id"), "url", "site_md5", ip.alias("ip"))
+    return source.repartition(F.coalesce("ip", "site_md5")).sortWithinPartitions("site_md5", "id").mapInArrow(run, "id long, url string, site_md5 string, status int, headers map<string,string>, content string")
 
 
 def replay(pages: DataFrame, archive: DataFrame) -> DataFrame:

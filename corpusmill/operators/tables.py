@@ -64,6 +64,11 @@ def fair_order(rows: DataFrame, group: str, *order: str) -> DataFrame:
     return rows.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
 
 
+def collated(rows: DataFrame, *columns: str, locale: str = "cs") -> DataFrame:
+    """rows in the order of a language, as n-gram files have it: in Czech, `ch` comes after `h`."""
+    return rows.orderBy(*[F.collate(F.col(c), locale) for c in columns], *columns)
+
+
 def top(rows: DataFrame, k: int, by: str, *ties: str) -> DataFrame:
     return rows.orderBy(F.desc(by), *ties).limit(k)
 

@@ -174,6 +174,26 @@ def test_fetch_and_dns(spark):
     assert ips == {"a": ("9.9.9.9", 0), "b": (None, 1), "1.2.3.4": ("1.2.3.4", 0)}
 
 
+def test_fetch_is_polite():
+    now, log = [0.0], []
+
+    def fetcher(url):
+        log.append((round(now[0], 3), url))
+        now[0] += 0.5 if url == "slow" else 0.01
+        return 200, {}, ""
+
+    rows = [{"url": u, "ip": ip, "site_md5": "s"} for u, ip in (("slow", "1"), ("a", "1"), ("b", "2"), ("c", "2"), ("d", None))]
+    list(crawl._polite(rows, fetcher, {}, 1.0, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s)))
+    at = {u: t for t, u in log}
+    assert at["a"] >= 0.5 + 5 and at["c"] - at["b"] >= 1.01  # ten times as long as it took, or relax
+    assert at["b"] < 1 and at["d"] < 1
+
+
+def test_collation(spark):
+    w = spark.createDataFrame([(x,) for x in ("iva", "chata", "hora", "čas", "cena")], "word string")
+    assert [r.word for r in tables.collated(w, "word").collect()] == ["cena", "čas", "hora", "chata", "iva"]
+
+
 def test_path_state(spark):
     assert one(spark, crawl.next_refresh, "OK", 0, 0) == math.floor(1.5**37)
     assert one(spark, crawl.next_refresh, "ERROR", 2, 0) == math.floor(1.5**31)
