@@ -64,9 +64,9 @@ def tokenised(docs: DataFrame) -> DataFrame:
     return docs.select("*", F.col("doc_id").cast("string").alias("text_id"), F.array("lang").alias("language"), found.alias("tokens"))
 
 
-def kept_forms(texts: DataFrame) -> DataFrame:
+def kept_forms(texts: DataFrame, *more: str) -> DataFrame:
     """doc_id, tokens left and the MD5 of their forms."""
-    return texts.select("doc_id", F.size("tokens").cast("long").alias("tokens"), F.md5(F.array_join(F.transform("tokens", lambda t: t["form"]), " ").cast("binary")).alias("forms_md5"))
+    return texts.select("doc_id", *more, F.size("tokens").cast("long").alias("tokens"), F.md5(F.array_join(F.transform("tokens", lambda t: t["form"]), " ").cast("binary")).alias("forms_md5"))
 
 
 def sql_kept(test: str, more: str = "") -> str:
@@ -215,6 +215,20 @@ def tokenize_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("doc_id", F.size("tokens").alias("n"), F.md5(F.concat_ws(" ", F.transform("tokens", lambda x: F.concat(x["form"], F.lit("/"), x["flags"].cast("string")))).cast("binary")).alias("tokens_md5"))
 
 
+@query(f"""select doc_id, cast(len(t) as bigint) as tokens, cast(len(list_filter(t, lambda x: regexp_matches(x, '^[\\p{{L}}\\p{{N}}]'))) as bigint) as words,
+md5(array_to_string(list_transform(t, lambda x: substr(x, 1, 100)), ' ')) as forms_md5 from (select doc_id, regexp_extract_all(coalesce(text, ''), '{TOKEN}') as t from documents)""")
+def tokenize_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokenizer without fixups, whose forms a pattern gives as well."""
+    t = tokenizer.tokenize(documents(spark, sf_dir).select("doc_id", "text"), paragraphs=True)
+    words = F.size(F.filter("tokens", lambda x: ~paragraphs.has(x["flags"], PUNCT))).cast("long")
+    return kept_forms(t.withColumn("words", words), "words")
+
+
+@query("select doc_id, nfc_normalize(text) as text from documents")
+def normalize_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).select("doc_id", tokenizer.normalized(F.col("text"), "NFC").alias("text"))
+
+
 @query()
 def normalize_nfkc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).select("doc_id", tokenizer.normalized(F.col("text")).alias("text"))
@@ -376,14 +390,18 @@ def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.withColumn("robots", text)
 
 
-@query()
-def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _robots(spark, sf_dir).withColumn("r", crawl.parse_robots(F.col("robots"), "corpusmill")).select("site_md5", "r.allow", "r.disallow")
 
 
+@query(f"select distinct {SITE} as site_md5, '' as allow, case when contains({U['host']}, 'blog') then '^/.*\\.html$' else '^/es/' end as disallow from pages")
+def robots_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rules(spark, sf_dir).select("site_md5", *[F.array_join(c, " ").alias(c) for c in ("allow", "disallow")])
+
+
 @query(f"select page_id from pages where not case when contains({U['host']}, 'blog') then regexp_matches({U['path']}, '^/.*\\.html$') else starts_with({U['path']}, '/es/') end")
 def filter_robots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crawl.filter_robots(urls.with_identity(read(spark, sf_dir, "pages")), robots_parse(spark, sf_dir)).select("page_id")
+    return crawl.filter_robots(urls.with_identity(read(spark, sf_dir, "pages")), _rules(spark, sf_dir)).select("page_id")
 
 
 CODE = "case page_id % 5 when 0 then 200 when 1 then 301 when 2 then 302 when 3 then 404 else 500 end"
@@ -486,9 +504,10 @@ def concat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.concat(d.filter("lang = 'en'"), d.filter("not lang <=> 'en'"))
 
 
-@query()
+@query(f"select doc_id, para, md5(text) as text_md5 from {P}")
 def shuffle_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.shuffled(lines(spark, sf_dir), "doc_id", "para").select("doc_id", "para", "shuffle_key")
+    """All rows, in another order."""
+    return tables.shuffled(lines(spark, sf_dir), "doc_id", "para").select("doc_id", "para", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query("select event_id, cast(floor(epoch(ts) / 1000) as bigint) as units, strftime(make_timestamp(cast(floor(epoch(ts) / 1000) * 1000000000 as bigint)), '%Y-%m-%d %H:%M:%S') as coarse from events")
