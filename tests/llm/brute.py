@@ -94,3 +94,66 @@ def without_repeats(docs, size=13):
                 gone[i : i + size] = [True] * size
         out.append((d, len(w), [x for x, g in zip(w, gone, strict=True) if not g]))
     return out
+
+
+def toxicity(docs, labels, hash_of, monotone, each=10, k=16):
+    """Scores by row; labels are those that may be learned from, and hash_of orders terms that tie."""
+    import numpy as np
+
+    word = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
+
+    def kinds(text):
+        found = word.findall(lower(text).encode())
+        yield found
+        for g in (4, 5, 6):
+            yield [x[i : i + g] for x in found if len(x) > g for i in range(len(x) - g + 1)]
+
+    bad, good = Counter(), Counter()
+    for d, t in docs:
+        if d in labels:
+            for terms in kinds(t):
+                (bad if labels[d] else good).update(set(terms))
+    nb, ng = sum(labels.values()), max(1, len(labels) - sum(labels.values()))
+    z = {}
+    for x, n in bad.items():
+        share = (n + good[x]) / len(labels)
+        value = np.float32((n / nb - good[x] / ng) / (share * (1 - share + 1e-9) * (1 / nb + 1 / ng)) ** 0.5)
+        if value > 0:
+            z[x] = value
+    vocab = set()
+    for d, t in docs:
+        if labels.get(d):
+            vocab |= set(sorted((x for terms in kinds(t) for x in set(terms) if x in z), key=lambda x: (-z[x], hash_of(x)))[:each])
+    place = {x: i for i, x in enumerate(sorted(vocab, key=hash_of))}
+    counts = [Counter(place[x] for terms in kinds(t) for x in terms if x in place) for _, t in docs]
+    df = Counter(i for c in counts for i in c)
+    idf = np.array([np.log((1 + len(docs)) / (1 + df[i])) + 1 for i in range(len(place))])
+
+    def vector(c):
+        v = np.zeros(len(place))
+        for i, n in c.items():
+            v[i] = (1 + np.log(n)) * idf[i]
+        return v / (np.linalg.norm(v) or 1)
+
+    groups, empty = {}, []
+    for (d, _), c in zip(docs, counts, strict=True):
+        if d in labels:
+            at = sorted(c)
+            key = np.array(at, np.uint16).tobytes(), np.array([c[i] for i in at], np.uint32).tobytes()
+            (groups.setdefault(key, (c, []))[1] if c else empty).append(labels[d])
+    groups = [groups[x] for x in sorted(groups)]
+    base, votes = np.stack([vector(c) for c, _ in groups]), np.array([[y.count(0), y.count(1)] for _, y in groups], float)
+
+    def vote(v, own=-1, label=0):
+        sim = base @ v
+        at = [i for i in sorted(range(len(sim)), key=lambda i: (-round(sim[i], 12), i))[:k] if sim[i] > 0]
+        n = votes[at].copy()
+        if own in at:
+            n[at.index(own), label] -= 1
+        n = (sim[at] ** 2) @ n
+        return n[1] / n.sum() if n.sum() > 0 else 0.0
+
+    points = sorted((vote(base[i], i, y), i, y) for i, (_, of) in enumerate(groups) for y in set(of))
+    knots = monotone([(v, y, votes[i, y]) for v, i, y in points])
+    of_empty = (sum(empty) + 0.01) / (len(empty) + 1) if empty else 0.0
+    return [float(np.clip(np.interp(vote(vector(c)), *knots), 0, 1)) if c else of_empty for c in counts]
