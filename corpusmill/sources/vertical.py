@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import html
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -129,41 +132,88 @@ class VerticalSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
-        return _Writer(self.options)
+        return _Writer(self.options, overwrite)
+
+
+def _files(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path, or of a URI such as file://, hdfs:// or s3://, and the path in it."""
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 class _Reader(DataSourceReader):
+    """A task a file; a folder stands for its .vert files."""
+
     def __init__(self, options: dict) -> None:
         self.paths = options["path"].split(",")
         self.horizontal = options.get("horizontal", "false").lower() == "true"
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        out = []
+        for p in self.paths:
+            disk, root = _files(p)
+            if disk.get_file_info(root).type == fs.FileType.Directory:
+                scheme = p.split("://")[0] + "://" if "://" in p else ""
+                found = disk.get_file_info(fs.FileSelector(root))
+                out += sorted(scheme + x.path for x in found if x.is_file and x.extension == "vert")
+            else:
+                out.append(p)
+        return [InputPartition(p) for p in out]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with open(partition.value, encoding="utf-8") as f:
-            for d in (parse_horizontal if self.horizontal else parse_vertical)(f.read()):
-                yield d["text_id"], d["language"], d["text"], [tuple(t.values()) for t in d["tokens"]]
+        disk, name = _files(partition.value)
+        with disk.open_input_stream(name) as f:
+            text = f.read().decode()
+        for d in (parse_horizontal if self.horizontal else parse_vertical)(text):
+            yield d["text_id"], d["language"], d["text"], [tuple(t.values()) for t in d["tokens"]]
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+    """Tasks write under names of their own that readers don't see; the commit shows those of the tasks that count."""
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
-        import os
-        import uuid
+    def __init__(self, options: dict, overwrite: bool) -> None:
+        self.path, self.overwrite, self.job = options["path"], overwrite, uuid.uuid4().hex
 
-        os.makedirs(self.path, exist_ok=True)
-        with open(f"{self.path}/part-{uuid.uuid4().hex}.vert", "w", encoding="utf-8") as f:
+    def write(self, rows: Iterator) -> WriterCommitMessage:
+        disk, root = _files(self.path)
+        disk.create_dir(root)
+        name = f"{root}/_{self.job}-{uuid.uuid4().hex}.tmp"
+        with disk.open_output_stream(name) as f:
             for r in rows:
                 lang = " ".join(r["language"] or [])
-                f.write(f'<doc id="{r["text_id"]}"' + (f' lang="{lang}"' if lang else "") + ">\n")
+                f.write((f'<doc id="{r["text_id"]}"' + (f' lang="{lang}"' if lang else "") + ">\n").encode())
                 for t in r["tokens"] or []:
-                    f.write(("<p>\n" if t["flags"] & PARAGRAPH_START else "") + ("<s>\n" if t["flags"] & SENTENCE_START else ""))
                     cells = [str(t["flags"] & VISIBLE), t["form"], t["lemma"], t["pos"], t["head"], t["deprel"]]
                     while cells and cells[-1] is None:
                         cells.pop()
-                    f.write("\t".join("" if c is None else str(c) for c in cells) + "\n" + ("<g/>\n" if t["flags"] & NO_SPACE else ""))
-                f.write("</doc>\n")
-        return WriterCommitMessage()
+                    marks = ("<p>\n" if t["flags"] & PARAGRAPH_START else "") + ("<s>\n" if t["flags"] & SENTENCE_START else "")
+                    f.write((marks + "\t".join("" if c is None else str(c) for c in cells) + "\n" + ("<g/>\n" if t["flags"] & NO_SPACE else "")).encode())
+                f.write(b"</doc>\n")
+        return _Written(name)
+
+    def commit(self, messages: list[WriterCommitMessage | None]) -> None:
+        disk, root = _files(self.path)
+        disk.create_dir(root)
+        there = disk.get_file_info(fs.FileSelector(root))
+        old = [x.path for x in there if x.is_file and x.extension == "vert"] if self.overwrite else []
+        kept = [m.name for m in messages if m is not None]
+        for k, name in enumerate(kept):
+            disk.move(name, f"{root}/part-{k:05d}-{self.job}.vert")
+        for name in old:
+            disk.delete_file(name)
+        self._clear(disk, root)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        disk, root = _files(self.path)
+        if disk.get_file_info(root).type == fs.FileType.Directory:
+            self._clear(disk, root)
+
+    def _clear(self, disk: fs.FileSystem, root: str) -> None:
+        """Files of attempts that don't count go."""
+        for x in disk.get_file_info(fs.FileSelector(root)):
+            if x.base_name.startswith(f"_{self.job}-"):
+                disk.delete_file(x.path)

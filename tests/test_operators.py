@@ -89,6 +89,15 @@ def test_vertical_round_trip(spark, tmp_path):
     t.write.format("vertical").mode("append").save(f"{tmp_path}/w")
     paths = ",".join(str(p) for p in (tmp_path / "w").glob("*.vert"))
     assert spark.read.format("vertical").load(paths).count() == 2
+    assert spark.read.format("vertical").load(f"{tmp_path}/w").count() == 2
+    t.write.format("vertical").mode("append").save(f"file://{tmp_path}/w")
+    assert spark.read.format("vertical").load(f"file://{tmp_path}/w").count() == 4
+    t.limit(1).write.format("vertical").mode("overwrite").save(f"{tmp_path}/w")
+    assert spark.read.format("vertical").load(f"{tmp_path}/w").count() == 1
+    writer = vertical._Writer({"path": f"{tmp_path}/w"}, False)
+    writer.write(iter(t.limit(1).collect()))  # an attempt that doesn't count
+    writer.abort([None])
+    assert not list((tmp_path / "w").glob("_*"))
     flat = [r[0] for r in t.select(vertical.rendered_horizontal()).collect()]
     assert "Second second AA 2 Atr\tline line NN 0 Pred" in flat[0]
     assert len(next(vertical.parse_horizontal("a b\tc\nd"))["tokens"]) == 3
