@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from collections.abc import Callable, Iterator
+from functools import reduce
 from heapq import heapify, heappop, heappush
 from time import monotonic, sleep
 
@@ -18,6 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
+from ..schema import SITE
+from ..storage import cut
 from .tables import fair_order
 
 HTML_TYPES = ("text/html", "application/xhtml+xml")
@@ -378,3 +381,59 @@ def attach_sites(pages: DataFrame, sites: DataFrame, now: int) -> DataFrame:
     out = pages.join(known, "site_md5", "left")
     out = out.withColumn("needs_dns", F.coalesce(F.col("ip_expires") < now, F.lit(True))).withColumn("needs_robots", F.coalesce(F.col("robots_expires") < now, F.lit(True)))
     return fair_order(out, "site_md5", "path_md5")
+
+
+def known_sites(pages: DataFrame, sites: DataFrame) -> DataFrame:
+    """sites, and an empty record for each site of pages(url, site_md5) that has none."""
+    u = F.col("url")
+    new = pages.groupBy("site_md5").agg(F.min("url").alias("url")).join(sites.select("site_md5"), "site_md5", "left_anti")
+    none = F.array().cast("array<string>")
+    return sites.unionByName(new.select("site_md5", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.port(u).alias("port"), F.lit(None).cast("string").alias("ip"), F.lit(None).cast("long").alias("ip_expires"), F.lit(None).cast("long").alias("robots_expires"), none.alias("allow"), none.alias("disallow")))
+
+
+def _answers(fetched: DataFrame) -> DataFrame:
+    """The headers of fetched pages that later steps read."""
+    names = {"x_status": "X-Status", "content_type": "Content-Type", "location": "Location"}
+    return fetched.withColumns({k: F.col("headers")[v] for k, v in names.items()})
+
+
+def refresh_robots(sites: DataFrame, fetcher: Callable, robot: str, now: int, hops: int = 5, relax: float | None = None) -> DataFrame:
+    """site_md5, allow, disallow, robots_expires of the given sites; redirects are followed for a few hops, then there are no rules."""
+    root = F.concat(F.when(F.col("scheme") == 2, "https").otherwise("http"), F.lit("://"), F.col("host"), F.lit(":"), F.col("port").cast("string"), F.lit("/robots.txt"))
+    todo = sites.select("site_md5", F.xxhash64("site_md5").alias("id"), root.alias("url"), "ip")
+    done = []
+    for hop in range(hops + 1):
+        got = cut(robots_result(_answers(fetch(todo, fetcher, relax=relax)), robot, now))  # each request is made once
+        last = F.lit(hop == hops)
+        end = got.filter((F.col("status") != 2) | last)
+        done.append(end.select("site_md5", "allow", "disallow", F.coalesce("robots_expires", F.lit(now + 86_400)).alias("robots_expires")))
+        todo = got.filter((F.col("status") == 2) & ~last).select("site_md5", "id", F.col("new_url").alias("url"))
+        if not todo.limit(1).count():
+            break
+    return reduce(DataFrame.unionByName, done)
+
+
+def crawl_pass(pages: DataFrame, sites: DataFrame, resolver: Callable, fetcher: Callable, robot: str, now: int, relax: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """One pass: (fetched pages with their events, sites after it) of pages(id, url) and sites.
+
+    Sites get a record where they have none, a new address and new robots rules where these
+    have expired; pages that the rules allow are fetched if their site has an address, and
+    an error otherwise. A redirected page comes back with its new URL and status 1.
+    """
+    work = urls.with_identity(pages.select("id", "url")).dropDuplicates(["site_md5", "path_md5"])
+    every = cut(known_sites(work, sites.select(*SITE.fieldNames())))
+    stale = every.filter(F.coalesce(F.col("ip_expires") < now, F.lit(True)))
+    found = cut(resolve_dns(stale, resolver, now)).select("host", F.col("ip").alias("__ip"), F.col("ip_expires").alias("__expires"))
+    every = every.join(found, "host", "left").withColumn("ip", F.when(F.col("__expires").isNotNull(), F.col("__ip")).otherwise(F.col("ip"))).withColumn("ip_expires", F.coalesce("__expires", "ip_expires")).drop("__ip", "__expires")
+    every = cut(every.select(*SITE.fieldNames()))
+    old = every.filter(F.col("ip").isNotNull() & F.coalesce(F.col("robots_expires") < now, F.lit(True)))
+    rules = refresh_robots(old, fetcher, robot, now, relax=relax).select("site_md5", *[F.col(c).alias(f"__{c}") for c in ("allow", "disallow", "robots_expires")])
+    every = every.join(rules, "site_md5", "left")
+    for c in ("allow", "disallow", "robots_expires"):
+        every = every.withColumn(c, F.when(F.col("__robots_expires").isNotNull(), F.col(f"__{c}")).otherwise(F.col(c)))
+    every = cut(every.select(*SITE.fieldNames()))
+    allowed = pre_fetch(filter_robots(work, every), every)
+    got = fetch(allowed.filter("ip is not null"), fetcher, relax=relax)
+    failed = allowed.filter("ip is null").select("id", "url", "site_md5", F.lit(1).alias("status"), F.lit(None).cast("map<string,string>").alias("headers"), F.lit(None).cast("string").alias("content"))
+    fetched = cut(got.unionByName(failed))
+    return fix_redirect(post_fetch(_answers(fetched).withColumn("redirect_count", F.lit(0)))), every

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import hashes, text, urls
 from corpusmill.operators import annotate, counts, crawl, dedup, language, paragraphs, rules, tables, tokenizer
-from corpusmill.schema import ABBR, NO_SPACE, NUMERIC, PARAGRAPH_START, PUNCT, SENTENCE_START, TEXT, TITLECASE, UPPERCASE
+from corpusmill.schema import ABBR, NO_SPACE, NUMERIC, PARAGRAPH_START, PUNCT, SENTENCE_START, SITE, TEXT, TITLECASE, UPPERCASE
 from corpusmill.sources import files, vertical
 from corpusmill.streaming import live
 
@@ -198,6 +198,26 @@ def test_fetch_is_polite():
     assert at["b"] < 1 and at["d"] < 1
 
 
+def test_crawl_pass(spark):
+    web = {
+        "http://a.x:80/robots.txt": (301, {"Location": "/r.txt"}, ""),
+        "http://a.x:80/r.txt": (200, {"Content-Type": "text/plain"}, "User-agent: *\nDisallow: /no\n"),
+        "http://a.x/yes": (200, {"Content-Type": "text/html"}, "hello"),
+        "http://a.x/moved": (302, {"Location": "/yes"}, ""),
+        "http://b.x:80/robots.txt": (404, {}, ""),
+        "http://b.x/gone": (404, {}, ""),
+    }
+    pages = spark.createDataFrame([(1, "http://a.x/yes"), (2, "http://a.x/no/1"), (3, "http://a.x/moved"), (4, "http://b.x/gone"), (5, "http://unknown.x/"), (6, "http://a.x/yes")], "id long, url string")
+    old = spark.createDataFrame([("0" * 16, 1, "c.x", 80, "9.9.9.9", 5000, 5000, [], [])], SITE)
+    fetched, sites = crawl.crawl_pass(pages, old, {"a.x": ("1.1.1.1", 60), "b.x": ("2.2.2.2", 60)}.get, web.get, "mine", 1000)
+    got = {r.id: (r.event, r.url, r.status) for r in fetched.collect()}
+    assert {k: v for k, v in got.items() if k not in (1, 6)} == {3: ("MOVED", "http://a.x/yes", 1), 4: ("ERROR", "http://b.x/gone", 0), 5: ("ERROR", "http://unknown.x/", 0)}
+    assert [v for k, v in got.items() if k in (1, 6)] == [("OK", "http://a.x/yes", 0)]
+    by = {r.host: r for r in sites.collect()}
+    assert (by["a.x"].ip, by["a.x"].ip_expires, by["a.x"].disallow, by["a.x"].robots_expires) == ("1.1.1.1", 1060, ["^/no"], 1000 + 86_400)
+    assert (by["b.x"].disallow, by["unknown.x"].ip, by["c.x"].ip) == ([], None, "9.9.9.9")
+
+
 def test_collation(spark):
     w = spark.createDataFrame([(x,) for x in ("iva", "chata", "hora", "čas", "cena")], "word string")
     assert [r.word for r in tables.collated(w, "word").collect()] == ["cena", "čas", "hora", "chata", "iva"]
