@@ -359,10 +359,10 @@ def test_bloom_query_is_sized_by_its_table(spark, tmp_path):
     assert sizes == [grams]
 
 
-def test_attach_all_sites_loses_no_site(spark, tmp_path):
+def test_attach_sites_loses_no_site(spark, tmp_path):
     from corpusmill.plans import catalog
 
     rows = [(i, f"http://s{i}.example.org/p", "") for i in range(12)] + [(20, "http://s4.example.org/p", "")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = catalog.QUERIES["attach_all_sites"](spark, str(tmp_path)).collect()
+    got = catalog.QUERIES["attach_sites"](spark, str(tmp_path)).collect()
     assert sorted(r.first_page for r in got) == list(range(12))
