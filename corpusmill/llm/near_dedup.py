@@ -12,8 +12,8 @@ No bucket is turned into all its pairs. First every member meets the smallest id
 bucket, and the links found are joined to components. Only buckets that still hold more
 than one component go on: their members meet inside the bucket, in tiles of TILE members
 so that a hot bucket spreads over many tasks, only across components, and only survivors
-of the batches that join something new leave a task; a second round takes what is then
-still apart. Links inside a component can't change the result.
+of the batches that join something new leave a task; where one of these fails, a second
+round takes all that is then still apart. Links inside a component can't change the result.
 
 Results for odd input: a text without words has no shingles and no link; one of fewer
 than 3 words is one shingle; a null doc_id takes part in nothing, has no component and is
@@ -30,6 +30,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +41,7 @@ from .shared import BROADCAST_IDS, ROW_KEY, cut, keyed, on_key, partitions, with
 SHINGLE, BANDS, ROWS, BATCH = 3, 25, 5, 25
 NUMERATOR, DENOMINATOR = 85, 100
 MISS, TILE, GROUP = 1e-9, 2048, 16_384
+TILES = ("bucket", "i", "j")
 _SIZE = BANDS * ROWS
 _ODD = np.random.Generator(np.random.PCG64(7)).integers(0, 2**31, _SIZE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _SALT = np.uint64(0x5851F42D4C957F2D)
@@ -104,11 +106,12 @@ def survivors(a: np.ndarray, b: np.ndarray, left: np.ndarray, right: np.ndarray)
 
 
 def signatures(docs: DataFrame, row_keys: bool = False) -> DataFrame:
-    """doc_id, n_shingles, two sums that tell the set, and the signature (null without shingles)."""
+    """A number, doc_id, n_shingles, two sums that tell the set, and the signature (null without shingles)."""
     docs = keyed(docs) if row_keys else docs
-    kind = "doc_id long, n_shingles long, s1 long, s2 long, sig binary" + ", __k1 long, __k2 long" * row_keys
+    kind = "node long, doc_id long, n_shingles long, s1 long, s2 long, sig binary" + ", __k1 long, __k2 long" * row_keys
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node = TaskContext.get().partitionId() << 40
         for b in batches:
             for i, j, c in tk.chunks(b.column("text"), tk.SPACED, True):
                 row, h, g = shingles(c)
@@ -124,7 +127,8 @@ def signatures(docs: DataFrame, row_keys: bool = False) -> DataFrame:
                 packed = tk.pack(sig.ravel(), size)
                 cells = pc.if_else(pa.array(some), packed, pa.scalar(None, pa.binary()))
                 keys = {k: b.column(k).slice(i, j - i) for k in ("__k1", "__k2")[: 2 * row_keys]}
-                yield pa.RecordBatch.from_pydict({"doc_id": b.column("doc_id").slice(i, j - i), "n_shingles": pa.array(n), "s1": pa.array(s1.view(np.int64)), "s2": pa.array(s2.view(np.int64)), "sig": cells} | keys)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(np.arange(node, node + j - i)), "doc_id": b.column("doc_id").slice(i, j - i), "n_shingles": pa.array(n), "s1": pa.array(s1.view(np.int64)), "s2": pa.array(s2.view(np.int64)), "sig": cells} | keys)
+                node += j - i
 
     return docs.mapInArrow(run, kind)
 
@@ -133,6 +137,12 @@ def _sig(column: pa.Array) -> np.ndarray:
     return tk.blobs(column, np.uint32)[0].reshape(-1, _SIZE)
 
 
+def _only(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Rows of the given nodes: up to BROADCAST_IDS of these, counted first, are broadcast; more are hashed in partitions, which sorts no signatures."""
+    nodes = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes.hint("shuffle_hash")
+    return rows.join(nodes, "node", "left_semi")
+
+
 def _buckets(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -154,7 +164,7 @@ def _prune(pairs: DataFrame) -> DataFrame:
 
 
 def _across(rows: DataFrame, groups: int, forest: bool) -> DataFrame:
-    """Pairs of members of a bucket (or of two tiles) in different components that outlast every batch.
+    """Pairs of members of a bucket (or of two tiles) in different components that outlast every batch, with bucket and tiles.
 
     forest: only pairs that join what earlier pairs of the bucket haven't, so that m mutually
     similar members give m - 1 pairs and are compared about m times.
@@ -183,11 +193,11 @@ def _across(rows: DataFrame, groups: int, forest: bool) -> DataFrame:
                     joined, first_of = np.unique(part[q], return_index=True)
                     q = q[first_of]
                     part[inner[np.isin(part[inner], joined)]] = part[p]
-                out.append(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q])]))
-        a, b = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                out.append(np.stack([np.minimum(ids[p], ids[q]), np.maximum(ids[p], ids[q]), *(np.full(len(q), k[first]) for k in keys)]))
+        found = np.concatenate(out, axis=1) if out else np.zeros((5, 0), np.int64)
+        return pa.table(dict(zip(("a", "b", *TILES), map(pa.array, found.astype(np.int64)), strict=True)))
 
-    return rows.groupBy(F.pmod(F.hash("bucket", "i", "j"), F.lit(groups))).applyInArrow(run, "a long, b long").distinct()
+    return rows.groupBy(F.pmod(F.hash(*TILES), F.lit(groups))).applyInArrow(run, "a long, b long, bucket long, i long, j long")
 
 
 def exact_sets(c: tk.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -250,33 +260,39 @@ def near_duplicates(docs: DataFrame, tile: int = TILE, local_edges: int | None =
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     set_ = ["s1", "s2", "n_shingles"]
     told = cut(signatures(docs, row_keys))
-    least = told.filter("n_shingles > 0 and doc_id is not null").groupBy(*set_).agg(F.min(F.struct("doc_id", "sig")).alias("x"))
-    # numbered once, as they are written; a doc_id may stand for several sets
-    reps = cut(least.select(F.monotonically_increasing_id().alias("node"), *set_, "x.doc_id", "x.sig"))
-    rows = cut(_buckets(reps))
+    least = told.filter("n_shingles > 0 and doc_id is not null").groupBy(*set_).agg(F.min(F.struct("doc_id", "node")).alias("x"))
+    reps = cut(least.select("x.node", *set_, "x.doc_id"))  # one row stands for a set; a doc_id may stand for several
+    rows = cut(_buckets(_only(told.select("node", "sig"), reps.select("node"))))
     shared = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("last"), F.count("*").alias("members")).filter("centre <> last").select("bucket", "centre", "members")
     members = cut(rows.join(shared, "bucket"))
-    sigs = cut(reps.select("node", "sig").join(members.select("node").distinct(), "node", "left_semi"))
+    sigs = cut(_only(told.select("node", "sig"), cut(members.select("node").distinct())))
     pairs = members.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     pairs = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
     links = cut(_verify(_prune(pairs), docs, reps))
     tiles = F.ceil(F.col("members") / tile)
-    # a pair left out by the forest may be needed where one of the forest fails: a second round takes all
+    failed = None
     for forest in (True, False):
         label = components(links, **more)
         # members of buckets that hold several components; the centre has met all others
         labelled = cut(members.filter("members > 2").join(label.withColumnRenamed("id", "node"), "node", "left").select("bucket", "node", "centre", "members", F.coalesce("component", "node").alias("label")).filter("node <> centre"))
         mixed = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("bucket")
         open_ = labelled.join(mixed, "bucket").withColumn("tile", F.pmod(F.xxhash64("node"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        open_ = cut(open_.select("bucket", "node", "label", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j")))
-        groups = max(partitions(spark), -(-open_.count() // GROUP))
-        links = cut(links.union(_verify(_across(open_.join(sigs, "node"), groups, forest), docs, reps)))
+        open_ = open_.select("bucket", "node", "label", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
+        open_ = cut(open_ if failed is None else open_.join(failed, list(TILES), "left_semi"))
+        rows = open_.count()
+        if not rows:
+            break
+        tried = cut(_across(open_.join(sigs, "node"), max(partitions(spark), -(-rows // GROUP)), forest))
+        good = cut(_verify(tried.select("a", "b").distinct(), docs, reps))
+        links = links.union(good)
+        # a pair left out by the forest is needed only where one of the forest has failed: there a second round takes all
+        failed = tried.join(good, ["a", "b"], "left_anti").select(*TILES).distinct()
     label = components(links, **more).withColumnRenamed("id", "node")
     classes = reps.select("node", *set_, F.col("doc_id").alias("class_id")).join(label, "node", "left")
     classes = classes.withColumn("component", F.coalesce("component", "node"))
     lowest = classes.join(label.select("component").distinct(), "component", "left_semi").groupBy("component").agg(F.min("class_id").alias("lowest"))
     classes = classes.join(lowest, "component", "left").select(*set_, "component", "class_id", F.coalesce("lowest", "class_id").alias("lowest"))
-    out = told.drop("sig").join(classes, set_, "left")
+    out = told.drop("sig", "node").join(classes, set_, "left")
     known = F.col("doc_id").isNotNull()
     own = F.when(known, F.coalesce("lowest", "doc_id"))
     keys = ["__k1", "__k2", F.when(known, F.col("component")).alias("component")] if row_keys else []
@@ -293,7 +309,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return left
     named = [c for c, kind in left.dtypes if not kind.startswith("map")]
     marked = keyed(left)
-    marked = marked.join(same.join(again, "component").distinct().toDF("__d", "__x1", "__x2", "__c"), on_key(marked, "__d", "__x1", "__x2"), "left")
+    marked = marked.join(same.join(again, "component").select(*ROW_KEY, "component").distinct().toDF("__d", "__x1", "__x2", "__c"), on_key(marked, "__d", "__x1", "__x2"), "left")
     place = F.row_number().over(Window.partitionBy("__c").orderBy("__k1", "__k2", F.xxhash64(*[F.col(f"`{c}`") for c in named])))
     one = marked.filter("__c is not null").withColumn("__n", place).filter("__n = 1")
     return marked.filter("__c is null").select(*[F.col(f"`{c}`") for c in left.columns]).unionByName(one.select(*[F.col(f"`{c}`") for c in left.columns]))
