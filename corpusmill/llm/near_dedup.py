@@ -214,6 +214,20 @@ def exact_sets(c: tk.Chunk, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray
     return both >> 32, both & 0xFFFFFFFF
 
 
+def _words(texts: pa.Array) -> tk.Chunk:
+    return next(tk.chunks(texts, tk.SPACED, True, 1 << 62))[2]
+
+
+def _similar(row: np.ndarray, key: np.ndarray, n: int) -> np.ndarray:
+    """Which rows i < n have sets similar enough to row i + n, from distinct (row, key)."""
+    size, row = np.bincount(row, minlength=2 * n), row % n
+    order = np.argsort(key)
+    order = order[np.argsort(row[order].astype(np.uint16 if n < 65536 else np.uint32), kind="stable")]
+    row, key = row[order], key[order]
+    shared = np.bincount(row[1:][(key[1:] == key[:-1]) & (row[1:] == row[:-1])], minlength=n)  # a shingle of both is there twice
+    return DENOMINATOR * shared >= NUMERATOR * (size[:n] + size[n:] - shared)
+
+
 def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
     """The pairs whose whole texts are similar enough, exactly."""
     pairs = cut(pairs)
@@ -240,13 +254,11 @@ def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
             sizes = np.diff(tk.buffers(b.column("ta"))[1]) + np.diff(tk.buffers(b.column("tb"))[1])
             for i, j in tk.pieces(np.concatenate([[0], np.cumsum(sizes)])):
                 both = pa.concat_arrays([b.column(n).slice(i, j - i) for n in ("ta", "tb")])
-                _, _, c = next(tk.chunks(both, tk.SPACED, True, 1 << 62))
-                row, key = exact_sets(c)
-                n = np.bincount(row, minlength=2 * (j - i))
-                found, times = np.unique((row % (j - i)) << 32 | key, return_counts=True)
-                shared = np.bincount(found[times == 2] >> 32, minlength=j - i)  # a shingle of both is there twice
-                union = n[: j - i] + n[j - i :] - shared
-                yield b.slice(i, j - i).select(["a", "b"]).filter(pa.array(DENOMINATOR * shared >= NUMERATOR * union))
+                # hashes that clash can only raise a similarity, so what fails by hashes fails for certain
+                maybe = np.flatnonzero(_similar(*shingles(_words(both))[:2], j - i))
+                if len(maybe):
+                    ok = maybe[_similar(*exact_sets(_words(both.take(pa.array(np.concatenate([maybe, maybe + j - i]))))), len(maybe))]
+                    yield b.slice(i, j - i).select(["a", "b"]).take(pa.array(ok))
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
