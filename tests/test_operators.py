@@ -366,3 +366,30 @@ def test_attach_sites_loses_no_site(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = catalog.QUERIES["attach_sites"](spark, str(tmp_path)).collect()
     assert sorted(r.first_page for r in got) == list(range(12))
+
+
+def test_bloom_against_single_bits():
+    """Whole arrays of keys give what a filter that takes bit by bit gives; a unit that goes leaves no trace."""
+    import numpy as np
+    import pyarrow as pa
+
+    words = [*(f"w{i}" for i in range(40)), "", "čeština", "abcd", "a\0", "x" * 101, None]
+    mixed = hashes.murmur3_all(pa.array(words))
+    assert mixed.tolist() == [hashes.murmur3((w or "").encode()) for w in words]
+    rng = np.random.default_rng(1)
+    for total, span in ((40, 6), (3000, 40)):
+        seen, bits = dedup.Bloom(total), set()
+        for _ in range(200):
+            h = mixed[rng.integers(0, span, rng.integers(0, 60))]
+            keys = seen.keys(hashes.murmur3_mixed(h))
+            grams = np.lib.stride_tricks.sliding_window_view(h, 8) if len(h) > 7 else np.zeros((0, 8), np.uint32)
+            want = [[(int(hashes.murmur3_words(grams, 2 * j + 1, 32)[g]) << 32 | int(hashes.murmur3_words(grams, 2 * j, 32)[g])) % seen.m for j in range(seen.k)] for g in range(len(grams))]
+            assert keys.T.tolist() == want
+            now, known = set(bits), 0
+            for g in want:
+                known += set(g) <= now
+                now |= set(g)
+            gone = bool(want) and known / len(want) > 0.3
+            assert seen.goes(*seen.places(keys, np.zeros(keys.shape[1], int))) == gone
+            bits = bits if gone else now
+            assert np.flatnonzero(np.unpackbits(seen.bits, bitorder="little")).tolist() == sorted(bits)
