@@ -20,7 +20,8 @@ def advance(state: tuple, event: str, now: int, size: int | None, checksum: int
     status, errors, _, modified, history, old_size, old_sum = state
     if event == "OK":
         if (old_size, old_sum) != (size, checksum) and modified != now:
-            age = min(41, max(16, math.floor(math.log(now - modified) / math.log(1.5)))) if modified > 0 and now > modified else 37
+            passed = now - modified
+            age = 37 if modified <= 0 else 41 if passed < 0 else min(41, max(16, math.floor(math.log(passed) / math.log(1.5))))
             history, modified = ((history << 8) | age) & 0xFFFFFFFF, now
         return "OK", 0, now, modified, history, size, checksum
     if event in ("MOVED", "MOVED_FOR_GOOD"):

@@ -393,3 +393,23 @@ def test_bloom_against_single_bits():
             assert seen.goes(*seen.places(keys, np.zeros(keys.shape[1], int))) == gone
             bits = bits if gone else now
             assert np.flatnonzero(np.unpackbits(seen.bits, bitorder="little")).tolist() == sorted(bits)
+
+
+def test_path_state_at_and_after_now(spark, tmp_path):
+    """A change in the second of the last one, and one before it, as the query's SQL has them; the streaming twin does alike."""
+    import duckdb
+    from corpusmill.plans import catalog
+
+    rows = [(k, f"http://s.org/{k}", "") for k in (0, 4, 99_996, 100_000, 100_004, 100_001)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalog.QUERIES["path_state"](spark, str(tmp_path)).collect())
+    assert got == sorted(c.execute(catalog.SQL["path_state"]).fetchall())
+    ages = sorted(r[5] for r in got if r[2] == "OK")
+    assert ages == [16, 16, 34, 37, 41]  # page_id 99,996, 100,000, 4, 0 and 100,004
+    twin = [live.advance(("OK", 0, 0, m, 0, 0, 0), "OK", 1_000_000, 1, 2)[4] for m in (0, 40, 999_960, 1_000_000, 1_000_040)]
+    assert twin == [37, 34, 16, 0, 41]  # the twin enters nothing in the same second
+    state = spark.createDataFrame([("s", "p", "OK", 0, 0, 1_000_000, 7, 0, 0)], "site_md5 string, path_md5 string, path_status string, error_count int, last_update long, last_modified long, history long, size long, checksum long")
+    event = spark.createDataFrame([("s", "p", "OK", 1, 2)], "site_md5 string, path_md5 string, event string, size long, checksum long")
+    assert [crawl.apply_events(state, event, 1_000_000, same_second=x).first().history for x in (False, True)] == [7, 7 << 8 | 16]
