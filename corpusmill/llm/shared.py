@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import storage
+from ..storage import small_batches
 
 
 _RECORDERS: list[list[str]] = []
@@ -33,16 +34,6 @@ def work_folder(spark: SparkSession) -> str:
     return path
 
 
-#: Rows in a batch to or from Python, so that a batch of long texts fits in a worker.
-BATCH_ROWS = 1000
-
-
-def small_batches(spark: SparkSession) -> None:
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name)) > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def cut(df: DataFrame, folder: str | None = None) -> DataFrame:
     """df as a written table: its lineage ends here and it survives lost executors."""
     spark = df.sparkSession

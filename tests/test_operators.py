@@ -413,3 +413,44 @@ def test_path_state_at_and_after_now(spark, tmp_path):
     state = spark.createDataFrame([("s", "p", "OK", 0, 0, 1_000_000, 7, 0, 0)], "site_md5 string, path_md5 string, path_status string, error_count int, last_update long, last_modified long, history long, size long, checksum long")
     event = spark.createDataFrame([("s", "p", "OK", 1, 2)], "site_md5 string, path_md5 string, event string, size long, checksum long")
     assert [crawl.apply_events(state, event, 1_000_000, same_second=x).first().history for x in (False, True)] == [7, 7 << 8 | 16]
+
+
+TREES = "array<struct<sent int, tok int, form string, lemma string, pos string, head int, deprel string>>"
+
+
+def trees(spark):
+    """Texts and the same tokens as rows; with nulls, heads that point nowhere, two sentences and a text without tokens."""
+    words = ["Pes", "kouše", "muže", "Ďábel", "a:b", None, "z"]
+    made = lambda d, s, n: [(s, k, words[(k + d) % 7], words[(k * 3 + d) % 7], ["NN", "V", "A1", "D", "Z", None][(k + d) % 6], (k * 5 + d) % (n + 2), ["Obj", "Sb", "Adv", "Atr", "Pred", None][(k * d) % 6]) for k in range(n)]
+    rows = [(d, made(d, 0, 4 + d % 5) + made(d, 1, d % 4)) for d in range(40)] + [(40, []), (41, None)]
+    t = spark.createDataFrame(rows, f"doc long, tokens {TREES}")
+    return t, t.select("doc", F.explode("tokens").alias("t")).select("doc", "t.*")
+
+
+def test_families_and_collocations_of_whole_texts(spark):
+    """Whole texts give what joined rows give, without a shuffle of tokens."""
+    t, rows = trees(spark)
+    columns = ["doc", "sent", "tok", "parent_form", "parent_pos", "child_forms"]
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=repr)
+    got = annotate.family_in_texts(t)
+    assert order(got) == order(annotate.with_family(rows).select(columns)) and got.columns == columns
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    want = order(counts.collocations(rows).select("key", "relation", "other", "count"))
+    assert any(r[2] is None for r in want)
+    for whole in ("doc >= 0", "doc < 20", "doc < 0"):
+        assert order(counts.collocation_counts(t.filter(whole), rows.filter(f"not ({whole})"))) == want
+
+
+@pytest.mark.parametrize("name", ["token_family", "collocations"])
+def test_parses_of_shared_doc_ids(spark, tmp_path, name):
+    """As SQL, also where documents share their doc_id or have none."""
+    import duckdb
+    from corpusmill.plans import catalog
+
+    texts = ["Alpha beta gamma delta epsilon zeta eta", "one three seven eleven", "x", "", None, "the same the same word word"]
+    rows = [(k % 5 if k < 6 else None if k == 6 else k, "en", "s", texts[k % 6]) for k in range(12)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES[name](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, c.execute(catalog.SQL[name]).fetchall()))
