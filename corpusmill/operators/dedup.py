@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from ..functions.hashes import gram_hashes, murmur3_all, murmur3_grams, murmur3_mixed, word_hashes
 from ..schema import PARAGRAPH_START
-from .paragraphs import Flat
+from .paragraphs import Flat, lengths, slices
 
 
 def unit_grams(units: DataFrame, n: int = 8) -> DataFrame:
@@ -31,14 +31,19 @@ def unit_grams(units: DataFrame, n: int = 8) -> DataFrame:
     return units.select("unit", F.posexplode(F.transform(at, lambda i: F.array_join(F.slice("words", i, n), " "))).alias("pos", "gram"))
 
 
+#: Words whose n-grams are hashed at once; a worker takes about 150 bytes for each.
+SLICE_WORDS = 200_000
+
+
 def hashed_grams(units: DataFrame, n: int = 8) -> DataFrame:
     """unit, g1, g2: the distinct n-grams of each of units(unit, words array), as two hashes of their words."""
     schema = T.StructType([units.schema["unit"], T.StructField("g1", T.LongType()), T.StructField("g2", T.LongType())])
+    most = SLICE_WORDS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for b in batches for x in slices(b, lengths(b.column("words")), most)):
             lists = b.column("words")
-            size = pc.fill_null(lists.value_lengths(), 0).to_numpy().astype(np.int64)
+            size = lengths(lists)
             coded = lists.flatten().dictionary_encode()
             one, two = word_hashes(coded.dictionary)
             at = coded.indices.to_numpy()
@@ -162,16 +167,6 @@ def gram_count(texts: DataFrame, n: int = 8) -> int:
 SLICE_TOKENS, AHEAD = 50_000, 3
 
 
-def _slices(b: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
-    """b in slices of up to `most` tokens, or one row."""
-    end = np.cumsum(pc.binary_length(b.column("__mixed")).to_numpy().astype(np.int64) // 4)
-    i = 0
-    while i < b.num_rows:
-        j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + most, "right")))
-        yield b.slice(i, j - i)
-        i = j
-
-
 def sequential(texts: DataFrame, total: int, n: int = 8, threshold: float = 0.3, paragraphs: bool = False, order: str = "text_id", counted: bool = False) -> DataFrame:
     """texts with tokens, in order, without duplicate texts (or paragraphs): one task by design.
 
@@ -190,7 +185,7 @@ def sequential(texts: DataFrame, total: int, n: int = 8, threshold: float = 0.3,
             keys = seen.keys(np.frombuffer(b"".join(b.column("__mixed").to_pylist()), np.uint32))
             return b, sizes, seen.places(keys, np.repeat(np.arange(len(sizes)), sizes)[: keys.shape[1]])
 
-        parts = (x for b in batches for x in _slices(b, SLICE_TOKENS))
+        parts = (x for b in batches for x in slices(b, pc.binary_length(b.column("__mixed")).to_numpy().astype(np.int64) // 4, SLICE_TOKENS))
         with ThreadPoolExecutor(AHEAD) as pool:
             waiting = deque(pool.submit(key, x) for x in islice(parts, AHEAD))
             while waiting:

@@ -454,3 +454,36 @@ def test_parses_of_shared_doc_ids(spark, tmp_path, name):
     c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     got = catalog.QUERIES[name](spark, str(tmp_path))
     assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, c.execute(catalog.SQL[name]).fetchall()))
+
+
+def test_hashed_grams_go_in_slices(spark, monkeypatch):
+    """A batch of long units is cut by its words, and gives the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    b = pa.record_batch({"x": list(range(6))})
+    assert [x.column("x").to_pylist() for x in paragraphs.slices(b, np.array([1, 2, 9, 0, 3, 3]), 3)] == [[0, 1], [2], [3, 4], [5]]
+    rng = np.random.default_rng(3)
+    rows = [(i, [f"w{k}" for k in rng.integers(0, 3, n)]) for i, n in enumerate((0, 5, 60, 8, 200, 30))] + [(9, None)]
+    units = spark.createDataFrame(rows, "unit long, words array<string>").coalesce(1)
+    whole = sorted(map(tuple, dedup.hashed_grams(units).collect()))
+    monkeypatch.setattr(dedup, "SLICE_WORDS", 50)
+    units = spark.createDataFrame(rows, "unit long, words array<string>").coalesce(1)
+    assert sorted(map(tuple, dedup.hashed_grams(units).collect())) == whole and spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+@pytest.mark.parametrize("ids", [[1, 2, (1 << 39) - 1, 3], [-5, 2, 7, 3], [1 << 62, 2, 7, 3]])
+def test_paragraph_dedup_of_any_id(spark, tmp_path, ids):
+    """As SQL, whether or not the ids fit with a line's number; only small ones are found by hashes alone."""
+    import duckdb
+    from corpusmill.plans import catalog
+
+    line = "a b c d e f g h i j k l"
+    texts = [f"{line}\n\n{line} m n o p q r s", f"x\n{line} z", f"{line}\n" * 3, "q w e r t y u i o p a s d f"]
+    rows = [(i, "en", "s", t) for i, t in zip(ids, texts, strict=True)]
+    spark.createDataFrame(rows, "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    c = duckdb.connect()
+    c.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES["dedup_paras_exact"](spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(c.execute(catalog.SQL["dedup_paras_exact"]).fetchall())
+    assert ("SortAggregate" in got._jdf.queryExecution().executedPlan().toString()) == (max(ids) >= 1 << 39 or min(ids) < 0)
