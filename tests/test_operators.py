@@ -487,3 +487,13 @@ def test_paragraph_dedup_of_any_id(spark, tmp_path, ids):
     got = catalog.QUERIES["dedup_paras_exact"](spark, str(tmp_path))
     assert sorted(map(tuple, got.collect())) == sorted(c.execute(catalog.SQL["dedup_paras_exact"]).fetchall())
     assert ("SortAggregate" in got._jdf.queryExecution().executedPlan().toString()) == (max(ids) >= 1 << 39 or min(ids) < 0)
+
+
+def test_tokens_go_in_slices(spark, monkeypatch):
+    """A batch of long texts is given back in parts, with the same tokens."""
+    rows = [(i, t) for i, t in enumerate(["Ahoj světe. Jak je? " * 9, None, "", "x", "3,5 a +1 " * 30, "konec"])]
+    df = spark.createDataFrame(rows, "id long, text string").coalesce(1)
+    whole = sorted(map(repr, tokenizer.tokenize(df, fixup="cs").collect()))
+    monkeypatch.setattr(tokenizer, "SLICE_CHARS", 100)
+    parts = tokenizer.tokenize(df, fixup="cs")
+    assert sorted(map(repr, parts.collect())) == whole
