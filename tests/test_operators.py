@@ -497,3 +497,25 @@ def test_tokens_go_in_slices(spark, monkeypatch):
     monkeypatch.setattr(tokenizer, "SLICE_CHARS", 100)
     parts = tokenizer.tokenize(df, fixup="cs")
     assert sorted(map(repr, parts.collect())) == whole
+
+
+def test_tokenizer_forgets_chunks(monkeypatch):
+    """What it remembers of chunks between spaces is bounded, and changes no token."""
+    text = " ".join(f"Slovo{i}, (a{i}). \n\n {'x' * i}\tKonec.{i}  3,{i}" for i in range(60))
+    plain = [tokenizer.tokenize_text(x, max_word=20, paragraphs=True) for x in (text, text)]
+    monkeypatch.setattr(tokenizer, "_CHUNKS", {})
+    monkeypatch.setattr(tokenizer, "_MOST_KNOWN", 7)
+    assert [tokenizer.tokenize_text(x, max_word=20, paragraphs=True) for x in (text, text)] == plain
+    assert 0 < len(tokenizer._CHUNKS) <= 7 and max(map(len, tokenizer._CHUNKS)) <= tokenizer._LONGEST_KNOWN
+    assert "".join(t[0] for t in plain[0][:8]) == "Slovo0,(a0).Konec."
+
+
+def test_links_with_any_quotes(spark):
+    """One search finds all quotes; empty values are no links, and HTML is freed of scripts once, in a column of its own."""
+    html = """<base href='http://b.org/d/'><A class="x" HREF = "one.html?a=&#39;"><a href='t"wo'><a href=three><a href=""><a href=''><a name=x><area href="/four">
+<script><a href="no"></script><!-- <a href="no2"> --><iframe src=five></iframe><img src='i.png'><a href="http://x.org/é#f"><a href="/./six">"""
+    p = spark.createDataFrame([("http://a.org/p", html), ("http://a.org/q", None)], "url string, html string")
+    assert p.select(crawl.links_of(F.col("html"))).first()[0] == ["one.html?a=&#39;", 't"wo', "three", "http://x.org/é#f", "/./six", "/four", "five"]
+    got = crawl.extract_urls(p, images=True)
+    assert sorted(r.url for r in got.collect()) == sorted(["http://b.org/d/one.html?a=&", 'http://b.org/d/t"wo', "http://b.org/d/three", "http://x.org/é", "http://b.org/six", "http://b.org/four", "http://b.org/d/five", "http://b.org/d/i.png"])
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("(?is)<script") == 1
