@@ -99,4 +99,6 @@ def absolutise(base: Column, link: Column) -> Column:
     """link seen from base; links with a scheme, or a root path, stay in the JVM."""
     x = F.trim(link)
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
-    return F.when(F.contains(x, F.lit("://")), x).otherwise(F.when(x.rlike(r"^/[^/]") & ~F.contains(x, F.lit("/.")) & (root != ""), F.concat(root, x)).otherwise(_resolved(base, x)))
+    whole, rooted = F.contains(x, F.lit("://")), x.rlike(r"^/[^/]") & ~F.contains(x, F.lit("/.")) & (root != "")
+    rest = F.when(~F.coalesce(whole | rooted, F.lit(False)), x)  # Python gets all rows, whatever the condition: only these with a link
+    return F.when(whole, x).otherwise(F.when(rooted, F.concat(root, x)).otherwise(_resolved(base, rest)))
