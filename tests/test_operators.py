@@ -519,3 +519,20 @@ def test_links_with_any_quotes(spark):
     got = crawl.extract_urls(p, images=True)
     assert sorted(r.url for r in got.collect()) == sorted(["http://b.org/d/one.html?a=&", 'http://b.org/d/t"wo', "http://b.org/d/three", "http://x.org/é", "http://b.org/six", "http://b.org/four", "http://b.org/d/five", "http://b.org/d/i.png"])
     assert got._jdf.queryExecution().optimizedPlan().toString().count("(?is)<script") == 1
+
+
+def test_missing_accents_by_set_and_by_join(spark):
+    """A short list is looked up where the texts are and a long one joined, with the same result."""
+    import random
+
+    random.seed(2)
+    forms = ["Cas", "ČAS", "zena", "žena", "der", ",", "Mesto", "\u212a", None, "ΣΑΣ"]
+    token = lambda w, first: (PARAGRAPH_START if first else PUNCT if w == "," else 0, w, None, None, None, None)
+    rows = [(str(i), [], None, [token(random.choice(forms), random.random() < 0.3) for _ in range(random.randrange(30))]) for i in range(60)] + [("n", [], None, None)]
+    t = spark.createDataFrame(rows, TEXT)
+    listed = spark.createDataFrame([("CAS",), ("zena",), ("mesto",), ("zena",), (None,), ("σας",)], "word string")
+    found = lambda df: sorted((r.text_id, tuple(x.form for x in r.tokens)) for r in df.collect())
+    by_set = paragraphs.filter_missing_accents(t, listed)
+    assert found(by_set) == found(paragraphs.filter_missing_accents_joined(t, listed))
+    assert by_set.columns == t.columns and "Exchange" not in by_set._jdf.queryExecution().executedPlan().toString()
+    assert 0 < by_set.count() < 61
