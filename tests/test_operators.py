@@ -536,3 +536,12 @@ def test_missing_accents_by_set_and_by_join(spark):
     assert found(by_set) == found(paragraphs.filter_missing_accents_joined(t, listed))
     assert by_set.columns == t.columns and "Exchange" not in by_set._jdf.queryExecution().executedPlan().toString()
     assert 0 < by_set.count() < 61
+
+
+def test_ngrams_are_shuffled_before_they_are_added_up(spark):
+    """One exchange, below both steps of the sum, so that no task holds a table of all its n-grams before it."""
+    rows = spark.createDataFrame([(["a", "b"],), (["a", "b", "c"],)], "forms array<string>").repartition(2)
+    got = counts.ngram_counts(rows, 2, least=2)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("HashAggregate") < plan.index("REPARTITION_BY_COL") and "HashAggregate" not in plan[plan.index("REPARTITION_BY_COL") :] and "ENSURE_REQUIREMENTS" not in plan
+    assert {(r.n, r.gram): r["count"] for r in got.collect()} == {(2, "<S>\ta"): 2, (2, "a\tb"): 2, (2, "b\t</S>"): 1, (2, "b\tc"): 1, (2, "c\t</S>"): 1}
