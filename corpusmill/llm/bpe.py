@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from . import textkernel as tk
 from .shared import partitions, work_folder
 
-CHUNK_WORDS, LONG_TEXT = 2_000_000, 1 << 22
+CHUNK_WORDS, LONG_TEXT, GATHERED = 2_000_000, 1 << 22, 1 << 18
 #: How the two kinds of vocabulary split a text; word_bounds() follows them.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -241,12 +241,18 @@ def encode_words(split: Splitter, words: list[bytes]) -> tuple[np.ndarray, np.nd
 
 
 def gather(flat: np.ndarray, off: np.ndarray, index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Values flat[off[i]:off[i+1]] of each index, and where the rows, given by offsets into index, then begin."""
-    size = (off[1:] - off[:-1])[index]
-    ends = np.cumsum(size)
-    total = int(ends[-1]) if len(ends) else 0
-    at = np.repeat(off[:-1][index] - (ends - size), size) + np.arange(total)
-    return flat[at], np.concatenate([[0], ends])[rows]
+    """Values flat[off[i]:off[i+1]] of each index, and where the rows, given by offsets into index, then begin; GATHERED of the index at a time."""
+    size, bounds, parts, total = off[1:] - off[:-1], np.zeros(len(rows), np.int64), [flat[:0]], 0
+    for i in range(0, len(index), GATHERED):
+        part = index[i : i + GATHERED]
+        ends = np.cumsum(size[part])
+        at = np.repeat(off[1:][part] - ends, size[part])
+        at += np.arange(len(at))
+        parts.append(flat[at])
+        mine = slice(*np.searchsorted(rows, [i, i + len(part)], "right"))
+        bounds[mine] = total + ends[rows[mine] - i - 1]
+        total += len(at)
+    return np.concatenate(parts), bounds
 
 
 def encode_chunk(split: Splitter, cache: Cache, texts: list[str | None], plain: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -358,7 +364,7 @@ class _Writer:
     def put(self, doc_id: pa.Array, sizes: np.ndarray, ids: np.ndarray | None, at: np.ndarray | None) -> None:
         cells = {"doc_id": doc_id, "sizes": pa.array(sizes), "ids": None if ids is None else pa.array(ids)}
         if at is not None:  # byte by byte, which compresses better
-            planes = np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T)
+            planes = np.ascontiguousarray(at.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
             cells |= {p: pa.array(planes[k]) for k, p in enumerate(_PLANES)}
         whole = [pa.array([None], f.type) if cells.get(f.name) is None else pa.ListArray.from_arrays(pa.array([0, len(cells[f.name])], pa.int32()), cells[f.name].cast(f.type.value_type)) for f in _CHUNK]
         self.out.write_batch(pa.RecordBatch.from_arrays(whole, schema=_CHUNK))
@@ -368,15 +374,14 @@ class _Writer:
         self.put(doc_id, np.array([len(x) for x in ids]), np.array(list(chain.from_iterable(ids)), np.int32), None)
         return self.head()
 
-    def add(self, doc_id: pa.Array, sizes: np.ndarray, words: pa.Array) -> Iterator[pa.RecordBatch]:
+    def add(self, doc_id: pa.Array, sizes: np.ndarray, coded: pa.DictionaryArray) -> Iterator[pa.RecordBatch]:
         """Words are numbered in the order of their buckets, so that answers need no numbers."""
-        coded = words.dictionary_encode()
         data, off = tk.buffers(coded.dictionary)
         bucket = (tk.hash_runs(data, off[:-1], off[1:]) % np.uint64(self.buckets)).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.put(doc_id, sizes, None, place[coded.indices.to_numpy()] if len(order) else np.zeros(0, np.int64))
+        place = np.empty(len(order), np.uint32)
+        place[order] = np.arange(len(order), dtype=np.uint32)
+        self.put(doc_id, sizes, None, place[coded.indices.to_numpy()] if len(order) else place)
         first = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) > 0])) if len(order) else order
         rows = np.append(first, len(order))
         flat, bounds = tk.buffers(coded.dictionary.take(pa.array(order)))
@@ -392,7 +397,7 @@ def asked_words(docs: DataFrame, path: str, buckets: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s, out = splitter(path), _Writer(folder, buckets)
-        hold: list[tuple[pa.Array, np.ndarray, pa.Array]] = []
+        hold: list[tuple[pa.Array, np.ndarray, pa.DictionaryArray]] = []  # words as numbers, which take less
         held = 0
 
         def put() -> Iterator[pa.RecordBatch]:
@@ -405,7 +410,7 @@ def asked_words(docs: DataFrame, path: str, buckets: int) -> DataFrame:
             split = b.filter(b.column("words").is_valid())
             if split.num_rows:
                 words = split.column("words")
-                hold.append((split.column("doc_id"), words.value_lengths().to_numpy(), words.flatten().cast(pa.binary())))
+                hold.append((split.column("doc_id"), words.value_lengths().to_numpy(), words.flatten().cast(pa.binary()).dictionary_encode()))
                 held += len(hold[-1][2])
             rest = b.filter(b.column("words").is_null())
             whole = rest.filter(rest.column("own"))
@@ -418,7 +423,7 @@ def asked_words(docs: DataFrame, path: str, buckets: int) -> DataFrame:
                 if own:
                     yield out.given(doc_id.take(pa.array([*own])), [*own.values()])
                 mine = np.setdiff1d(np.arange(j - i), [*own])
-                hold.append((doc_id.take(pa.array(mine)), np.diff(rows)[mine], words))
+                hold.append((doc_id.take(pa.array(mine)), np.diff(rows)[mine], words.dictionary_encode()))
                 held += len(words)
             if held > CHUNK_WORDS:
                 yield from put()
@@ -468,6 +473,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             flat = np.frombuffer(b"".join(t.column("ids").to_pylist()), width)
             at = np.stack([chunk.column(p).flatten().to_numpy() for p in _PLANES], axis=1).view("<u4").ravel()
             ids, rows = gather(flat, np.concatenate([[0], np.cumsum(many)]), at, rows)
+        tk.trim()
         return pa.table({"doc_id": doc_id, "ids": tk.pack(ids.astype(np.int32), rows).cast(pa.binary())})
 
     told = asked.groupBy("bucket").applyInArrow(table, "bucket int, chunk long, path string, batch int, sizes binary, ids binary")

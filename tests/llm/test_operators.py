@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -111,6 +112,23 @@ def test_bpe(spark, texts, monkeypatch):
     assert bpe.encode(frame(spark, []), path).count() == 0
 
 
+def test_bpe_gathers_in_slices():
+    """The ids of a chunk come back without arrays of 64 bits over all its words."""
+    rng = np.random.default_rng(5)
+    off = np.concatenate([[0], np.cumsum(rng.integers(0, 4, 5000))])
+    flat, index = rng.integers(0, 50_000, off[-1]).astype(np.uint16), rng.integers(0, 5000, 1_500_000).astype(np.uint32)
+    rows = np.concatenate([[0, 0], np.sort(rng.integers(0, len(index), 999)), [len(index), len(index)]])
+    tracemalloc.start()
+    ids, bounds = bpe.gather(flat, off, index, rows)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    lists = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)).take(pa.array(index))
+    assert ids.tolist() == lists.flatten().to_pylist() and ids.dtype == flat.dtype
+    assert bounds.tolist() == np.concatenate([[0], np.cumsum(np.diff(off)[index])])[rows].tolist()
+    assert most < 32 << 20
+    assert [len(x) for x in bpe.gather(flat, off, index[:0], np.zeros(3, np.int64))] == [0, 3]
+
+
 def test_url_filter(spark):
     rules = url_filter.rule_table(spark, [*Q.URL_RULES, ("a.org/x", "block"), ("b.a.org/", "allow")])
     urls = [(1, "http://Example.ORG/es/1?x"), (2, "https://m.example.org/en/12#t"), (3, "ftp://x.com/fr/"), (4, "x.com/de/"), (5, None), (6, "http://notexample.org"), (7, "http://a.com/de/?q"), (8, "http://b.a.org/x"), (None, "http://c.net/"), (9, ""), (9, "")]
