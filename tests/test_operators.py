@@ -1,6 +1,8 @@
 """Operators on small inputs of their own."""
 
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -545,3 +547,21 @@ def test_ngrams_are_shuffled_before_they_are_added_up(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.index("HashAggregate") < plan.index("REPARTITION_BY_COL") and "HashAggregate" not in plan[plan.index("REPARTITION_BY_COL") :] and "ENSURE_REQUIREMENTS" not in plan
     assert {(r.n, r.gram): r["count"] for r in got.collect()} == {(2, "<S>\ta"): 2, (2, "a\tb"): 2, (2, "b\t</S>"): 1, (2, "b\tc"): 1, (2, "c\t</S>"): 1}
+
+
+@pytest.mark.parametrize("words", [7, 1 << 20])
+def test_ngrams_are_shuffled_packed(spark, monkeypatch, words):
+    """A row a bucket of a chunk of words goes through the shuffle, not one a distinct n-gram; sums are right over chunks."""
+    monkeypatch.setattr(counts, "GRAM_WORDS", words)
+    rng = random.Random(3)
+    made = [[rng.choice(["", "é", "日本", "a b", *map(str, range(300))]) for _ in range(rng.choice([0, 1, 2, 30]))] for _ in range(40 if words < 100 else 2000)]
+    want = Counter((n, "\t".join(p[i : i + n])) for x in made for p in [["<S>", *x, "</S>"]] for n in (2, 3) for i in range(len(p) - n + 1))
+    got = counts.ngram_counts(spark.createDataFrame([(x,) for x in [*made, None]], "forms array<string>").repartition(2), 3, least=2)
+    found = got.collect()
+    assert len(found) == len(want) and {(r.n, r.gram): r["count"] for r in found} == want
+    node = got._jdf.queryExecution().executedPlan().executedPlan()
+    while "ShuffleQueryStage" not in node.nodeName():
+        node = node.plan() if "QueryStage" in node.nodeName() else node.children().head()
+    written = node.plan().metrics().apply("shuffleRecordsWritten").value()
+    if words > 100:
+        assert len(want) > 20_000 and written <= 2 * 2 * 16 * int(spark.conf.get("spark.sql.shuffle.partitions"))
